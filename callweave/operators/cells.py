@@ -56,7 +56,7 @@ def blocked_self(
     )
     names = [part.split()[0] for part in schema.split(", ")]
 
-    def run(key_values, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key_values: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, low, high = key_values
         if low == high:
             return cell(pdf, pdf, True)

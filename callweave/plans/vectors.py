@@ -277,14 +277,12 @@ def online_fit_yearly(spark, sf):
 
 @query("online_fit_stream", f"WITH {E}, {TRANSCRIPTS}, {online_sql(YEARS)}")
 def online_fit_stream(spark, sf):
-    """Stream form: one file per year, one file a trigger, state in the shared folder."""
+    """Stream form: one year a trigger, state in the shared folder."""
     root = scratch_path(spark, "stream")
-    df = materialise(online_points(spark, sf).select("doc_id", F.substring("yearq", 1, 4).alias("period"), "embedding"), "years")
-    for p in [r[0] for r in df.select("period").distinct().orderBy("period").collect()]:
-        df.where(F.col("period") == p).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    fitted = online.online_fit_stream(source, root, ONLINE_K)
-    return fitted.select("doc_id", F.col("period").cast("int").alias("year"), "topic")
+    df = online_points(spark, sf).select("doc_id", "embedding", F.substring("yearq", 1, 4).cast("int").alias("year"))
+    online.publish_periods(df, "year", root)
+    fitted = online.online_fit_stream(spark, root, "year", df.schema, ONLINE_K)
+    return fitted.select("doc_id", "year", "topic")
 
 
 @query(
@@ -296,9 +294,7 @@ SELECT topic, term, round(sum(power(0.99, age)), 6) AS weight FROM t JOIN ages U
 )
 def online_bow_decay_stream(spark, sf):
     root = scratch_path(spark, "decay")
-    df = materialise(fl.year_range(view(spark, sf).select("doc_id", "topic", "text", F.year("created_at").alias("year"))), "years")
-    for y in [r[0] for r in df.select("year").distinct().orderBy("year").collect()]:
-        df.where(F.col("year") == y).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    weights = online.decayed_weights_stream(source, root)
+    df = fl.year_range(view(spark, sf).select("doc_id", "topic", "text", F.year("created_at").alias("year")))
+    online.publish_periods(df, "year", root)
+    weights = online.decayed_weights_stream(spark, root, "year", df.schema)
     return weights.select("topic", "term", F.round("weight", 6).alias("weight"))

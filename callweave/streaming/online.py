@@ -122,27 +122,54 @@ def decay_batch(
     counts.write.mode("overwrite").parquet(f"{root}/weights/batch={batch_id}")
 
 
-def run_stream(source: DataFrame, step, checkpoint: str) -> int:
-    """Run ``step(batch, batch_id)`` over everything the stream holds now; number of batches done.
+def publish_periods(df: DataFrame, period: str, root: str, key: str = "doc_id") -> None:
+    """Store rows by period, then announce the periods in order, one small file each.
 
-    ``source`` should deliver one period per trigger (files written per period, one file a trigger).
+    Rows of a large period are written by many tasks; the announcements alone drive the stream.
     """
+    spark = df.sparkSession
+    salted = df.repartition(F.col(period), F.pmod(F.xxhash64(key), F.lit(64)))
+    salted.write.mode("overwrite").partitionBy(period).parquet(f"{root}/rows")
+    for row in df.select(period).distinct().orderBy(period).collect():
+        spark.createDataFrame([(str(row[0]),)], "period string").coalesce(1).write.mode("append").parquet(f"{root}/periods")
+
+
+def period_stream(spark: SparkSession, root: str) -> DataFrame:
+    """Stream of announced periods, one per trigger."""
+    return spark.readStream.schema("period string").option("maxFilesPerTrigger", 1).parquet(f"{root}/periods")
+
+
+def run_stream(spark: SparkSession, root: str, period: str, schema, step, name: str) -> None:
+    """Run ``step(rows of the period, batch_id)`` for every period announced so far.
+
+    The rows are read from the stored table as an ordinary parallel scan of one partition folder.
+    """
+    stored = spark.read.schema(schema).parquet(f"{root}/rows")
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        announced = [r.period for r in batch.select("period").limit(2).collect()]
+        if len(announced) != 1:
+            raise ValueError("a trigger has to deliver exactly one period")
+        step(stored.where(F.col(period) == announced[0]), batch_id)
+
     query = (
-        source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        period_stream(spark, root).writeStream.foreachBatch(run)
+        .option("checkpointLocation", f"{root}/checkpoint-{name}").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return len([p for p in query.recentProgress if p["numInputRows"] > 0])
 
 
-def online_fit_stream(source: DataFrame, root: str, k: int, alpha: float = 1.0, key: str = "doc_id", vector: str = "embedding") -> DataFrame:
+def online_fit_stream(
+    spark: SparkSession, root: str, period: str, schema, k: int, alpha: float = 1.0, key: str = "doc_id", vector: str = "embedding"
+) -> DataFrame:
     """Stream form of :func:`online_fit`; returns the topics written so far."""
-    run_stream(source, lambda batch, i: fit_batch(batch, i, root, k, alpha, key, vector), f"{root}/checkpoint-fit")
-    return source.sparkSession.read.parquet(f"{root}/topics").drop("batch")
+    run_stream(spark, root, period, schema, lambda rows, i: fit_batch(rows, i, root, k, alpha, key, vector), "fit")
+    return spark.read.parquet(f"{root}/topics").drop("batch")
 
 
-def decayed_weights_stream(source: DataFrame, root: str, decay: float = 0.01, stop: list[str] = ()) -> DataFrame:
-    """Stream form of the decayed term weights; returns the weights after the last batch."""
-    run_stream(source, lambda batch, i: decay_batch(batch, i, root, decay, stop), f"{root}/checkpoint-decay")
-    states = source.sparkSession.read.parquet(f"{root}/weights")
+def decayed_weights_stream(spark: SparkSession, root: str, period: str, schema, decay: float = 0.01, stop: list[str] = ()) -> DataFrame:
+    """Stream form of the decayed term weights; returns the weights after the last period."""
+    run_stream(spark, root, period, schema, lambda rows, i: decay_batch(rows, i, root, decay, stop), "decay")
+    states = spark.read.parquet(f"{root}/weights")
     last = states.agg(F.max("batch")).first()[0]
     return states.where(F.col("batch") == last).drop("batch")

@@ -33,7 +33,11 @@ def rows_of(columns, rows):
 
 
 def compare(df, con, sql):
-    got, got_cols = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    return compare_rows(df.columns, [tuple(r) for r in df.collect()], con, sql)
+
+
+def compare_rows(columns, rows, con, sql):
+    got, got_cols = rows_of(columns, rows)
     cur = con.execute(sql)
     want, want_cols = rows_of([d[0] for d in cur.description], cur.fetchall())
     if got_cols != want_cols:
@@ -59,8 +63,10 @@ def main(names, sf_dir):
         try:
             df = QUERIES[name](spark, sf_dir)
             if name in ORACLES:
-                problem = compare(df, con, ORACLES[name])
-                kind = "S"
+                rows = [tuple(r) for r in df.collect()]
+                spark_time = time.time() - start
+                problem = compare_rows(df.columns, rows, con, ORACLES[name])
+                kind = f"S spark {spark_time:.1f}s"
             else:
                 problem, kind = (None if df.count() >= 0 else "?"), "R"
         except Exception as error:  # noqa: BLE001
