@@ -76,6 +76,16 @@ def join_tokens(tokens: Column) -> Column:
     return F.array_join(tokens, " ")
 
 
+def each(tokens: Column) -> Column:
+    """Elements of a computed array, for ``explode`` and ``posexplode``.
+
+    A plain array expression under ``explode`` makes the optimizer derive a non-empty filter from it,
+    which repeats the regular expressions of the array below the next exchange. Passing it through
+    a null removal keeps the array computed once; tokens are never null, so nothing changes.
+    """
+    return F.array_compact(tokens)
+
+
 def neighbours(tokens: Column) -> Column:
     """Array of ``(a, b)``: every token with its successor, the last one with null."""
     after = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))

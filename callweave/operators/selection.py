@@ -8,6 +8,7 @@ from itertools import product
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from callweave.functions import text as tx
 from callweave.operators.cluster import Spec, fit_many, label_many
 from callweave.operators.density import density_topics
 from callweave.operators.evaluate import coherence_cv, silhouette_exact, silhouette_many
@@ -54,7 +55,7 @@ def param_grid(options: dict[str, list]) -> list[dict]:
 
 def _model_terms(docs: DataFrame, labels: DataFrame, terms: str, name: str = "k") -> DataFrame:
     """Terms of every document under each model, counted per document before the models multiply them."""
-    counted = docs.select("doc_id", F.explode(terms).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = docs.select("doc_id", F.explode(tx.each(F.col(terms))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     return counted.join(labels, "doc_id").groupBy(name, "topic", "term").agg(F.sum("tf").alias("tf"))
 
 

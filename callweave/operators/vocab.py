@@ -13,7 +13,7 @@ from callweave.session import checked_broadcast, is_small
 def term_counts(docs: DataFrame, text: str = "text", lowercase: bool = True) -> DataFrame:
     """Corpus frequency of every term; counted per task before the shuffle."""
     return (
-        docs.select(F.explode(tx.vectorizer_tokenize(F.col(text), lowercase)).alias("term"))
+        docs.select(F.explode(tx.each(tx.vectorizer_tokenize(F.col(text), lowercase))).alias("term"))
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -54,12 +54,12 @@ def document_terms(docs: DataFrame, stop: list[str], text: str = "text", max_n:
     tokens = tx.drop_words(tx.vectorizer_tokenize(F.col(text)), stop)
     one = docs.select(*keep, tokens.alias("tokens"))
     if max_n == 1:
-        return one.select(*keep, F.explode("tokens").alias("term"))
+        return one.select(*keep, F.explode(tx.each(F.col("tokens"))).alias("term"))
     pairs = F.transform(
         F.filter(tx.neighbours(F.col("tokens")), lambda p: p["b"].isNotNull()),
         lambda p: F.concat_ws(" ", p["a"], p["b"]),
     )
-    return one.select(*keep, F.explode(F.concat("tokens", pairs)).alias("term"))
+    return one.select(*keep, F.explode(tx.each(F.concat("tokens", pairs))).alias("term"))
 
 
 def count_vectorize(docs: DataFrame, vocab: DataFrame, stop: list[str], text: str = "text", max_n: int = 2) -> DataFrame:
@@ -83,7 +83,7 @@ def token_dictionary(docs: DataFrame, text: str = "text") -> DataFrame:
     distinct aggregate is needed. Ids follow a hash order, which spreads the ranking evenly.
     """
     df = (
-        docs.select(F.explode(F.array_distinct(tx.whitespace_tokenize(F.col(text)))).alias("term"))
+        docs.select(F.explode(tx.each(F.array_distinct(tx.whitespace_tokenize(F.col(text))))).alias("term"))
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
     )

@@ -9,12 +9,12 @@ from callweave.operators import filters as fl
 from callweave.operators import words as wd
 from callweave.plans.registry import query, table
 from callweave.plans.sqltext import STOP_WORDS, STOP, TRANSCRIPTS, YEARQ, quoted
-from callweave.session import scratch_path
+from callweave.session import fill_slots, scratch_path
 from callweave.sources import stores, transcripts as tr
 
 
 def view(spark, sf):
-    return tr.derived_transcripts(spark, sf)
+    return tr.derived_transcripts(fill_slots(table(spark, sf, "documents"), "doc_id"))
 
 
 def stop_frame(spark, words=STOP_WORDS):
@@ -70,7 +70,7 @@ def scan_stoplist(spark, sf):
     stop_frame(spark).write.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
     words = tr.scan_word_list(spark.read.schema("stopwords string").option("header", True).csv(path), "stopwords")
     tokens = table(spark, sf, "documents").select(
-        F.explode(F.regexp_extract_all("text", F.lit("[^ \\n]+"), F.lit(0))).alias("token")
+        F.explode(tx.each(F.regexp_extract_all("text", F.lit("[^ \\n]+"), F.lit(0)))).alias("token")
     )
     counted = tokens.groupBy(F.lower("token").alias("word")).agg(F.count(F.lit(1)).alias("n"))
     return counted.join(F.broadcast(words), "word", "left_semi")
@@ -312,7 +312,7 @@ SELECT doc_id, count(*) AS kept FROM t WHERE lower(token) NOT IN ({quoted(STOP)}
 )
 def stopword_antijoin(spark, sf):
     tokens = table(spark, sf, "documents").select(
-        "doc_id", F.explode(F.regexp_extract_all("text", F.lit("[^ \\n]+"), F.lit(0))).alias("token")
+        "doc_id", F.explode(tx.each(F.regexp_extract_all("text", F.lit("[^ \\n]+"), F.lit(0)))).alias("token")
     )
     stop = tr.scan_word_list(stop_frame(spark), "stopwords")
     return wd.stopword_antijoin(tokens, stop).groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"))

@@ -15,11 +15,12 @@ from callweave.plans.registry import query, table
 from callweave.plans.sqltext import (
     NOT_SPACE, SEEDS, SEED_GROUPS, SPACE, STOP, TRANSCRIPTS, YEARQ, clean, quoted, words2,
 )
+from callweave.session import fill_slots
 from callweave.sources.transcripts import scan_word_list
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return fill_slots(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
 
 def stop_words(spark):
@@ -137,7 +138,7 @@ def lexicon(spark, sf):
     token = tx.word_tokenize(tx.remove_punct_digits(F.col("text")))
     form, size = F.col("form"), F.length("form")
     return (
-        docs(spark, sf).select(F.explode(token).alias("form")).distinct().where(size % 5 != 0)
+        docs(spark, sf).select(F.explode(tx.each(token)).alias("form")).distinct().where(size % 5 != 0)
         .select(
             "form",
             F.when((size > 4) & form.endswith("s"), F.left(form, size - 1)).otherwise(form).alias("lemma"),
@@ -153,7 +154,7 @@ SELECT token, coalesce(lemma, token) AS lemma, coalesce(pos, 'NOUN') AS tag, cou
 FROM t LEFT JOIN lexicon ON token = form GROUP BY ALL""",
 )
 def lexicon_join(spark, sf):
-    tokens = docs(spark, sf).select(F.explode(tx.word_tokenize(tx.remove_punct_digits(F.col("text")))).alias("token"))
+    tokens = docs(spark, sf).select(F.explode(tx.each(tx.word_tokenize(tx.remove_punct_digits(F.col("text"))))).alias("token"))
     counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     return wd.lexicon_join(counted, lexicon(spark, sf)).select("token", "lemma", "tag", "n")
 
@@ -207,7 +208,7 @@ SELECT doc_id, count(*) AS kept FROM t WHERE token IN (SELECT term FROM vocab) G
 )
 def vocab_semijoin(spark, sf):
     df = docs(spark, sf)
-    tokens = df.select("doc_id", F.explode(tx.vectorizer_tokenize(F.col("text"))).alias("token"))
+    tokens = df.select("doc_id", F.explode(tx.each(tx.vectorizer_tokenize(F.col("text")))).alias("token"))
     kept = wd.vocab_semijoin(tokens, vc.build_vocab(df, seed_frame(spark)))
     return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"))
 

@@ -74,3 +74,25 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a side whose size has been counted; leave it to a shuffle join beyond the bound."""
     return F.broadcast(df) if is_small(df, max_rows) else df
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by key into the configured number of partitions.
+
+    The number is explicit, so adaptive execution does not merge partitions that look small before
+    their rows are exploded. Later groupings that include the key reuse this partitioning.
+    """
+    return df.repartition(shuffle_partitions(df.sparkSession), *keys)
+
+
+def fill_slots(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan that has fewer splits than there are task slots; leave any larger scan alone.
+
+    A small file with one row group is one task otherwise, however costly the work on its rows.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df

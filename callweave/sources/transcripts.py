@@ -67,9 +67,8 @@ def scan_word_list(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.lower(F.trim(F.col(column))).alias("word")).where("word <> ''").distinct()
 
 
-def derived_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transcript-shaped view of the ``documents`` table: speaker, date, segments and topic."""
-    doc = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def derived_transcripts(doc: DataFrame) -> DataFrame:
+    """Transcript-shaped view of a ``documents`` table: speaker, date, segments and topic."""
     i = F.col("doc_id")
     mark = "|||"
     return doc.select(
