@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Sign patterns kept between batches of a task.
+KNOWN_TERMS = 200_000
+
 Encoder = Callable[[list[str]], np.ndarray]
 
 
@@ -32,32 +35,40 @@ def embed_documents(
     return slim.mapInPandas(run, f"`{key}` {key_type}, embedding array<float>")
 
 
-def hashed_encoder(dims: int = 64) -> Encoder:
+class HashedEncoder:
     """Signed random projection of the term counts, without any training.
 
     Every term owns a sign pattern read from the bits of its MD5 hash; a text is the sum over its
     terms, scaled to length one.
     """
-    if dims > 128:
-        raise ValueError("an MD5 hash gives 128 signs")
+
     word = re.compile(r"\w{2,}")
-    known: dict[str, np.ndarray] = {}
-
-    def signs(term: str) -> np.ndarray:
-        row = known.get(term)
-        if row is None:
-            bits = np.unpackbits(np.frombuffer(hashlib.md5(term.encode()).digest(), dtype=np.uint8))[:dims]
-            row = bits.astype(np.float64) * 2.0 - 1.0
-            if len(known) < 200_000:
-                known[term] = row
-        return row
-
-    def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dims))
+
+    def __init__(self, dims: int = 64):
+        if dims > 128:
+            raise ValueError("an MD5 hash gives 128 signs")
+        self.dims = dims
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((1024, dims))
+
+    def _row(self, term: str) -> int:
+        at = self.known.get(term)
+        if at is None:
+            at = self.known[term] = len(self.known)
+            if at == len(self.table):
+                self.table = np.vstack([self.table, np.zeros_like(self.table)])
+            bits = np.unpackbits(np.frombuffer(hashlib.md5(term.encode()).digest(), dtype=np.uint8))
+            self.table[at] = bits[: self.dims] * 2.0 - 1.0
+        return at
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        if len(self.known) > KNOWN_TERMS:
+            self.known.clear()
+        out = np.zeros((len(texts), self.dims))
         for i, text in enumerate(texts):
-            for term, n in Counter(word.findall(text.lower())).items():
-                out[i] += n * signs(term)
+            counts = Counter(self.word.findall(text.lower()))
+            if counts:
+                rows = np.array([self._row(t) for t in counts])
+                out[i] = np.array(list(counts.values()), dtype=np.float64) @ self.table[rows]
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(length > 0, length, 1.0)
-
-    return encode

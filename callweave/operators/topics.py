@@ -53,7 +53,7 @@ def filter_empty_topics(words: DataFrame) -> DataFrame:
 def topic_word_lists(words: DataFrame, by: list[str] = ("topic",)) -> DataFrame:
     """Ordered word array per topic, outlier topic left out. At most k words per topic."""
     kept = filter_empty_topics(words).where(F.col(by[-1]) != -1)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda s: s["word"])
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("rank", "word"))), lambda s: s["word"])
     return kept.groupBy(*by).agg(ordered.alias("words"))
 
 
@@ -79,14 +79,14 @@ def representative_docs(points: DataFrame, centres: DataFrame | Centres, n: int
     order = Window.partitionBy("topic").orderBy("_gap", key)
     near = own.select("topic", key, F.round(F.sqrt(gap), RANK_DIGITS).alias("_gap"))
     near = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n)
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("_n", key))), lambda s: s[key])
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("_n", key))), lambda s: s[key])
     return near.groupBy("topic").agg(ids.alias("representative_doc_ids"))
 
 
 def topic_info(labelled: DataFrame, words: DataFrame, points: DataFrame, centres: DataFrame) -> DataFrame:
     """Topic, number of documents, name, words and representative documents."""
     lists = filter_empty_topics(words).groupBy("topic").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda s: s["word"]).alias("words")
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "word"))), lambda s: s["word"]).alias("words")
     )
     name = F.concat_ws("_", F.col("topic").cast("string"), F.array_join(F.slice("words", 1, 4), "_"))
     return (

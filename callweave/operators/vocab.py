@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from callweave.functions import text as tx
 from callweave.operators.filters import first_rows, hash_rank
-from callweave.session import checked_broadcast, is_small
+from callweave.session import checked_broadcast, is_small, materialise
 
 
 def term_counts(docs: DataFrame, text: str = "text", lowercase: bool = True) -> DataFrame:
@@ -69,7 +69,7 @@ def count_vectorize(docs: DataFrame, vocab: DataFrame, stop: list[str], text: st
     come first, so that a frequent term meets the join once per document only.
     """
     terms = document_terms(docs, stop, text, max_n)
-    vocab = vocab.select("term")
+    vocab = materialise(vocab.select("term"), "vocab")
     tf = F.count(F.lit(1)).alias("tf")
     if is_small(vocab):
         return terms.join(F.broadcast(vocab), "term", "left_semi").groupBy("doc_id", "term").agg(tf)

@@ -16,7 +16,7 @@ from callweave.plans.documents import view
 from callweave.plans.registry import query, table
 from callweave.plans.sqltext import TRANSCRIPTS, WORD, YEARQ, r6
 from callweave.plans.text import docs
-from callweave.session import materialise, scratch_path
+from callweave.session import fill_slots, materialise, scratch_path
 from callweave.sources import stores
 from callweave.streaming import online
 
@@ -31,7 +31,8 @@ NEAREST = """near AS (SELECT id, topic, d FROM (SELECT id, topic, list_distance(
 
 
 def vectors(spark, sf):
-    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", F.col("label").cast("int").alias("topic"))
+    df = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", F.col("label").cast("int").alias("topic"))
+    return fill_slots(df, "doc_id")
 
 
 @query(
@@ -122,7 +123,7 @@ SELECT d.doc_id, p.pos, coalesce({r6('CASE WHEN len > 0 THEN x / len ELSE 0 END'
 FROM documents d CROSS JOIN range(0, 64) AS p(pos) LEFT JOIN v ON v.doc_id = d.doc_id AND v.pos = p.pos LEFT JOIN l ON l.doc_id = d.doc_id""",
 )
 def embed_documents(spark, sf):
-    made = en.embed_documents(docs(spark, sf), en.hashed_encoder(64))
+    made = en.embed_documents(docs(spark, sf), en.HashedEncoder(64))
     return made.select("doc_id", F.posexplode("embedding").alias("pos", "value")).select(
         "doc_id", F.col("pos").cast("long").alias("pos"), tidy(F.col("value").cast("double"), 4).alias("value")
     )

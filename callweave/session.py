@@ -72,8 +72,12 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a side whose size has been counted; leave it to a shuffle join beyond the bound."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
+    """Broadcast a side whose size has been counted; leave it to a shuffle join beyond the bound.
+
+    The side is written first, so counting it and joining it do not compute it twice.
+    """
+    side = materialise(df, "side")
+    return F.broadcast(side) if is_small(side, max_rows) else side
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
