@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.functions import vectors as vx
@@ -82,28 +82,57 @@ class Spec:
     holdout: int | None = None
 
 
-def initial_centres(points: DataFrame, specs: list[Spec], vector: str, fold: str | None) -> list[np.ndarray]:
-    """The first ``k`` distinct vectors in the order of a content hash, outside the held-out fold.
+# Vectors from which starting centres are drawn; three mini-batches of a thousand.
+INIT_POOL = 3000
 
-    Copies share a hash, so a repeated vector gives one centre only. Hashes are grouped (eight
-    bytes per row); vectors are then fetched for the winners alone.
+
+def _pool(hashed: DataFrame, size: int) -> dict[int, tuple[int, int, np.ndarray]]:
+    """The ``size`` distinct vectors with the smallest content hash, and the folds they occur in.
+
+    Only hashes are grouped and ordered (eight bytes per row); vectors are fetched for the winners.
+    Copies share a hash, so a repeated vector is drawn once.
+    """
+    winners = hashed.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).orderBy("h").limit(size)
+    rows = hashed.join(F.broadcast(winners), "h").groupBy("h").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("v").alias("v"))
+    return {r.h: (r.lo, r.hi, np.array(r.v, dtype=np.float64)) for r in rows.collect()}
+
+
+def spread_start(pool: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ on a pool: each next centre is drawn with a chance proportional to its squared distance."""
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.integers(len(pool)))]
+    gap = ((pool - pool[chosen[0]]) ** 2).sum(1)
+    while len(chosen) < min(k, len(pool)):
+        total = gap.sum()
+        if total <= 0:
+            break
+        chosen.append(int(np.searchsorted(np.cumsum(gap), rng.random() * total, side="right")))
+        gap = np.minimum(gap, ((pool - pool[chosen[-1]]) ** 2).sum(1))
+    return pool[chosen]
+
+
+def initial_centres(points: DataFrame, specs: list[Spec], vector: str, fold: str | None, seed: int = 0) -> list[np.ndarray]:
+    """Starting centres of every model, spread over a repeatable pool outside its held-out fold.
+
+    Models of different size on the same rows share one draw: the smaller start is the head of the
+    larger one.
     """
-    wanted = max(s.k for s in specs)
-    part = F.coalesce(F.col(fold), F.lit(-1)) if fold else F.lit(-1)
+    part = F.coalesce(F.col(fold).cast("int"), F.lit(-1)) if fold else F.lit(-1)
     hashed = points.select(part.alias("part"), F.xxhash64(vector).alias("h"), F.col(vector).alias("v"))
-    order = Window.partitionBy("part").orderBy("h")
-    winners = (
-        hashed.groupBy("part", "h").agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= wanted).select("part", "h")
-    )
-    # At most (folds x wanted) hashes remain.
-    rows = hashed.join(F.broadcast(winners), ["part", "h"]).groupBy("part", "h").agg(F.first("v").alias("v")).collect()
-    result = []
-    for spec in specs:
-        pool = {r.h: r.v for r in rows if spec.holdout is None or r.part != spec.holdout}
-        chosen = [pool[h] for h in sorted(pool)[: spec.k]]
-        result.append(np.array(chosen, dtype=np.float64))
-    return result
+    largest = max(s.k for s in specs)
+    size = max(INIT_POOL, 3 * largest)
+    shared = _pool(hashed, 2 * size if fold else size)
+    starts: dict[int | None, np.ndarray] = {}
+    for holdout in {s.holdout for s in specs}:
+        wanted = max(s.k for s in specs if s.holdout == holdout)
+        usable = [h for h in sorted(shared) if holdout is None or not shared[h][0] == shared[h][1] == holdout]
+        pool = [shared[h][2] for h in usable]
+        if len(pool) < wanted and len(shared) >= size:
+            # The fold takes up most of the shared pool: draw again from the other folds alone.
+            own = _pool(hashed.where(F.col("part") != holdout), size)
+            pool = [own[h][2] for h in sorted(own)]
+        starts[holdout] = spread_start(np.array(pool), wanted, seed)
+    return [starts[s.holdout][: s.k] for s in specs]
 
 
 def _partial_sums(points: DataFrame, centres: list[np.ndarray], specs: list[Spec], vector: str, fold: str | None) -> DataFrame:

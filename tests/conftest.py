@@ -15,7 +15,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
-        "tests", "local[*]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g",
+        "tests", "local[*]", spark__sql__shuffle__partitions="4", spark__driver__memory="8g",
         spark__ui__showConsoleProgress="false",
     )
     yield session
