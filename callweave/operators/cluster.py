@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.functions import vectors as vx
+from callweave.operators.filters import low_hash_bound
 from callweave.operators.matrix import group_sums, nearest, stack
 from callweave.session import MODEL_BYTES
 
@@ -89,9 +90,11 @@ INIT_POOL = 3000
 def _pool(hashed: DataFrame, size: int) -> dict[int, tuple[int, int, np.ndarray]]:
     """The ``size`` distinct vectors with the smallest content hash, and the folds they occur in.
 
-    Only hashes are grouped and ordered (eight bytes per row); vectors are fetched for the winners.
+    Only hashes below a bound are grouped and ordered; vectors are fetched for the winners.
     Copies share a hash, so a repeated vector is drawn once.
     """
+    bound = low_hash_bound(hashed.select("h"), "h", size)
+    hashed = hashed if bound is None else hashed.where(F.col("h") <= bound)
     winners = hashed.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).orderBy("h").limit(size)
     rows = hashed.join(F.broadcast(winners), "h").groupBy("h").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("v").alias("v"))
     return {r.h: (r.lo, r.hi, np.array(r.v, dtype=np.float64)) for r in rows.collect()}

@@ -31,14 +31,46 @@ def drop_columns(df: DataFrame, *columns: str, strict: bool = False) -> DataFram
     return df.drop(*columns)
 
 
+HISTOGRAM = 4096
+# A range with no more rows than this is ordered directly.
+DIRECT_ROWS = 50_000
+
+
+def nth_smallest(keyed: DataFrame, number: str, order: str, n: int):
+    """The ``n``-th smallest value of ``order`` (counting from one), or ``None`` with no more rows than that.
+
+    ``number`` is an integer column that rises with ``order``. Its range is narrowed by histograms
+    of a few thousand bars until the sought value lies among few rows; only those are ordered. Each
+    step scans the key column of a shrinking range, and no task ever holds ``n`` rows per split.
+    """
+    low, high, total = keyed.agg(F.min(number), F.max(number), F.count(number)).first()
+    if total <= n:
+        return None
+    left = n
+    while True:
+        width = -(-(high - low + 1) // HISTOGRAM)
+        inside = keyed.where(F.col(number).between(low, high))
+        bar = F.floor((F.col(number) - F.lit(low)) / F.lit(width)).cast("long") if width > 1 else F.col(number) - F.lit(low)
+        bars = inside.groupBy(bar.alias("bar")).agg(
+            F.count(F.lit(1)).alias("n"), F.min(number).alias("low"), F.max(number).alias("high")
+        ).collect()
+        for r in sorted(bars, key=lambda r: r.bar):
+            if left <= r.n:
+                low, high, rows = r.low, r.high, r.n
+                break
+            left -= r.n
+        if rows <= DIRECT_ROWS or low == high:
+            return inside.where(F.col(number).between(low, high)).select(order).orderBy(order).limit(left).agg(F.max(order)).first()[0]
+
+
 def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
-    """The ``n`` rows with the smallest unique ``key``.
+    """The ``n`` rows with the smallest value of a unique integer ``key``.
 
-    Only the keys go through the top-n step. The rows are then picked by a comparison with the
-    n-th key, in the scan, so their text never meets in one task.
+    The n-th key is found from the key column alone; the rows are then picked by a comparison that
+    reaches the scan.
     """
-    cut = df.select(key).orderBy(key).limit(n).agg(F.max(key)).scalar()
-    return df.where(F.col(key) <= cut)
+    cut = nth_smallest(df.select(key), key, key, n)
+    return df if cut is None else df.where(F.col(key) <= cut)
 
 
 def shuffle_key(key: str, seed: int) -> Column:
@@ -46,11 +78,32 @@ def shuffle_key(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
+def hash_number(order: Column, digits: int) -> Column:
+    """The leading hex digits of a hash as an integer, in the same order."""
+    return F.conv(F.substring(order, 1, digits), 16, 10).cast("long")
+
+
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows (all of them if fewer) without replacement, the same on every run."""
-    keyed = df.withColumn("_order", shuffle_key(key, seed))
-    cut = keyed.select("_order").orderBy("_order").limit(n).agg(F.max("_order")).scalar()
-    return keyed.where(F.col("_order") <= cut).drop("_order")
+    order = shuffle_key(key, seed)
+    keys = df.select(order.alias("_order"), hash_number(order, 12).alias("_number"))
+    cut = nth_smallest(keys, "_number", "_order", n)
+    return df if cut is None else df.where(order <= cut)
+
+
+def low_hash_bound(hashed: DataFrame, column: str, wanted: int) -> int | None:
+    """A bound below which at least ``wanted`` distinct 64-bit hashes lie; ``None`` for no bound.
+
+    Lets a caller pick the smallest hashes of a large table without ordering all of them.
+    """
+    n = hashed.count()
+    share = 4.0 * wanted / max(n, 1)
+    while share < 0.25:
+        bound = int(-(2.0**63) + share * 2.0**64)
+        if hashed.where(F.col(column) <= bound).select(column).distinct().count() >= wanted:
+            return bound
+        share *= 16
+    return None
 
 
 def global_rank(df: DataFrame, bucket: Column, order: list[Column], name: str = "rank") -> DataFrame:
@@ -73,7 +126,7 @@ def global_rank(df: DataFrame, bucket: Column, order: list[Column], name: str =
     )
 
 
-RANK_BUCKETS = 4096
+RANK_BUCKETS = 65_536
 
 
 def assign_row_id(df: DataFrame, key: str = "doc_id", name: str = "row_id") -> DataFrame:
@@ -91,12 +144,16 @@ def assign_row_id(df: DataFrame, key: str = "doc_id", name: str = "row_id") -> D
 def hash_rank(df: DataFrame, key: str, seed: int = 42, name: str = "rank") -> DataFrame:
     """Dense rank in the repeatable random order; hash prefixes make even buckets."""
     order = shuffle_key(key, seed)
-    bucket = F.conv(F.substring(order, 1, 3), 16, 10).cast("long")
-    return global_rank(df, bucket, [order], name)
+    return global_rank(df, hash_number(order, 4), [order], name)
+
 
+def kfold_split(df: DataFrame, key: str = "doc_id", n_splits: int = 10, seed: int = 42, exact: bool = True) -> DataFrame:
+    """Fold number per row; fold sizes differ by one at most. Training rows are the other folds.
 
-def kfold_split(df: DataFrame, key: str = "doc_id", n_splits: int = 10, seed: int = 42) -> DataFrame:
-    """Fold number per row; fold sizes differ by one at most. Training rows are the other folds."""
+    ``exact=False`` takes the fold from the hash alone: no shuffle, sizes equal on average only.
+    """
+    if not exact:
+        return df.withColumn("fold", F.pmod(hash_number(shuffle_key(key, seed), 12), F.lit(n_splits)).cast("int"))
     ranked = hash_rank(df, key, seed, "_rank")
     return ranked.withColumn("fold", F.pmod(F.col("_rank"), F.lit(n_splits)).cast("int")).drop("_rank")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callweave.functions import text as tx
-from callweave.operators.filters import first_rows, hash_rank
+from callweave.operators.filters import first_rows, hash_rank, nth_smallest
 from callweave.session import checked_broadcast, is_small, materialise
 
 
@@ -46,7 +46,13 @@ def vocab_max_features(
     """The most frequent terms of the first documents, without stop words; ties go by term."""
     head = first_rows(docs.select("doc_id", text), "doc_id", sample)
     counted = term_counts(head, text).where(~F.col("term").isin(stop))
-    return counted.orderBy(F.desc("tf"), "term").limit(max_features)
+    order = F.struct((-F.col("tf")).alias("number"), "term")
+    counted = materialise(counted.withColumn("number", -F.col("tf")).withColumn("order", order), "terms")
+    cut = nth_smallest(counted, "number", "order", max_features)
+    if cut is not None:
+        last = F.struct(F.lit(cut["number"]).cast("long").alias("number"), F.lit(cut["term"]).alias("term"))
+        counted = counted.where(F.col("order") <= last)
+    return counted.select("term", "tf")
 
 
 def document_terms(docs: DataFrame, stop: list[str], text: str = "text", max_n: int = 2, keep=("doc_id",)) -> DataFrame:

@@ -21,12 +21,12 @@ from callweave.session import materialise
 tidy = vx.tidy
 
 
-def silhouette_sql(points: str, out: str, by: str = "") -> str:
+def silhouette_sql(points: str, out: str, by: str = "", power: int = 1) -> str:
     """Mean silhouette over ``points(id, v, topic)``; ``by`` names an extra model or fold column."""
     b, ab, eq = (f"{by}, ", f"a.{by}, ", f" AND a.{by} = b.{by}") if by else ("", "", "")
     group = f" GROUP BY {by}" if by else ""
     head = f"{by}, " if by else ""
-    return f"""{out}_s AS (SELECT {ab}a.id, a.topic AS own, b.topic AS other, sum(list_distance(a.v, b.v)) AS total, count(*) AS n
+    return f"""{out}_s AS (SELECT {ab}a.id, a.topic AS own, b.topic AS other, sum(power(list_distance(a.v, b.v), {power})) AS total, count(*) AS n
   FROM {points} a JOIN {points} b ON a.id <> b.id{eq} GROUP BY {ab}a.id, a.topic, b.topic),
 {out}_n AS (SELECT {b}topic, count(*) AS n FROM {points} GROUP BY {b}topic),
 {out}_i AS (SELECT {b}id, own, coalesce(max(total / n) FILTER (WHERE own = other), 0) AS a, min(total / n) FILTER (WHERE own <> other) AS b,
@@ -55,11 +55,12 @@ def silhouette_guard(spark, sf):
     return ev.silhouette_exact(one).select(tidy(F.col("silhouette")).alias("silhouette"))
 
 
-@query("silhouette_scalable")
+@query("silhouette_scalable", f"""WITH {E}, pts AS (SELECT id, v, label AS topic FROM e), {silhouette_sql('pts', 's', power=2)}
+SELECT (SELECT count(*) FROM pts) AS n, {r6('silhouette')} AS silhouette FROM s""")
 def silhouette_scalable(spark, sf):
     df = vectors(spark, sf)
     value = ev.silhouette_scalable(df)
-    return df.agg(F.count(F.lit(1)).alias("n")).withColumn("silhouette", F.lit(value))
+    return df.agg(F.count(F.lit(1)).alias("n")).withColumn("silhouette", tidy(F.lit(value)))
 
 
 TOKENS = f"tk AS (SELECT doc_id, {words2('text')} AS t FROM documents)"

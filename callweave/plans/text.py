@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from callweave.functions import dates, text as tx
 from callweave.functions.fixed import SAFE_HARBOR_WORDS
 from callweave.operators import filters as fl
-from callweave.operators import phrases as ph
 from callweave.operators import vocab as vc
 from callweave.operators import words as wd
 from callweave.plans.documents import stop_frame, view
@@ -255,11 +254,3 @@ def online_bow_decay(spark, sf):
     df = view(spark, sf).select("topic", "text", F.year("created_at").alias("year"), dates.year_quarter(F.col("created_at")).alias("yearq"))
     weights = vc.decayed_weights(fl.year_range(df), "yearq", stop=STOP)
     return weights.select("topic", "term", F.round("weight", 6).alias("weight"))
-
-
-@query("preprocess_documents")
-def preprocess_documents(spark, sf):
-    """Whole cleaning chain: speakers, clean, tokens, lemmas, phrases, stop words, length."""
-    df = fl.exclude_speaker(view(spark, sf)).select("doc_id", "created_at", "text")
-    done = ph.preprocess(df, lexicon(spark, sf), stop_words(spark))
-    return done.select("doc_id", dates.year_quarter(F.col("created_at")).alias("yearq"), "text")

@@ -14,7 +14,7 @@ from callweave.operators import reduce as rd
 from callweave.operators.topics import topic_embeddings
 from callweave.plans.documents import view
 from callweave.plans.registry import query, table
-from callweave.plans.sqltext import TRANSCRIPTS, WORD, YEARQ, r6
+from callweave.plans.sqltext import TRANSCRIPTS, WORD, r6
 from callweave.plans.text import docs
 from callweave.session import fill_slots, materialise, scratch_path
 from callweave.sources import stores
@@ -233,50 +233,54 @@ def online_points(spark, sf):
     return vectors(spark, sf).drop("topic").join(fl.year_range(when), "doc_id").select("doc_id", "yearq", "embedding")
 
 
-@query("online_fit")
-def online_fit(spark, sf):
-    """Quarter by quarter over the whole table."""
-    return online.online_fit(materialise(online_points(spark, sf), "quarters"), "yearq", ONLINE_K)
-
-
 YEARS = list(range(2010, 2023))
+QUARTERS = [y * 10 + q for y in YEARS for q in (1, 2, 3, 4)]
 
 
-def online_sql(years: list[int]) -> str:
+def online_sql(period: str, codes: list[int], name: str) -> str:
+    """The incremental fit unrolled over integer period codes."""
     parts = [
-        f"""q AS MATERIALIZED (SELECT id, v, year(created_at) AS y FROM e JOIN transcripts ON doc_id = id
-  WHERE year(created_at) BETWEEN {years[0]} AND {years[-1]})""",
-        f"""c{years[0] - 1} AS MATERIALIZED (SELECT row_number() OVER (ORDER BY id) - 1 AS topic, v AS centre, CAST(0 AS DOUBLE) AS n
-  FROM (SELECT id, v FROM q WHERE y = (SELECT min(y) FROM q) ORDER BY id LIMIT {ONLINE_K}))""",
+        f"""q AS MATERIALIZED (SELECT id, v, {period} AS y FROM e JOIN transcripts ON doc_id = id
+  WHERE year(created_at) BETWEEN {YEARS[0]} AND {YEARS[-1]})""",
+        "c0 AS (SELECT CAST(0 AS BIGINT) AS topic, CAST([] AS DOUBLE[]) AS centre, CAST(0 AS DOUBLE) AS n WHERE false)",
     ]
     assign = """SELECT id, v, topic FROM (SELECT id, v, topic, row_number() OVER (PARTITION BY id
   ORDER BY round(list_distance(v, centre), 9), topic) AS r FROM q, {c} WHERE y = {y}) WHERE r = 1"""
-    for y in years:
-        before = assign.format(c=f"c{y - 1}", y=y)
+    rows = []
+    for at, y in enumerate(codes, 1):
+        parts.append(
+            f"""g{at} AS MATERIALIZED (SELECT * FROM c{at - 1} UNION ALL SELECT have + r - 1, v, CAST(0 AS DOUBLE) FROM (
+  SELECT v, row_number() OVER (ORDER BY id) AS r, (SELECT count(*) FROM c{at - 1}) AS have FROM q WHERE y = {y}) WHERE have + r <= {ONLINE_K})"""
+        )
         parts.append(
-            f"""s{y} AS MATERIALIZED (SELECT topic, list(x ORDER BY pos) AS total, max(m) AS m FROM (SELECT topic, pos, sum(x) AS x, count(*) AS m
-  FROM (SELECT topic, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM ({before})) GROUP BY topic, pos) GROUP BY topic)"""
+            f"""s{at} AS MATERIALIZED (SELECT topic, list(x ORDER BY pos) AS total, max(m) AS m FROM (SELECT topic, pos, sum(x) AS x, count(*) AS m
+  FROM (SELECT topic, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM ({assign.format(c=f'g{at}', y=y)})) GROUP BY topic, pos) GROUP BY topic)"""
         )
         parts.append(
-            f"""c{y} AS MATERIALIZED (SELECT c.topic, CASE WHEN s.m IS NULL THEN c.centre ELSE
+            f"""c{at} AS MATERIALIZED (SELECT c.topic, CASE WHEN s.m IS NULL THEN c.centre ELSE
   list_transform(c.centre, lambda x, i: (c.n * x + s.total[i]) / (c.n + s.m)) END AS centre, c.n + coalesce(s.m, 0) AS n
-  FROM c{y - 1} c LEFT JOIN s{y} s USING (topic))"""
+  FROM g{at} c LEFT JOIN s{at} s USING (topic))"""
         )
-    rows = " UNION ALL ".join(
-        f"SELECT id AS doc_id, {y} AS year, CAST(topic AS INTEGER) AS topic FROM ({assign.format(c=f'c{y}', y=y)})" for y in years
-    )
-    return ", ".join(parts) + " " + rows
+        rows.append(f"SELECT id AS doc_id, {y} AS {name}, CAST(topic AS INTEGER) AS topic FROM ({assign.format(c=f'c{at}', y=y)})")
+    return ", ".join(parts) + " " + " UNION ALL ".join(rows)
+
+
+@query("online_fit", f"WITH {E}, {TRANSCRIPTS}, {online_sql('year(created_at) * 10 + quarter(created_at)', QUARTERS, 'yearq')}")
+def online_fit(spark, sf):
+    """Quarter by quarter over the whole table; the quarter is shown as year and digit."""
+    fitted = online.online_fit(materialise(online_points(spark, sf), "quarters"), "yearq", ONLINE_K)
+    return fitted.select("doc_id", F.replace("yearq", F.lit("Q"), F.lit("")).cast("int").alias("yearq"), "topic")
 
 
-@query("online_fit_yearly", f"WITH {E}, {TRANSCRIPTS}, {online_sql(YEARS)}")
+@query("online_fit_yearly", f"WITH {E}, {TRANSCRIPTS}, {online_sql('year(created_at)', YEARS, 'year')}")
 def online_fit_yearly(spark, sf):
-    """The same fit with years as periods, which SQL can unroll."""
+    """The same fit with years as periods."""
     df = online_points(spark, sf).select("doc_id", F.substring("yearq", 1, 4).alias("period"), "embedding")
     fitted = online.online_fit(materialise(df, "years"), "period", ONLINE_K)
     return fitted.select("doc_id", F.col("period").cast("int").alias("year"), "topic")
 
 
-@query("online_fit_stream", f"WITH {E}, {TRANSCRIPTS}, {online_sql(YEARS)}")
+@query("online_fit_stream", f"WITH {E}, {TRANSCRIPTS}, {online_sql('year(created_at)', YEARS, 'year')}")
 def online_fit_stream(spark, sf):
     """Stream form: one year a trigger, state in the shared folder."""
     root = scratch_path(spark, "stream")

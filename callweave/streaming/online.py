@@ -19,6 +19,7 @@ from callweave.operators.matrix import nearest, stack
 from callweave.operators.vocab import document_terms
 from callweave.session import MODEL_BYTES
 from callweave.sources.stores import path_exists
+from callweave.sources.transcripts import ingest
 
 STATE_SCHEMA = "topic int, n double, centre array<double>"
 
@@ -36,12 +37,16 @@ def update_centres(batch: DataFrame, centres: np.ndarray, n: np.ndarray, alpha:
     return new_c, new_n
 
 
-def first_centres(batch: DataFrame, k: int, key: str, vector: str) -> np.ndarray:
-    """Start: the first ``k`` vectors by id of the first batch."""
-    rows = batch.select(key, F.col(vector).cast("array<double>").alias("v")).orderBy(key).limit(k).collect()
-    if len(rows) < k:
-        raise ValueError(f"the first batch has {len(rows)} vectors, {k} are needed")
-    return np.array([r.v for r in rows], dtype=np.float64)
+def grow_centres(batch: DataFrame, centres: np.ndarray | None, n: np.ndarray | None, k: int, key: str, vector: str):
+    """Fill up to ``k`` centres with the first vectors by id of the batch, at weight zero."""
+    have = 0 if centres is None else len(centres)
+    if have >= k:
+        return centres, n
+    rows = batch.select(key, F.col(vector).cast("array<double>").alias("v")).orderBy(key).limit(k - have).collect()
+    new = np.array([r.v for r in rows], dtype=np.float64)
+    if have == 0:
+        return new, np.zeros(len(new))
+    return (np.vstack([centres, new]), np.r_[n, np.zeros(len(new))]) if len(new) else (centres, n)
 
 
 def online_fit(
@@ -49,7 +54,8 @@ def online_fit(
 ) -> DataFrame:
     """Per period in order: update the centres, then assign the period's rows: ``key, period, topic``.
 
-    The update of a period reads that period only; store ``points`` partitioned by period. All rows
+    Until there are ``k`` centres, the first vectors of each new period join as further ones. The
+    update of a period reads that period only; store ``points`` partitioned by period. All rows
     are assigned in one last pass with the centres their period ended with.
     """
     periods = [r[0] for r in points.select(period).distinct().orderBy(period).collect()]
@@ -57,8 +63,7 @@ def online_fit(
     history: dict[str, np.ndarray] = {}
     for p in periods:
         batch = points.where(F.col(period) == p)
-        if centres is None:
-            centres, n = first_centres(batch, k, key, vector), np.zeros(k)
+        centres, n = grow_centres(batch, centres, n, k, key, vector)
         centres, n = update_centres(batch, centres, n, alpha, vector)
         history[p] = centres
     key_type = points.schema[key].dataType.simpleString()
@@ -93,11 +98,11 @@ def fit_batch(batch: DataFrame, batch_id: int, root: str, k: int, alpha: float =
     """One step of the stream form: state of the step before, update, own state, own topics."""
     spark = batch.sparkSession
     before = _read_state(spark, root, "centres", batch_id - 1, STATE_SCHEMA) if batch_id else None
-    if before is None:
-        centres, n = first_centres(batch, k, key, vector), np.zeros(k)
-    else:
-        rows = before.orderBy("topic").collect()  # k rows
+    centres = n = None
+    if before is not None:
+        rows = before.orderBy("topic").collect()  # at most k rows
         centres, n = np.array([r.centre for r in rows]), np.array([r.n for r in rows])
+    centres, n = grow_centres(batch, centres, n, k, key, vector)
     centres, n = update_centres(batch, centres, n, alpha, vector)
     state = [(i, float(n[i]), centres[i].tolist()) for i in range(len(n))]
     spark.createDataFrame(state, STATE_SCHEMA).write.mode("overwrite").parquet(f"{root}/centres/batch={batch_id}")
@@ -122,14 +127,13 @@ def decay_batch(
     counts.write.mode("overwrite").parquet(f"{root}/weights/batch={batch_id}")
 
 
-def publish_periods(df: DataFrame, period: str, root: str, key: str = "doc_id") -> None:
+def publish_periods(df: DataFrame, period: str, root: str) -> None:
     """Store rows by period, then announce the periods in order, one small file each.
 
     Rows of a large period are written by many tasks; the announcements alone drive the stream.
     """
     spark = df.sparkSession
-    salted = df.repartition(F.col(period), F.pmod(F.xxhash64(key), F.lit(64)))
-    salted.write.mode("overwrite").partitionBy(period).parquet(f"{root}/rows")
+    ingest(df, f"{root}/rows", period)
     for row in df.select(period).distinct().orderBy(period).collect():
         spark.createDataFrame([(str(row[0]),)], "period string").coalesce(1).write.mode("append").parquet(f"{root}/periods")
 

@@ -54,3 +54,31 @@ def test_empty_input(spark):
     empty = spark.range(0).withColumnRenamed("id", "doc_id")
     assert fl.assign_row_id(empty).count() == 0
     assert fl.kfold_split(empty).count() == 0
+
+
+@QUICK
+@given(st.lists(st.integers(-(10**12), 10**12), unique=True, min_size=1, max_size=80), st.integers(1, 90))
+def test_nth_smallest_by_refinement(spark, ids, n):
+    was = fl.DIRECT_ROWS, fl.HISTOGRAM
+    fl.DIRECT_ROWS, fl.HISTOGRAM = 3, 7
+    try:
+        cut = fl.nth_smallest(spark.createDataFrame([(i,) for i in ids], "doc_id long"), "doc_id", "doc_id", n)
+    finally:
+        fl.DIRECT_ROWS, fl.HISTOGRAM = was
+    assert cut == (sorted(ids)[n - 1] if n < len(ids) else None)
+
+
+def test_low_hash_bound(spark):
+    hashed = spark.range(200_000).select(F.xxhash64("id").alias("h"))
+    bound = fl.low_hash_bound(hashed, "h", 100)
+    kept = hashed.where(F.col("h") <= bound).count()
+    assert 100 <= kept < 2000
+    assert fl.low_hash_bound(hashed.limit(50), "h", 100) is None
+    copies = spark.range(100_000).select(F.lit(7).cast("long").alias("h"))
+    assert fl.low_hash_bound(copies, "h", 10) is None
+
+
+def test_hash_folds_need_no_ranking(spark):
+    got = fl.kfold_split(spark.range(3000).withColumnRenamed("id", "doc_id"), exact=False)
+    sizes = [r["count"] for r in got.groupBy("fold").count().collect()]
+    assert len(sizes) == 10 and sum(sizes) == 3000 and min(sizes) > 200

@@ -134,3 +134,9 @@ def test_reuse_builds_once(spark, tmp_path):
     for _ in range(2):
         assert stores.load_or_build(spark, str(tmp_path / "t"), build).count() == 4
     assert len(calls) == 1
+
+
+def test_most_frequent_terms_beyond_the_limit(spark):
+    docs = spark.createDataFrame([(1, "aa aa aa bb bb cc cc dd ee"), (2, "aa ff")], "doc_id long, text string")
+    got = vc.vocab_max_features(docs, ["aa"], max_features=3).collect()
+    assert {(r.term, r.tf) for r in got} == {("bb", 2), ("cc", 2), ("dd", 1)}
