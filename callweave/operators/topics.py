@@ -84,11 +84,14 @@ def representative_docs(points: DataFrame, centres: DataFrame | Centres, n: int
 
 
 def topic_info(labelled: DataFrame, words: DataFrame, points: DataFrame, centres: DataFrame) -> DataFrame:
-    """Topic, number of documents, name, words and representative documents."""
+    """Topic, number of documents, name, words and representative documents.
+
+    A topic without words has neither a name nor words.
+    """
     lists = filter_empty_topics(words).groupBy("topic").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "word"))), lambda s: s["word"]).alias("words")
     )
-    name = F.concat_ws("_", F.col("topic").cast("string"), F.array_join(F.slice("words", 1, 4), "_"))
+    name = F.concat(F.col("topic").cast("string"), F.lit("_"), F.array_join(F.slice("words", 1, 4), "_"))
     return (
         topic_sizes(labelled).join(lists, "topic", "left").join(representative_docs(points, centres), "topic", "left")
         .select("topic", "count", name.alias("name"), "words", "representative_doc_ids")
