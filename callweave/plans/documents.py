@@ -14,6 +14,11 @@ from callweave.sources import stores, transcripts as tr
 
 
 def view(spark, sf):
+    return tr.derived_transcripts(table(spark, sf, "documents"))
+
+
+def text_view(spark, sf):
+    """The view for queries that work on the text itself: a scan of few splits is spread first."""
     return tr.derived_transcripts(fill_slots(table(spark, sf, "documents"), "doc_id"))
 
 

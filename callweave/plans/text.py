@@ -9,7 +9,7 @@ from callweave.functions.fixed import SAFE_HARBOR_WORDS
 from callweave.operators import filters as fl
 from callweave.operators import vocab as vc
 from callweave.operators import words as wd
-from callweave.plans.documents import stop_frame, view
+from callweave.plans.documents import stop_frame, text_view
 from callweave.plans.registry import query, table
 from callweave.plans.sqltext import (
     NOT_SPACE, SEEDS, SEED_GROUPS, SPACE, STOP, TRANSCRIPTS, YEARQ, clean, quoted, words2,
@@ -104,7 +104,7 @@ segments AS (SELECT doc_id, list_slice(p, greatest(coalesce(list_position(p, 'Op
     f"WITH {SEGMENTS} SELECT doc_id, len(s) AS n, array_to_string(s, '|||') AS body FROM segments",
 )
 def transcript_body(spark, sf):
-    df = view(spark, sf).select("doc_id", tx.transcript_segments(F.col("body")).alias("s"))
+    df = text_view(spark, sf).select("doc_id", tx.transcript_segments(F.col("body")).alias("s"))
     return df.select("doc_id", F.size("s").cast("long").alias("n"), F.array_join("s", "|||").alias("body"))
 
 
@@ -119,7 +119,7 @@ HARBOR = f"""(len(list_filter(regexp_extract_all(lower(x), '{NOT_SPACE}+'), lamb
   len(list_filter(s, lambda x: x <> '' AND {HARBOR})) > 0 AS flagged FROM segments""",
 )
 def remove_safe_harbor(spark, sf):
-    df = view(spark, sf).select("doc_id", tx.transcript_segments(F.col("body")).alias("s"))
+    df = text_view(spark, sf).select("doc_id", tx.transcript_segments(F.col("body")).alias("s"))
     return df.select(
         "doc_id",
         F.array_join(tx.remove_safe_harbor(F.col("s")), "|||").alias("kept"),
@@ -251,6 +251,6 @@ SELECT topic, term, round(sum(power(0.99, age)), 6) AS weight FROM t JOIN ages U
 WHERE term NOT IN ({quoted(STOP)}) GROUP BY topic, term""",
 )
 def online_bow_decay(spark, sf):
-    df = view(spark, sf).select("topic", "text", F.year("created_at").alias("year"), dates.year_quarter(F.col("created_at")).alias("yearq"))
+    df = text_view(spark, sf).select("topic", "text", F.year("created_at").alias("year"), dates.year_quarter(F.col("created_at")).alias("yearq"))
     weights = vc.decayed_weights(fl.year_range(df), "yearq", stop=STOP)
     return weights.select("topic", "term", F.round("weight", 6).alias("weight"))

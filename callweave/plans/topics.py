@@ -10,7 +10,7 @@ from callweave.operators import filters as fl
 from callweave.operators import hierarchy as hi
 from callweave.operators import topics as tp
 from callweave.operators import vocab as vc
-from callweave.plans.documents import view
+from callweave.plans.documents import text_view, view
 from callweave.plans.registry import query
 from callweave.plans.sqltext import STOP, TRANSCRIPTS, quoted, r6, words2
 from callweave.plans.text import VOCAB, docs, seed_frame
@@ -37,7 +37,7 @@ def top_sql(k: int) -> str:
 
 
 def spoken(spark, sf):
-    return fl.exclude_speaker(view(spark, sf))
+    return fl.exclude_speaker(text_view(spark, sf))
 
 
 def weights(spark, sf):
