@@ -19,9 +19,7 @@ def brute(rows, k, alpha):
     centres = n = None
     topics = {}
     for q in sorted({r.yearq for r in rows}):
-        batch = sorted((r.doc_id, np.array(r.embedding)) for r in rows if r.yearq == q) if False else [
-            (r.doc_id, np.array(r.embedding)) for r in sorted(rows, key=lambda r: r.doc_id) if r.yearq == q
-        ]
+        batch = [(r.doc_id, np.array(r.embedding)) for r in sorted(rows, key=lambda r: r.doc_id) if r.yearq == q]
         if centres is None:
             centres, n = np.array([v for _, v in batch[:k]]), np.zeros(k)
         near = [int(np.argmin(np.linalg.norm(centres - v, axis=1))) for _, v in batch]
