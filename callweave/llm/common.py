@@ -90,6 +90,18 @@ class Rolling:
         return mix((sums[length:] - sums[: n - length + 1]) * self.down[: n - length + 1] + np.uint64(length))
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
+    """(doc_id, text) of ``docs``; with ``carry`` also its whole row, as one column that no name can clash with."""
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row)
+
+
+def with_text(found: DataFrame, columns: list[str], text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """The carried rows with the new text; a column of text lengths follows it."""
+    new = {text_col: F.col("text"), chars_col: F.char_length("text").cast("long")}
+    return found.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in columns))
+
+
 def signed(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64))
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import text_bytes, words
+from callweave.llm.common import keyed, text_bytes, words
 from callweave.session import fill_slots, materialise
 
 # Item text handled by one pass over the documents; a larger benchmark takes more passes.
@@ -190,6 +190,7 @@ def _match(windows, last: bool):
                     n_words.append(len(mask))
                     items.append(sorted(mine.get(d, set()) | set(owned[begin + d] or ())))
             out = [batch.column("doc_id")]
+            row = ["row"] if "row" in batch.schema.names else []
             if last:
                 spans = []
                 for mask in masks:
@@ -207,7 +208,7 @@ def _match(windows, last: bool):
                     pa.array(items, pa.list_(pa.string())),
                 ]
                 names = ["doc_id", "text", "hit", "items"]
-            yield pa.RecordBatch.from_arrays(out, names)
+            yield pa.RecordBatch.from_arrays([*out, *(batch.column(c) for c in row)], [*names, *row])
 
     return run
 
@@ -215,6 +216,7 @@ def _match(windows, last: bool):
 def contamination(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
     item_text: str = "text", size: int = 10, shingle: int = 3, threshold: float = 1.0, block_bytes: int = BLOCK_BYTES,
+    carry: bool = False,
 ) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, item_ids, spans) per row of ``docs``.
 
@@ -228,9 +230,9 @@ def contamination(
     The benchmark is taken in blocks of bounded bytes; each block is one counting and one matching pass over the documents,
     so its size bounds what is broadcast, and documents are never shuffled. Null text has no words. Items without
     an id are searched for under no name: they are left out. Repeated items count once by id; repeated documents are
-    judged row by row. Without items every document is clean.
+    judged row by row. ``carry`` adds the whole input row as a column ``row``. Without items every document is clean.
     """
-    base = fill_slots(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
+    base = fill_slots(keyed(docs, id_col, text_col, carry), "doc_id")
     known = materialise(
         items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))
         .where("item is not null and text is not null").distinct(), "items",
@@ -248,5 +250,6 @@ def contamination(
         windows.index(frequency)
         last = b == blocks - 1
         schema = OUT.format(id=kind) if last else f"doc_id {kind}, text string, hit binary, items array<string>"
+        schema += f", row {base.schema['row'].dataType.simpleString()}" if carry else ""
         current = current.mapInArrow(_match(sc.broadcast(windows), last), schema)
     return current

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import Rolling, WordHash, components, grouped, mix, row_key, signed, text_bytes, words
+from callweave.llm.common import Rolling, WordHash, components, grouped, keyed, mix, row_key, signed, text_bytes, words
 from callweave.session import fill_slots, materialise
 
 TREES, DEPTH = 27, 6
@@ -188,11 +188,11 @@ def similar_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, trees: int = TREES,
     depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK,
 ) -> DataFrame:
-    """(doc_id, r, class_id, n_links) per row of ``docs``.
+    """(doc_id, r, grp, class_id, n_links) per row of ``docs``.
 
     Two rows are linked when the Jaccard similarity of their sets of ``size``-word shingles is at least ``threshold``.
     ``n_links`` counts the other rows a row is linked with; ``class_id`` is the least id of all rows that links lead to.
-    ``r`` is a hash of id and text that tells rows of one id apart.
+    ``r`` is a hash of id and text that tells rows of one id apart, ``grp`` names the class even where no row has an id.
 
     Texts with the same shingle set are one member with a size, whatever their number. A member's signature is cut into
     trees; a tree's bucket holds the members that share a signature prefix of the length that ``stop_depth`` finds for the
@@ -250,8 +250,26 @@ def similar_documents(
         .select("c", "least", F.coalesce("root", "c").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
     )
     ids = classes.groupBy("root").agg(F.min("least").alias("class_id"))
-    named = classes.join(ids, "root").select("c", "class_id", "n_links")
+    named = classes.join(ids, "root").select("c", F.col("root").alias("grp"), "class_id", "n_links")
     return signed_docs.select("doc_id", "r", "c").join(named, "c", "left").select(
-        "doc_id", "r", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        "doc_id", "r", "grp", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each group of linked rows: the one with the least id.
+
+    Rows without an id give way to rows with one. Rows without shingles are linked with nothing and all stay.
+    """
+    found = similar_documents(docs, id_col, text_col, **options)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r")
+    chosen = found.where("grp is not null").groupBy("grp").agg(F.min(rank).alias("one")).select("one.doc_id", "one.r", F.lit(0).alias("rest"))
+    alone = found.where("grp is null").select("doc_id", "r", F.lit(1).alias("rest")).distinct()
+    stay = chosen.unionByName(alone).select(name.alias("name"), "r", "rest")
+    base = keyed(docs, id_col, text_col, True).withColumn("text", F.coalesce("text", F.lit("")))
+    base = base.select(name.alias("name"), row_key("doc_id", "text").alias("r"), "row")
+    # Of rows that repeat in id and text one stays as well, unless they are linked with nothing.
+    kept = base.join(stay, ["name", "r"]).withColumn("rest", F.when(F.col("rest") == 1, F.monotonically_increasing_id() + 1).otherwise(0))
+    return kept.groupBy("name", "r", "rest").agg(F.first("row").alias("row")).select("row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import ascii_lower, row_key
+from callweave.llm.common import ascii_lower, keyed, row_key
 
 # Stripped at both ends of a line; \n cannot occur inside one.
 SPACE = " \t\x0b\x0c\r"
@@ -15,17 +15,16 @@ def _key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(SPACE)))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, carry: bool = False) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text) per row of ``docs``.
 
     Lines are exploded with their position, normalised and hashed (128 bits). A key of ``min_chars`` code points or more
     that ``min_docs`` documents hold loses all its lines except in the document with the largest id. The other lines come
     back in their order. Documents are counted by distinct id: repeated rows count once, and both keep or lose the same
     lines. Rows without an id count for no document and lose each line that is over the threshold. Null and empty text is
-    one empty line. Only hashes are shuffled by line; each text moves once, by document.
+    one empty line. ``carry`` adds the whole input row as a column ``row``. Only hashes are shuffled by line; each text moves once, by document.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.withColumn("r", row_key("doc_id", "text"))
+    base = keyed(docs, id_col, text_col, carry).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("r", row_key("doc_id", "text"))
     lines = (
         base.select("doc_id", "r", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
         .where(F.char_length("line") >= min_chars)
@@ -50,4 +49,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce(F.array_size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col("drop").isNull(), F.col("text"))
         .otherwise(F.array_join(F.transform(keep, lambda i: F.element_at(lines_of, i + 1)), "\n")).alias("text"),
+        *(["row"] if carry else []),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from callweave.llm import decontaminate, jaccard, lines, substrings
+from callweave.llm import chat, decontaminate, jaccard, language, licenses, lines, nearest, pieces, substrings, toxicity
 from callweave.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -117,3 +117,66 @@ def op9(spark, sf_dir):
 )
 def op6(spark, sf_dir):
     return jaccard.similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+def _fold(modulus: int, rest: int):
+    """True for rows kept out of the training; rows without an id are never held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == rest, F.lit(False))
+
+
+@query("op7_toxicity")
+def op7(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~_fold(3, 1)))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", _fold(3, 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op10_language_id")
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(~_fold(4, 2)))
+    return language.predict(docs, model).select("doc_id", _fold(4, 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op4_license_scan")
+def op4(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+_CONTROLS = r"<s>|</s>|\[INST\]|\[/INST\]|\\"
+
+
+@query(
+    "op5_chat_format",
+    rf"""
+    WITH c AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+    )
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        CAST(sum(20 + length(role) + length(text) + len(regexp_extract_all(role || chr(0) || text, '{_CONTROLS}'))) AS BIGINT) AS formatted_chars
+    FROM c GROUP BY conv_id
+    """,
+)
+def op5(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    same = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", same), (-7, 1, "assistant", same)], turns.schema)
+    return chat.read_back(chat.format_turns(turns.unionByName(extra)))
+
+
+@query("op8_nearest_neighbours")
+def op8(spark, sf_dir):
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op3_sentencepiece")
+def op3(spark, sf_dir):
+    read = pieces.decode(pieces.encode(table(spark, sf_dir, "documents")))
+    return read.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "score",
+        F.transform("others", lambda x: F.col("score") - x["loss"]).alias("next_scores"), _digest(F.col("text")).alias("decoded_sha256"),
+    )
