@@ -12,6 +12,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callweave.llm.common import slices
 from callweave.session import fill_slots
 
 # The template, a conversation being a run of turns: <s>[INST]role[/INST]text</s>
@@ -99,7 +100,7 @@ def format_turns(
 
     def run(batches):
         encoder = Encoder(sent.value)
-        for batch in batches:
+        for batch in slices(batches):
             done = [encoder.turn(r, t) for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("conv_id"), batch.column("turn"), pa.array([d[0] for d in done], pa.list_(pa.int32())), pa.array([d[1] for d in done], pa.list_(pa.int8()))],
@@ -123,7 +124,7 @@ def read_back(formatted: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def decode(batches):
         encoder = Encoder(sent.value)
-        for batch in batches:
+        for batch in slices(batches):
             ids, masks = batch.column("ids").to_pylist(), batch.column("mask").to_pylist()
             parts = [encoder.read(i, m) for i, m in zip(ids, masks)]
             yield pa.RecordBatch.from_arrays(
@@ -141,7 +142,7 @@ def read_back(formatted: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 [conv, pa.array([out[0]], pa.int64()), pa.array([out[1].hexdigest()]), pa.array([out[2]], pa.int64()), pa.array([out[3].hexdigest()]), pa.array([out[4]], pa.int64())], names
             )
 
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column("conv_id").to_pylist()
             for i, (cid, role, text, loss, chars) in enumerate(zip(ids, *(batch.column(c).to_pylist() for c in ("role", "text", "loss", "chars")))):
                 if out is None or cid != current:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import keyed, text_bytes, words
+from callweave.llm.common import keyed, slices, text_bytes, words
 from callweave.session import fill_slots, materialise
 
 # Item text handled by one pass over the documents; a larger benchmark takes more passes.
@@ -150,7 +150,7 @@ def _count(windows):
     def run(batches):
         w = windows.value
         total = np.zeros(len(w.all_keys), np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for _, ids, starts, _ in _chunks(text_bytes(batch, "text"), w):
                 for at, key in w.shingles(ids):
                     slot = np.minimum(np.searchsorted(w.all_keys, key), len(w.all_keys) - 1)
@@ -167,7 +167,7 @@ def _count(windows):
 def _match(windows, last: bool):
     def run(batches):
         w = windows.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = text_bytes(batch, "text")
             masks, items, n_words = [], [], []
             before = batch.column("hit").to_pylist() if "hit" in batch.schema.names else [None] * len(texts)

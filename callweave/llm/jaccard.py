@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import Rolling, WordHash, components, grouped, keyed, mix, row_key, signed, text_bytes, words
+from callweave.llm.common import Rolling, WordHash, components, grouped, keyed, mix, row_key, slices, text_bytes, words
 from callweave.session import fill_slots, materialise
 
 TREES, DEPTH = 27, 6
@@ -71,7 +71,7 @@ class Signer:
 def _sign(size, trees, stop):
     def run(batches):
         signer = Signer(size, trees, stop)
-        for batch in batches:
+        for batch in slices(batches):
             classes, counts, keys = [], [], []
             for text in text_bytes(batch, "text"):
                 s = signer.shingles(text)

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callweave.llm.common import slices
 from callweave.session import fill_slots
 
 # Bounds of the training: about this many labelled documents, and this many words and n-grams kept.
@@ -33,7 +34,7 @@ def _counts(longest: int):
     """Counts of words (kind 0) and n-grams (kind n) by language, summed up per batch."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             seen: dict[str, Counter] = {}
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 seen.setdefault(lang, Counter()).update(letters(text))
@@ -139,7 +140,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches):
         rows = _Rows(sent.value)
         langs = sent.value.langs
-        for batch in batches:
+        for batch in slices(batches):
             names, scores = [], []
             for text in batch.column("text").to_pylist():
                 tokens = letters(text)

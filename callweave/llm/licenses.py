@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import text_bytes, words
+from callweave.llm.common import slices, text_bytes, words
 from callweave.session import fill_slots
 
 # Phrases whose places are counted, and opening passages of public licences.
@@ -176,7 +176,7 @@ def scan_licenses(
     def run(batches):
         scanner = sent.value
         get = scanner.ids.get
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in text_bytes(batch, "text"):
                 tokens = words(text)

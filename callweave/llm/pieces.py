@@ -14,6 +14,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callweave.llm.common import slices
 from callweave.session import fill_slots
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -72,6 +73,40 @@ class Vocabulary:
                         forward[end] = base + score
         return forward, edges
 
+    def two_best(self, segment: str) -> tuple[tuple[int, ...], float, float]:
+        """Ids and log probability of the likeliest segmentation, and what the second best loses: Viterbi with two scores a prefix."""
+        shown = segment.replace(SPACE, _NOT_A_PIECE).replace(" ", SPACE)
+        get, n, none = self.prefixes.get, len(shown), -math.inf
+        first, second, back = [0.0] + [none] * n, [none] * (n + 1), [None] * (n + 1)
+        for start in range(n):
+            one, two, last = first[start], second[start], start + 1
+            piece = get(shown[start])
+            if not piece:
+                raw = segment[start].encode()
+                here = (self.byte_score * len(raw), tuple(self.bytes[b] for b in raw))
+            else:
+                here = piece
+            while True:
+                if here:
+                    score = one + here[0]
+                    if score > first[last]:
+                        lower = two + here[0]
+                        second[last] = first[last] if first[last] > lower else lower
+                        first[last], back[last] = score, (start, here[1])
+                    elif score > second[last]:
+                        second[last] = score
+                last += 1
+                if piece is None or last > n:
+                    break
+                piece = here = get(shown[start:last])
+                if here is None:
+                    break
+        parts, at = [], n
+        while at:
+            at, ids = back[at]
+            parts.append(ids)
+        return tuple(chain.from_iterable(reversed(parts))), first[n], first[n] - second[n]
+
     def n_best(self, segment: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` likeliest segmentations, best first.
 
@@ -104,7 +139,7 @@ class Segments(dict):
     Holds up to twice ``keep`` segments: when it is full, those met since it was last full stay at hand.
     """
 
-    def __init__(self, vocabulary: Vocabulary, n: int, keep: int = 200_000):
+    def __init__(self, vocabulary: Vocabulary, n: int, keep: int = 100_000):
         super().__init__()
         self.vocabulary, self.n, self.keep, self.older = vocabulary, n, keep, {}
 
@@ -114,8 +149,7 @@ class Segments(dict):
             self.clear()
         entry = self.older.get(segment)
         if entry is None:
-            found = self.vocabulary.n_best(segment, 2)
-            entry = (found[0][1], found[0][0], found[0][0] - found[1][0] if len(found) > 1 else math.inf)
+            entry = self.vocabulary.two_best(segment)
         if len(segment) <= 200:
             self[segment] = entry
         return entry
@@ -172,17 +206,15 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_be
 
     def run(batches):
         segments = _cached(sent, n_best)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                done = [segments.encode(t) for t in part.column("text").to_pylist()]
-                sizes = np.cumsum([0] + [len(d[0]) for d in done]).astype(np.int32)
-                flat = np.fromiter(chain.from_iterable(d[0] for d in done), np.int32, int(sizes[-1]))
-                others = [[{"loss": x, "changes": [dict(zip(("at", "drop", "ids"), c)) for c in changes]} for x, changes in d[2]] for d in done]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat)), pa.array([d[1] for d in done], pa.float64()), pa.array(others, other)],
-                    ["doc_id", "ids", "score", "others"],
-                )
+        for batch in slices(batches, 300):
+            done = [segments.encode(t) for t in batch.column("text").to_pylist()]
+            sizes = np.cumsum([0] + [len(d[0]) for d in done]).astype(np.int32)
+            flat = np.fromiter(chain.from_iterable(d[0] for d in done), np.int32, int(sizes[-1]))
+            others = [[{"loss": x, "changes": [dict(zip(("at", "drop", "ids"), c)) for c in changes]} for x, changes in d[2]] for d in done]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat)), pa.array([d[1] for d in done], pa.float64()), pa.array(others, other)],
+                ["doc_id", "ids", "score", "others"],
+            )
 
     kind = base.schema["doc_id"].dataType.simpleString()
     return base.mapInArrow(run, f"doc_id {kind}, ids array<int>, score double, others array<struct<loss:double,changes:array<{CHANGE}>>>")
@@ -208,7 +240,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", vocabulary: str = VOCABULAR
 
     def run(batches):
         vocabulary_ = Vocabulary(sent.value)
-        for batch in batches:
+        for batch in slices(batches, 300):
             column = batch.column(ids_col)
             texts = [None if not column[i].is_valid else vocabulary_.decode(column[i].values.to_numpy(zero_copy_only=False).tolist()) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*kept, "text"])

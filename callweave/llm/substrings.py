@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import Rolling, WordHash, mix, row_key, signed, text_bytes
+from callweave.llm.common import Rolling, WordHash, mix, row_key, signed, slices, text_bytes
 from callweave.session import fill_slots, materialise
 
 # The shortest length looked at is the window halved until it is at most this.
@@ -65,7 +65,7 @@ def _level(window: int, length: int, below: int | None):
 
     def run(batches):
         hasher = Hasher()
-        for batch in batches:
+        for batch in slices(batches):
             ids, rows = batch.column("doc_id"), batch.column("r")
             known = batch.column("anchors") if below else None
             at, k1, k2 = [], [], []
@@ -97,7 +97,7 @@ def _windows(window: int, below: int):
 
     def run(batches):
         hasher = Hasher()
-        for batch in batches:
+        for batch in slices(batches):
             ids, rows, known = batch.column("doc_id"), batch.column("r"), batch.column("anchors")
             for i, text in enumerate(text_bytes(batch, "text")):
                 h = hasher.of(text)
@@ -115,7 +115,7 @@ def _windows(window: int, below: int):
 
 def _cut(window: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             kept, total, removed = [], [], []
             for text, starts in zip(text_bytes(batch, "text"), batch.column("starts").to_pylist()):
                 tokens = text.split() if text else []

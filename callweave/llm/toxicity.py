@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import Rolling, WordHash, keyed, text_bytes, words
+from callweave.llm.common import Rolling, WordHash, keyed, slices, text_bytes, words
 from callweave.session import fill_slots
 
 # What a sign may stand for.
@@ -38,7 +38,7 @@ for _i in range(26):
 def _trigrams(batches):
     """Trigram counts of letters and word ends over whole texts; one row a trigram and task."""
     total = np.zeros(27**3, np.int64)
-    for batch in batches:
+    for batch in slices(batches):
         for text in text_bytes(batch, "text"):
             if text:
                 c = _CODE[np.frombuffer(b"  " + text + b" ", np.uint8)]
@@ -109,7 +109,7 @@ def _features(letters):
 
     def run(batches):
         decoder, hashes, rolling = Decoder(letters.value), WordHash(), Rolling(0x9E3779B97F4A7C15)
-        for batch in batches:
+        for batch in slices(batches):
             out: tuple[list, list, list] = ([], [], [])
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 tokens = words(text.encode()) if text else []
@@ -184,7 +184,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         m = sent.value
         decoder = Decoder(m.letters)
         weights = {w.encode(): x for w, x in m.weights.items()}
-        for batch in batches:
+        for batch in slices(batches):
             scores, plain = [], []
             for text in batch.column("text").to_pylist():
                 restored = decoder.restore(text) if text else text
