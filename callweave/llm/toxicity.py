@@ -19,7 +19,7 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c",
 }
 # Costs of the channel, as natural logarithms.
-SWAP, REPEAT = -1.0, -0.5
+SWAP, REPEAT, BREAK = -1.0, -0.5, -2.0
 SAMPLE_LABELS, MAX_WORDS, MIN_GROUPS, MIN_G, MIN_SHARE = 12_000, 5_000, 4, 25.0, 0.8
 THRESHOLD = 0.7
 
@@ -63,10 +63,10 @@ class Decoder:
     def __init__(self, letters: np.ndarray, keep: int = 100_000):
         self.letters, self.keep, self.known = letters.tolist(), keep, {}
 
-    def word(self, shown: str) -> str:
+    def word(self, shown: str, separator: str = "") -> str:
         """The likeliest plain word behind ``shown``: a sign stands for a letter, a repeated letter may be dropped.
 
-        Punctuation at its ends, and any sign repeated three times at its end, hides nothing and stays away.
+        A ``separator`` between letters vanishes, or parts two words. Punctuation at its ends, and any sign repeated three times at its end, hides nothing and stays away.
         """
         done = self.known.get(shown)
         if done is not None:
@@ -78,6 +78,12 @@ class Decoder:
         # state: (letter before last, last letter) -> (score, link to the path)
         states = {(0, 0): (0.0, None)}
         for i, c in enumerate(bare):
+            if c == separator:
+                for (a, b), (score, path) in list(states.items()):
+                    s = score + BREAK + self.letters[a][b][0]
+                    if b and ((b, 0) not in states or states[b, 0][0] < s):
+                        states[b, 0] = (s, (path, " "))
+                continue
             options = [(c, 0.0)] if "a" <= c <= "z" else [(x, SWAP) for x in LEET.get(c, "")]
             step: dict = {}
             for (a, b), (score, path) in states.items():
@@ -97,9 +103,19 @@ class Decoder:
         self.known[shown] = plain = "".join(reversed(out))
         return plain
 
+    def read(self, text: str) -> tuple[str, set[bytes]]:
+        """The restored text, and all words to be scored: as they stand, restored, and spaced ones without a first or last
+        letter that may be a word of its own (``such a s t u p i d thing``)."""
+        restored = self.restore(text)
+        found = {*words(text.encode()), *words(restored.encode())}
+        for m in _SPACED.finditer(text):
+            if len(m[0]) > 7:
+                found.update(words(f"{self.word(m[0][2:], m[1])} {self.word(m[0][:-2], m[1])}".encode()))
+        return restored, found
+
     def restore(self, text: str) -> str:
         """The text with its disguised words in plain letters; everything else stays."""
-        text = _SPACED.sub(lambda m: self.word(m[0].replace(m[1], "")), text)
+        text = _SPACED.sub(lambda m: self.word(m[0], m[1]), text)
         text = _MIXED.sub(lambda m: self.word(m[0]), text)
         return _LONG.sub(lambda m: self.word(m[0]), text)
 
@@ -116,7 +132,7 @@ def _features(letters):
                 if tokens:
                     h = hashes.of(tokens)
                     grp = int(rolling.windows(h, min(5, len(h))).min().view(np.int64))
-                    for w in {*tokens, *words(decoder.restore(text).encode())}:
+                    for w in decoder.read(text)[1]:
                         out[0].append(w)
                         out[1].append(toxic)
                         out[2].append(grp)
@@ -187,8 +203,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in slices(batches):
             scores, plain = [], []
             for text in batch.column("text").to_pylist():
-                restored = decoder.restore(text) if text else text
-                hits = weights.keys() & {*words(text.encode()), *words(restored.encode())} if text else ()
+                restored, found = decoder.read(text) if text else (text, set())
+                hits = weights.keys() & found
                 logit = m.prior + math.fsum(weights[w] for w in hits)
                 scores.append(1 / (1 + math.exp(-max(-700.0, min(700.0, logit)))))
                 plain.append(restored)
