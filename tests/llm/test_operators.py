@@ -172,7 +172,7 @@ def test_languages(spark, sf, documents):
 def test_toxicity(spark, sf, documents):
     docs, labels = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet"), spark.read.parquet(f"{sf.replace('0.001', '0.01')}/labels.parquet")
     model = toxicity.fit(docs, labels.where(~_fold(3, 1)))
-    rows = [(1, None), (2, ""), (3, "you 1d10t"), (4, "such a s t u p i d thing"), (5, "the of and"), (6, "TRAAASH!!"), (7, "a p@th3tic l0ser")]
+    rows = [(1, None), (2, ""), (3, "you 1d10t"), (4, "such a c l o w n thing"), (5, "the of and"), (6, "TRAAASH!!"), (7, "a p@th3tic l0ser")]
     got = {r.doc_id: r.score >= toxicity.THRESHOLD for r in toxicity.score(documents(rows), model).collect()}
     assert got == {1: False, 2: False, 3: True, 4: True, 5: False, 6: True, 7: True}
 
