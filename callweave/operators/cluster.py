@@ -9,11 +9,10 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callweave.functions import vectors as vx
-from callweave.operators.filters import low_hash_bound
 from callweave.operators.matrix import group_sums, nearest, stack
 from callweave.session import MODEL_BYTES
 
@@ -83,58 +82,93 @@ class Spec:
     holdout: int | None = None
 
 
-# Vectors from which starting centres are drawn; three mini-batches of a thousand.
-INIT_POOL = 3000
+# Rounds in which candidates for starting centres are drawn; each draws this many times the wanted centres.
+START_ROUNDS, OVERSAMPLING = 3, 2
 
 
-def _pool(hashed: DataFrame, size: int) -> dict[int, tuple[int, int, np.ndarray]]:
-    """The ``size`` distinct vectors with the smallest content hash, and the folds they occur in.
+def _chance(h: np.ndarray, salt: int) -> np.ndarray:
+    """A repeatable number in (0, 1) from a content hash."""
+    x = h.astype(np.int64).view(np.uint64) ^ np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53 + 2.0**-54
 
-    Only hashes below a bound are grouped and ordered; vectors are fetched for the winners.
-    Copies share a hash, so a repeated vector is drawn once.
+
+def _draw(hashed: DataFrame, found: dict[int | None, np.ndarray], count: dict[int | None, int], salt: int) -> dict[int | None, list[np.ndarray]]:
+    """Draw vectors with a chance proportional to their squared distance to what was found, in one pass over all rows.
+
+    Every vector gets an exponential waiting time with that rate, from its content hash; those with the shortest times
+    are drawn. A task returns no more than ``count`` vectors a fold, and copies of a vector are drawn once.
     """
-    bound = low_hash_bound(hashed.select("h"), "h", size)
-    hashed = hashed if bound is None else hashed.where(F.col("h") <= bound)
-    winners = hashed.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).orderBy("h").limit(size)
-    rows = hashed.join(F.broadcast(winners), "h").groupBy("h").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("v").alias("v"))
-    return {r.h: (r.lo, r.hi, np.array(r.v, dtype=np.float64)) for r in rows.collect()}
+    slots = list(count)
+
+    def run(batches):
+        best: list[pd.DataFrame] = [pd.DataFrame() for _ in slots]
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, h, part = stack(pdf["v"]), pdf["h"].to_numpy(), pdf["part"].to_numpy()
+            wait = -np.log(_chance(h, salt))
+            for i, slot in enumerate(slots):
+                gap = nearest(x, found[slot])[1] ** 2 if slot in found else np.ones(len(x))
+                use = np.flatnonzero((gap > 0) & ((part != slot) if slot is not None else True))
+                rows = pd.DataFrame({"slot": i, "wait": wait[use] / gap[use], "h": h[use], "v": pdf["v"].iloc[use]})
+                best[i] = pd.concat([best[i], rows.drop_duplicates("h")]).drop_duplicates("h").nsmallest(count[slot], ["wait", "h"])
+        for rows in best:
+            if len(rows):
+                yield rows
+
+    order = Window.partitionBy("slot").orderBy("wait", "h")
+    drawn = (
+        hashed.mapInPandas(run, "slot int, wait double, h long, v array<double>").dropDuplicates(["slot", "h"])
+        .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(count.values())).collect()
+    )
+    out: dict[int | None, list[np.ndarray]] = {slot: [] for slot in slots}
+    for r in sorted(drawn, key=lambda r: (r.slot, r.rank)):
+        if r.rank <= count[slots[r.slot]]:
+            out[slots[r.slot]].append(np.array(r.v))
+    return out
 
 
-def spread_start(pool: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """k-means++ on a pool: each next centre is drawn with a chance proportional to its squared distance."""
+def spread_start(pool: np.ndarray, k: int, seed: int, weight: np.ndarray | None = None) -> np.ndarray:
+    """k-means++ on a pool: each next centre is drawn with a chance proportional to its weight and squared distance."""
     rng = np.random.default_rng(seed)
-    chosen = [int(rng.integers(len(pool)))]
+    weight = np.ones(len(pool)) if weight is None else weight
+    chosen = [int(np.searchsorted(np.cumsum(weight), rng.random() * weight.sum(), side="right"))]
     gap = ((pool - pool[chosen[0]]) ** 2).sum(1)
     while len(chosen) < min(k, len(pool)):
-        total = gap.sum()
+        total = (gap * weight).sum()
         if total <= 0:
             break
-        chosen.append(int(np.searchsorted(np.cumsum(gap), rng.random() * total, side="right")))
+        chosen.append(int(np.searchsorted(np.cumsum(gap * weight), rng.random() * total, side="right")))
         gap = np.minimum(gap, ((pool - pool[chosen[-1]]) ** 2).sum(1))
     return pool[chosen]
 
 
 def initial_centres(points: DataFrame, specs: list[Spec], vector: str, fold: str | None, seed: int = 0) -> list[np.ndarray]:
-    """Starting centres of every model, spread over a repeatable pool outside its held-out fold.
+    """Starting centres of every model, by k-means|| (Bahmani and others, 2012) over all rows outside its held-out fold.
 
-    Models of different size on the same rows share one draw: the smaller start is the head of the
-    larger one.
+    A few rounds draw candidates from all rows, far ones first; a counting pass weighs each by the rows it is nearest to; the
+    weighted candidates, bounded by the size of the models, are reduced on the driver. All folds share the passes. Models of
+    different size on the same rows share one draw: the smaller start is the head of the larger one.
     """
     part = F.coalesce(F.col(fold).cast("int"), F.lit(-1)) if fold else F.lit(-1)
-    hashed = points.select(part.alias("part"), F.xxhash64(vector).alias("h"), F.col(vector).alias("v"))
-    largest = max(s.k for s in specs)
-    size = max(INIT_POOL, 3 * largest)
-    shared = _pool(hashed, 2 * size if fold else size)
-    starts: dict[int | None, np.ndarray] = {}
-    for holdout in {s.holdout for s in specs}:
-        wanted = max(s.k for s in specs if s.holdout == holdout)
-        usable = [h for h in sorted(shared) if holdout is None or not shared[h][0] == shared[h][1] == holdout]
-        pool = [shared[h][2] for h in usable]
-        if len(pool) < wanted and len(shared) >= size:
-            # The fold takes up most of the shared pool: draw again from the other folds alone.
-            own = _pool(hashed.where(F.col("part") != holdout), size)
-            pool = [own[h][2] for h in sorted(own)]
-        starts[holdout] = spread_start(np.array(pool), wanted, seed)
+    hashed = points.select(part.alias("part"), F.xxhash64(vector).alias("h"), F.col(vector).cast("array<double>").alias("v"))
+    wanted = {h: max(s.k for s in specs if s.holdout == h) for h in dict.fromkeys(s.holdout for s in specs)}
+    found: dict[int | None, np.ndarray] = {}
+    for step in range(START_ROUNDS + 1):
+        count = {h: OVERSAMPLING * k if step else 1 for h, k in wanted.items()}
+        for h, rows in _draw(hashed, found, count, seed * 1000 + step + 1).items():
+            if rows:
+                found[h] = np.vstack([found[h], *rows]) if h in found else np.array(rows)
+    held = [h for h in wanted if h in found]
+    if len(held) < len(wanted):
+        raise ValueError("no rows to start from")
+    counts = _partial_sums(points, [found[h] for h in held], [Spec(len(found[h]), h) for h in held], vector, fold)
+    weight = {h: np.zeros(len(found[h])) for h in held}
+    for r in counts.groupBy("model", "cluster").agg(F.sum("n").alias("n")).collect():
+        weight[held[r.model]][r.cluster] = r.n
+    starts = {h: spread_start(found[h], wanted[h], seed, weight[h]) for h in held}
     return [starts[s.holdout][: s.k] for s in specs]
 
 

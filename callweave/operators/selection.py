@@ -134,10 +134,10 @@ def evaluate_density(points: DataFrame, params: dict) -> DataFrame:
 
 
 def grid_search(points: DataFrame, grid: list[dict], threads: int = 4) -> DataFrame:
-    """``params, score, best`` for every parameter set that could be evaluated.
+    """``params, score, best, error`` for every parameter set.
 
-    Parameter sets run side by side as Spark jobs; one that fails is left out. The best is the first
-    one whose score exceeds -1 and all scores before it.
+    Parameter sets run side by side as Spark jobs. One that fails keeps its row, without a score and with the error. The best
+    is the first one whose score exceeds -1 and all scores before it.
     """
     def attempt(params: dict):
         try:
@@ -150,11 +150,9 @@ def grid_search(points: DataFrame, grid: list[dict], threads: int = 4) -> DataFr
     if grid and all(score is None for _, score, _ in results):
         raise RuntimeError("no parameter set could be evaluated") from results[0][2]
     best, best_score, rows = None, -1.0, []
-    for params, score, _ in results:
-        if score is None:
-            continue
-        if score > best_score:
+    for params, score, error in results:
+        if score is not None and score > best_score:
             best, best_score = params, score
-        rows.append((params, score))
-    shown = [({k: str(v) for k, v in p.items()}, float(s), p is best) for p, s in rows]
-    return points.sparkSession.createDataFrame(shown, "params map<string,string>, score double, best boolean")
+        rows.append((params, score, f"{type(error).__name__}: {error}"[:500] if error else None))
+    shown = [({k: str(v) for k, v in p.items()}, None if s is None else float(s), p is best, e) for p, s, e in rows]
+    return points.sparkSession.createDataFrame(shown, "params map<string,string>, score double, best boolean, error string")

@@ -49,7 +49,10 @@ FROM transcripts WHERE year(created_at) <= 2025""",
 )
 def scan_transcripts(spark, sf):
     path = scratch_path(spark, "transcripts-csv")
-    csv_rows(spark, sf).write.options(header=True, quote='"', escape='"', quoteAll=True).csv(path)
+    rows = csv_rows(spark, sf)
+    # As exported files have it: a row number first, and the columns in another order than the schema's.
+    rows = rows.select(F.col("doc_id").alias("Unnamed: 0"), *reversed(rows.columns))
+    rows.write.options(header=True, quote='"', escape='"', quoteAll=True).csv(path)
     scanned = tr.with_publish_columns(tr.scan_transcripts(spark, path), "transcriptcreationdate_utc")
     return fl.year_cap(scanned, 2025, "publish_year").select(
         "doc_id", "year", "speakertypeid", "componenttext", "publish_year", "publish_month"

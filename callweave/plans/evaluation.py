@@ -196,4 +196,4 @@ def optimal_k(spark, sf):
 def grid_search(spark, sf):
     grid = se.param_grid({"n_components": [5], "metric": ["euclidean"], "min_samples": [5, 10], "min_cluster_size": [5, 20]})
     found = se.grid_search(vectors(spark, sf).drop("topic"), grid)
-    return found.select(F.to_json("params").alias("params"), "score", "best")
+    return found.select(F.to_json("params").alias("params"), "score", "best", "error")

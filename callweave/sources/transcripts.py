@@ -23,17 +23,25 @@ TRANSCRIPT_SCHEMA = T.StructType(
 
 
 def scan_transcripts(
-    spark: SparkSession, path: str | list[str], fmt: str = "csv", schema: T.StructType = TRANSCRIPT_SCHEMA
+    spark: SparkSession, path: str | list[str], fmt: str = "csv", schema: T.StructType = TRANSCRIPT_SCHEMA, line_breaks: bool = True
 ) -> DataFrame:
-    """Scan transcripts with a declared schema; nothing is inferred from the data.
+    """Scan the columns of ``schema`` with its types; nothing is inferred from the data.
 
-    Quoted CSV fields may hold line breaks, so one CSV file is one task. Large collections should
-    come as many files, or be turned once into parquet with :func:`ingest`.
+    CSV columns are found by the names in the header, wherever they stand; other columns are left out, and a missing one is an
+    error. All files of a scan have the same header; one that differs stops it. Quoted CSV fields may hold line breaks, so one CSV
+    file is one task. Files without line breaks in fields can be split: pass ``line_breaks=False``. Other large collections
+    should come as many files, or be turned once into parquet with :func:`ingest`.
     """
-    reader = spark.read.schema(schema)
-    if fmt == "csv":
-        reader = reader.options(header=True, multiLine=True, quote='"', escape='"', mode="FAILFAST")
-    return reader.format(fmt).load(path)
+    if fmt != "csv":
+        return spark.read.schema(schema).format(fmt).load(path)
+    options = {"header": True, "multiLine": line_breaks, "quote": '"', "escape": '"', "mode": "FAILFAST", "enforceSchema": False}
+    known = {f.name: f for f in schema.fields}
+    header = spark.read.options(**options).csv(path).columns
+    missing = [c for c in known if c not in header]
+    if missing:
+        raise ValueError(f"columns not found in the header: {missing}")
+    in_file = T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in header])
+    return spark.read.schema(in_file).options(**options).csv(path).select(*known)
 
 
 def with_publish_columns(df: DataFrame, date_column: str, strict: bool = True) -> DataFrame:

@@ -90,14 +90,19 @@ def online_fit(
 
 
 def _read_state(spark: SparkSession, root: str, name: str, batch_id: int, schema: str) -> DataFrame | None:
+    """State after ``batch_id``; none before the first step. A state that should be there and is not stops the run."""
+    if batch_id < 0:
+        return None
     path = f"{root}/{name}/batch={batch_id}"
-    return spark.read.schema(schema).parquet(path) if path_exists(spark, f"{path}/_SUCCESS") else None
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        raise FileNotFoundError(f"the state of step {batch_id} is missing: {path}")
+    return spark.read.schema(schema).parquet(path)
 
 
 def fit_batch(batch: DataFrame, batch_id: int, root: str, k: int, alpha: float = 1.0, key: str = "doc_id", vector: str = "embedding") -> None:
     """One step of the stream form: state of the step before, update, own state, own topics."""
     spark = batch.sparkSession
-    before = _read_state(spark, root, "centres", batch_id - 1, STATE_SCHEMA) if batch_id else None
+    before = _read_state(spark, root, "centres", batch_id - 1, STATE_SCHEMA)
     centres = n = None
     if before is not None:
         rows = before.orderBy("topic").collect()  # at most k rows
@@ -116,7 +121,7 @@ def decay_batch(
     """One step of the decayed term weights: old weights shrink, the batch's counts are added."""
     spark = batch.sparkSession
     schema = f"{topic} int, term string, weight double"
-    before = _read_state(spark, root, "weights", batch_id - 1, schema) if batch_id else None
+    before = _read_state(spark, root, "weights", batch_id - 1, schema)
     counts = (
         document_terms(batch, list(stop), text, 1, keep=(topic,)).groupBy(topic, "term")
         .agg(F.count(F.lit(1)).cast("double").alias("weight"))

@@ -180,11 +180,12 @@ def test_cross_validation(spark):
     assert all(r.silhouette > 0.5 and 0 < r.coherence <= 1 + 1e-9 for r in rows)
 
 
-def test_grid_search_skips_failures(spark):
+def test_grid_search_keeps_failures(spark):
     grid = se.param_grid({"n_components": [2], "min_samples": [3], "min_cluster_size": [10, 1000]}) + [{"n_components": 2}]
     rows = se.grid_search(frame(spark, planted(seed=13)), grid).collect()
-    assert len(rows) == 2 and [r.best for r in rows] == [True, False]
-    assert rows[1].score == -1.0
+    assert [r.best for r in rows] == [True, False, False]
+    assert rows[1].score == -1.0 and rows[1].error is None
+    assert rows[2].score is None and "KeyError" in rows[2].error
     with pytest.raises(RuntimeError):
         se.grid_search(frame(spark, planted()), [{"n_components": 2}])
 

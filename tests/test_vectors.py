@@ -216,3 +216,22 @@ def test_hashed_encoder():
     assert math.isclose(np.linalg.norm(a), 1.0)
     many = encode([" ".join(f"term{i}" for i in range(5000))])
     assert np.isfinite(many).all()
+
+
+def test_a_rare_far_cluster_gets_a_start(spark):
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(0, 1, (20_000, 3)), [[600.0, 600.0, 600.0]]])
+    (start,) = cl.initial_centres(frame(spark, x), [cl.Spec(5)], "embedding", None)
+    assert (np.linalg.norm(start - 600.0, axis=1) < 1e-9).any()
+    again = cl.initial_centres(frame(spark, x[::-1].copy()), [cl.Spec(5)], "embedding", None)[0]
+    assert np.allclose(start, again)
+
+
+def test_rank_limit_of_copies_acts_before_the_shuffle(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    few = Window.partitionBy("v").orderBy("id")
+    limited = spark.range(100).select("id", (F.col("id") % 3).alias("v")).select("id", "v", F.row_number().over(few).alias("copy")).where("copy <= 3")
+    plan = limited._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
