@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ LEET = {
 SWAP, REPEAT, BREAK = -1.0, -0.5, -2.0
 SAMPLE_LABELS, MAX_WORDS, MIN_GROUPS, MIN_G, MIN_SHARE = 12_000, 5_000, 4, 25.0, 0.8
 THRESHOLD = 0.7
+# A stem is a beginning of so many letters. It tells something where words share it at least this often, once in so many words.
+STEMS, STEM_WORDS, STEM_EVERY = (4, 5, 6, 7), 2, 100
 
 _SIGNS = re.escape("".join(LEET))
 # Letters with signs between or before them; single letters with one separator between them; a letter three times.
@@ -103,15 +106,16 @@ class Decoder:
         self.known[shown] = plain = "".join(reversed(out))
         return plain
 
-    def read(self, text: str) -> tuple[str, set[bytes]]:
-        """The restored text, and all words to be scored: as they stand, restored, and spaced ones without a first or last
-        letter that may be a word of its own (``such a s t u p i d thing``)."""
+    def read(self, text: str) -> tuple[str, set[bytes], list[bytes]]:
+        """The restored text, all words to be scored (as they stand, restored, and spaced ones without a first or last
+        letter that may be a word of its own: ``such a s t u p i d thing``), and the restored words in order."""
         restored = self.restore(text)
-        found = {*words(text.encode()), *words(restored.encode())}
+        tokens = words(restored.encode())
+        found = set(tokens) if restored == text else {*tokens, *words(text.encode())}
         for m in _SPACED.finditer(text):
             if len(m[0]) > 7:
                 found.update(words(f"{self.word(m[0][2:], m[1])} {self.word(m[0][:-2], m[1])}".encode()))
-        return restored, found
+        return restored, found, tokens
 
     def restore(self, text: str) -> str:
         """The text with its disguised words in plain letters; everything else stays."""
@@ -120,8 +124,46 @@ class Decoder:
         return _LONG.sub(lambda m: self.word(m[0]), text)
 
 
+def frequent(stems: Counter, n: int) -> set:
+    """The stems that are frequent enough among ``n`` words; they are marked by a sign that no word has."""
+    return {s + b"*" for s, m in stems.items() if m >= STEM_WORDS and m * STEM_EVERY >= n}
+
+
+def all_stems(tokens: list[bytes]) -> Counter:
+    """How many words begin with each stem."""
+    out: Counter = Counter()
+    for word, n in Counter(tokens).items():
+        plain = word.decode("utf-8", "replace")
+        for size in STEMS:
+            if len(plain) >= size:
+                out[plain[:size].encode()] += n
+    return out
+
+
+class Stems:
+    """Given stems, found in words by their first four bytes."""
+
+    def __init__(self, stems):
+        self.by_head: dict[bytes, list[bytes]] = {}
+        for s in stems:
+            self.by_head.setdefault(s[:4], []).append(s)
+
+    def count(self, tokens: list[bytes]) -> Counter:
+        out: Counter = Counter()
+        if self.by_head:
+            for word in tokens:
+                for s in self.by_head.get(word[:4], ()):
+                    if word.startswith(s):
+                        out[s] += 1
+        return out
+
+
+def _group(h: np.ndarray, rolling: Rolling) -> int:
+    return int(rolling.windows(h, min(5, len(h))).min().view(np.int64))
+
+
 def _features(letters):
-    """(word, toxic, grp) of the labelled texts; near copies mostly share a group, so they count about once."""
+    """(word, toxic, grp) of the labelled texts, frequent stems included; near copies mostly share a group, so they count about once."""
 
     def run(batches):
         decoder, hashes, rolling = Decoder(letters.value), WordHash(), Rolling(0x9E3779B97F4A7C15)
@@ -130,9 +172,9 @@ def _features(letters):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 tokens = words(text.encode()) if text else []
                 if tokens:
-                    h = hashes.of(tokens)
-                    grp = int(rolling.windows(h, min(5, len(h))).min().view(np.int64))
-                    for w in decoder.read(text)[1]:
+                    grp = _group(hashes.of(tokens), rolling)
+                    _, found, plain = decoder.read(text)
+                    for w in found | frequent(all_stems(plain), len(plain)):
                         out[0].append(w)
                         out[1].append(toxic)
                         out[2].append(grp)
@@ -141,10 +183,40 @@ def _features(letters):
     return run
 
 
+def _presence(stems: list[bytes]):
+    """(word, toxic, grp) of the labelled texts that hold a word with one of the stems, however rare."""
+
+    def run(batches):
+        known, hashes, rolling = Stems(stems), WordHash(), Rolling(0x9E3779B97F4A7C15)
+        for batch in slices(batches):
+            out = []
+            for text, toxic in zip(text_bytes(batch, "text"), batch.column("toxic").to_pylist()):
+                tokens = words(text)
+                here = known.count(tokens)
+                if here:
+                    grp = _group(hashes.of(tokens), rolling)
+                    out += [(s, toxic, grp) for s in here]
+            if out:
+                word, toxic, grp = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()).cast(pa.string()), pa.array(toxic, pa.int32()), pa.array(grp, pa.int64())], ["word", "toxic", "grp"])
+
+    return run
+
+
 class Model:
+    """Letter model, weights of words and of frequent stems (``stem*``), and the log odds of a text without any of them."""
+
     def __init__(self, letters: np.ndarray, weights: dict[str, float], prior: float):
         self.letters, self.weights, self.prior = letters, weights, prior
 
+    def logit(self, found: set[bytes]) -> float:
+        """Words and stems that begin alike say the same thing, so the strongest of them counts."""
+        best: dict[bytes, float] = {}
+        for w in found:
+            head = w[:4]
+            best[head] = max(best.get(head, 0.0), self.weights[w.decode()])
+        return self.prior + math.fsum(best.values())
+
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_labels: int = SAMPLE_LABELS,
@@ -153,7 +225,9 @@ def fit(
     """Learn letters from all texts and word weights from about ``sample_labels`` labelled documents, chosen by a hash of the id.
 
     A word's weight is its log odds between toxic and other documents, if its likelihood ratio statistic is at least ``MIN_G``, it
-    occurs in ``MIN_GROUPS`` groups of toxic texts, and these are ``MIN_SHARE`` of all it occurs in. Documents with contradicting labels or none are not used.
+    occurs in ``MIN_GROUPS`` groups of toxic texts, and these are ``MIN_SHARE`` of all it occurs in. So does a stem that is frequent in
+    a text, as inflecting languages spread a stem over many words. Words of such a stem are left out if the stem's mere presence has a
+    lower share than that: then one word of it says little. Documents with contradicting labels or none are not used.
     """
     letters = fit_letters(docs, text_col)
     sent = docs.sparkSession.sparkContext.broadcast(letters)
@@ -163,11 +237,13 @@ def fit(
     )
     rows = max(1, clear.count())
     sample = F.broadcast(clear.where(F.pmod(F.xxhash64("doc_id"), F.lit(rows)) < sample_labels))  # bounded by sample_labels
-    seen = (
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(sample, "doc_id").select("text", "toxic")
-        .mapInArrow(_features(sent), "word string, toxic int, grp long").distinct()
-    )
-    both = seen.groupBy("word").agg(F.sum("toxic").cast("double").alias("t"), F.sum(1 - F.col("toxic")).cast("double").alias("f"))
+    labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(sample, "doc_id").select("text", "toxic")
+
+    def by_word(find) -> DataFrame:
+        seen = labelled.mapInArrow(find, "word string, toxic int, grp long").distinct()
+        return seen.groupBy("word").agg(F.sum("toxic").cast("double").alias("t"), F.sum(1 - F.col("toxic")).cast("double").alias("f"))
+
+    both = by_word(_features(sent))
     size = clear.where(F.pmod(F.xxhash64("doc_id"), F.lit(rows)) < sample_labels).agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     pos, neg = float(size[0] or 0), float(size[1] or 0)
     weight = F.log((F.col("t") + 0.5) / (pos + 1)) - F.log((F.col("f") + 0.5) / (neg + 1))
@@ -183,13 +259,17 @@ def fit(
         both.where((F.col("t") >= MIN_GROUPS) & (F.col("t") >= MIN_SHARE * (F.col("t") + F.col("f")))).select("word", weight.alias("w"), told.alias("g")).where(F.col("g") >= MIN_G)
         .orderBy(F.desc("g"), "word").limit(max_words).collect()
     )
-    return Model(letters, {r.word: r.w for r in top}, math.log((pos + 0.5) / (neg + 0.5)))
+    weights = {r.word: r.w for r in top}
+    stems = [w[:-1].encode() for w in weights if w.endswith("*")]
+    vague = [r.word for r in by_word(_presence(stems)).where(F.col("t") < MIN_SHARE * (F.col("t") + F.col("f"))).collect()] if stems else []
+    kept = {w: x for w, x in weights.items() if w.endswith("*") or not w.startswith(tuple(vague))}
+    return Model(letters, kept, math.log((pos + 0.5) / (neg + 0.5)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """(doc_id, score, text) per row of ``docs``: the chance that the text is toxic, and the restored text.
 
-    Null and empty text, and text without a weighted word, gets the prior; null text stays null. ``carry`` adds the whole input
+    Null and empty text, and text without a weighted word or stem, gets the prior; null text stays null. ``carry`` adds the whole input
     row as a column ``row``.
     """
     base = fill_slots(keyed(docs, id_col, text_col, carry), "doc_id")
@@ -199,13 +279,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches):
         m = sent.value
         decoder = Decoder(m.letters)
-        weights = {w.encode(): x for w, x in m.weights.items()}
+        known = {w.encode() for w in m.weights}
+        stems = Stems(w[:-1] for w in known if w.endswith(b"*"))
         for batch in slices(batches):
             scores, plain = [], []
             for text in batch.column("text").to_pylist():
-                restored, found = decoder.read(text) if text else (text, set())
-                hits = weights.keys() & found
-                logit = m.prior + math.fsum(weights[w] for w in hits)
+                restored, found, tokens = decoder.read(text) if text else (text, set(), [])
+                logit = m.logit(known & (found | frequent(stems.count(tokens), len(tokens))))
                 scores.append(1 / (1 + math.exp(-max(-700.0, min(700.0, logit)))))
                 plain.append(restored)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(plain, pa.string()), *(batch.column(c) for c in row)], ["doc_id", "score", "text", *row])

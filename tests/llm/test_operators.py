@@ -177,6 +177,25 @@ def test_toxicity(spark, sf, documents):
     assert got == {1: False, 2: False, 3: True, 4: True, 5: False, 6: True, 7: True}
 
 
+def test_toxic_stems(spark, documents):
+    """A stem that is spread over many words is learnt; a single word with it is not enough where clean texts have that too."""
+    rng = random.Random(9)
+
+    def text(n, stem=0):
+        plain = ["".join(rng.choice("aeioulmnrst") for _ in range(6)) for _ in range(n - stem)]
+        out = plain + ["blörf" + "".join(rng.choice("aeioulmnrst") for _ in range(3)) for _ in range(stem)]
+        rng.shuffle(out)
+        return " ".join(out)
+
+    rows = [(i, text(60, 3)) for i in range(40)] + [(i, text(60, i % 2)) for i in range(40, 300)]
+    labels = spark.createDataFrame([(i, int(i < 40)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(documents(rows), labels)
+    assert "blörf*" in model.weights and not any(w.startswith("blörf") for w in model.weights if not w.endswith("*"))
+    new = [(1, text(60, 2)), (2, text(60, 1)), (3, text(60)), (4, text(3000, 3)), (5, text(3000, 40)), (6, "* blörf*")]
+    got = {r.doc_id: r.score >= toxicity.THRESHOLD for r in toxicity.score(documents(new), model).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: False, 5: True, 6: False}
+
+
 def test_pipeline(spark, sf, documents):
     start = spark.read.parquet(f"{sf}/documents.parquet")
     docs, counts = start, []
