@@ -58,6 +58,30 @@ def test_n_best_of_a_text(vocabulary):
         assert vocabulary.decode(new) == text and new != ids
 
 
+def test_segments_together_and_alone(vocabulary):
+    rng = random.Random(5)
+    some = ["".join(rng.choice(" etaoinsthe▁q日é\U0001f600!\n\x00") for _ in range(rng.randint(1, 40))) for _ in range(400)]
+    flat, size, score, loss = vocabulary.two_best_many(some)
+    ends = np.cumsum(size)
+    for i, segment in enumerate(some):
+        ids, best, lost = vocabulary.two_best(segment)
+        assert tuple(flat[ends[i] - size[i] : ends[i]]) == ids and score[i] == best and loss[i] == lost
+    assert [len(x) for x in vocabulary.two_best_many([])] == [0, 0, 0, 0]
+
+
+def test_a_full_table_changes_nothing(vocabulary):
+    texts = ["", "one two three", "two  three\n\nfour", "x" * 200 + " one", "", "five six seven eight nine"] * 3
+    small, large = (list(pieces.Segments(vocabulary, 3, keep).encode_many(texts, chars=10)) for keep in (2, 1000))
+    for a, b in zip(small, large, strict=True):
+        assert a[0].tolist() == b[0].tolist() and a[1:] == b[1:]
+
+
+def test_ties_do_not_multiply(vocabulary):
+    for segment in (" " * 3000, "ab" * 20000):
+        found = vocabulary.n_best(segment, 3)
+        assert len(set(found)) == 3 and found[0][0] >= found[1][0] >= found[2][0]
+
+
 def test_pieces_round_trip(spark, documents):
     texts = [None, "", " ", "▁", " a  b \n\n\tc", "日本語 \U0001f600 x" * 50, "word " * 20000, "z" * 3000, "￿\x00"]
     got = pieces.decode(pieces.encode(documents(list(enumerate(texts))))).orderBy("doc_id").collect()
