@@ -265,6 +265,20 @@ def kmeans_fixed_init(points: DataFrame, init: DataFrame, steps: int, vector: st
     return ids, centres[0]
 
 
+def inertia_by_fold(points: DataFrame, models: list[np.ndarray], fold: str = "fold", vector: str = "embedding") -> DataFrame:
+    """Sum of squared distances of the rows of each fold to the nearest centre of the model with that number, in one job."""
+
+    @F.pandas_udf("double")
+    def cost(v: pd.Series, number: pd.Series) -> pd.Series:
+        x, out = stack(v), np.zeros(len(v))
+        for f in number.unique():
+            rows = (number == f).to_numpy()
+            out[rows] = nearest(x[rows], models[f])[1] ** 2
+        return pd.Series(out)
+
+    return points.select(fold, cost(vector, fold).alias("cost")).groupBy(fold).agg(F.sum("cost").alias("inertia"))
+
+
 def inertia(points: DataFrame, centres: DataFrame | Centres, vector: str = "embedding") -> DataFrame:
     """Sum of squared distances to the nearest centre."""
     near = assign_topics(points, centres, vector)

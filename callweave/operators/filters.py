@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,19 +129,24 @@ def global_rank(df: DataFrame, bucket: Column, order: list[Column], name: str =
     )
 
 
-RANK_BUCKETS = 65_536
+# Rows that a bucket of a ranking should hold, and the most buckets.
+RANK_ROWS, RANK_BUCKETS = 50_000, 10_000
 
 
 def assign_row_id(df: DataFrame, key: str = "doc_id", name: str = "row_id") -> DataFrame:
     """Consecutive row ids in the order of an integer key that is unique.
 
-    The key range is cut into equal widths. As the key is unique, no bucket holds more rows than
-    its width.
+    The keys are cut into buckets at approximate quantiles, so a few far keys cannot crowd all others into one bucket. The
+    ids are exact wherever the cuts lie.
     """
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    width = 1 if low is None else max(1, -(-(high - low + 1) // RANK_BUCKETS))
-    bucket = F.floor((F.col(key) - F.lit(low or 0)) / F.lit(width)).cast("long")
-    return global_rank(df, bucket, [F.col(key)], name)
+    parts = min(RANK_BUCKETS, -(-df.count() // RANK_ROWS))
+    if parts <= 1:
+        return global_rank(df, F.lit(0), [F.col(key)], name)
+    cuts = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
+    edges = [-math.inf, *sorted({float(c) for c in cuts}), math.inf]
+    keyed = df.withColumn("_key", F.col(key).cast("double"))
+    cut = Bucketizer(splits=edges, inputCol="_key", outputCol="_cut").transform(keyed)
+    return global_rank(cut, F.col("_cut").cast("int"), [F.col(key)], name).drop("_key", "_cut")
 
 
 def hash_rank(df: DataFrame, key: str, seed: int = 42, name: str = "rank") -> DataFrame:

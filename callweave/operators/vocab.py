@@ -68,18 +68,20 @@ def document_terms(docs: DataFrame, stop: list[str], text: str = "text", max_n:
     return one.select(*keep, F.explode(tx.each(F.concat("tokens", pairs))).alias("term"))
 
 
-def count_vectorize(docs: DataFrame, vocab: DataFrame, stop: list[str], text: str = "text", max_n: int = 2) -> DataFrame:
-    """Long-format counts (document, term, tf) of the vocabulary terms.
+def count_vectorize(
+    docs: DataFrame, vocab: DataFrame, stop: list[str], text: str = "text", max_n: int = 2, by: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
+    """Long-format counts (document, term, tf) of the vocabulary terms; ``by`` counts them per other columns, such as the topic.
 
     Within the bound the vocabulary filters the terms before they are counted; beyond it the counts
     come first, so that a frequent term meets the join once per document only.
     """
-    terms = document_terms(docs, stop, text, max_n)
+    terms = document_terms(docs, stop, text, max_n, by)
     vocab = materialise(vocab.select("term"), "vocab")
     tf = F.count(F.lit(1)).alias("tf")
     if is_small(vocab):
-        return terms.join(F.broadcast(vocab), "term", "left_semi").groupBy("doc_id", "term").agg(tf)
-    return terms.groupBy("doc_id", "term").agg(tf).join(vocab, "term", "left_semi").select("doc_id", "term", "tf")
+        return terms.join(F.broadcast(vocab), "term", "left_semi").groupBy(*by, "term").agg(tf)
+    return terms.groupBy(*by, "term").agg(tf).join(vocab, "term", "left_semi").select(*by, "term", "tf")
 
 
 def token_dictionary(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ from callweave.operators import filters as fl
 from callweave.operators import words as wd
 from callweave.plans.registry import query, table
 from callweave.plans.sqltext import STOP_WORDS, STOP, TRANSCRIPTS, YEARQ, quoted
-from callweave.session import fill_slots, scratch_path
+from callweave.session import checked_broadcast, fill_slots, scratch_path
 from callweave.sources import stores, transcripts as tr
 
 
@@ -81,7 +81,7 @@ def scan_stoplist(spark, sf):
         F.explode(tx.each(F.regexp_extract_all("text", F.lit("[^ \\n]+"), F.lit(0)))).alias("token")
     )
     counted = tokens.groupBy(F.lower("token").alias("word")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.join(F.broadcast(words), "word", "left_semi")
+    return counted.join(checked_broadcast(words), "word", "left_semi")
 
 
 PROCESSED = f"WITH {TRANSCRIPTS}"
@@ -153,14 +153,12 @@ def sink_topic_info(spark, sf):
 
 @query(
     "ingest_by_quarter",
-    f"""WITH {TRANSCRIPTS} SELECT {YEARQ} AS publish_yearq, count(*) AS n_docs FROM transcripts
-WHERE {YEARQ} >= '2015Q1' GROUP BY 1""",
+    f"""WITH {TRANSCRIPTS} SELECT {YEARQ} AS publish_yearq, count(*) AS n_docs FROM transcripts GROUP BY 1""",
 )
 def ingest_by_quarter(spark, sf):
     path = scratch_path(spark, "by-quarter")
     tr.ingest(view(spark, sf).withColumn("publish_yearq", dates.year_quarter(F.col("created_at"))), path)
-    stored = spark.read.parquet(path).where("publish_yearq >= '2015Q1'")
-    return stored.groupBy("publish_yearq").agg(F.count(F.lit(1)).alias("n_docs"))
+    return spark.read.parquet(path).groupBy("publish_yearq").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 @query(
@@ -243,7 +241,8 @@ def category_cast(spark, sf):
 )
 def union_chunks(spark, sf):
     df = view(spark, sf)
-    parts = [df.where(F.col("lang") == lang) for lang in ("en", "fr", "de", "es")]
+    named = F.coalesce(F.col("lang").isin("en", "fr"), F.lit(False))
+    parts = [df.where(named), df.where(~named)]
     return tr.union_chunks([fl.year_cap(p.withColumn("year", F.year("created_at")), 2018) for p in parts]).select(
         "doc_id", "lang"
     )

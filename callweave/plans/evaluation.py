@@ -169,10 +169,7 @@ def fold_means(spark, sf):
     labelled = cl.label_many(split, models)
     own = materialise(labelled.withColumn("own", F.array(F.element_at("labels", F.col("fold") + 1))), "own")
     silhouettes = ev.silhouette_many(own, "own", group="fold").select(F.col("part").alias("fold"), "silhouette")
-    costs = [
-        (f, float(cl.inertia(own.where(F.col("fold") == f), (np.array(topics), models[f])).first()["inertia"])) for f in range(10)
-    ]
-    scores = silhouettes.join(spark.createDataFrame(costs, "fold int, inertia double"), "fold")
+    scores = silhouettes.join(cl.inertia_by_fold(own, models), "fold")
     means = se.fold_means(scores, "silhouette", "inertia")
     return means.select(tidy(F.col("silhouette")).alias("silhouette"), tidy(F.col("inertia")).alias("inertia"))
 

@@ -42,9 +42,7 @@ def spoken(spark, sf):
 
 def weights(spark, sf):
     vocab = vc.build_vocab(docs(spark, sf), seed_frame(spark))
-    talk = spoken(spark, sf)
-    counted = vc.count_vectorize(talk, vocab, STOP)
-    return tp.class_tfidf(counted.join(talk.select("doc_id", "topic"), "doc_id").select("topic", "term", "tf"))
+    return tp.class_tfidf(vc.count_vectorize(spoken(spark, sf), vocab, STOP, by=("topic",)))
 
 
 def top_words(spark, sf, k=10):

@@ -53,6 +53,13 @@ def test_silhouette_by_fold(spark):
         assert abs(r.silhouette - brute_silhouette(x[mine], (ids[mine] * 7) % 4)) < 1e-9
 
 
+def test_single_clusters_need_no_distances(spark, monkeypatch):
+    df = frame(spark, crowded(n=40)).withColumn("labels", F.array(F.lit(3), F.lit(-1)))
+    monkeypatch.setattr(ev, "blocked_self", None)
+    got = ev.silhouette_many(df).orderBy("pos").collect()
+    assert [tuple(r) for r in got] == [(0, 0, -1.0, 1), (0, 1, -1.0, 1)]
+
+
 def brute_windows(docs, window):
     out = []
     for d in docs:

@@ -18,6 +18,17 @@ def test_row_ids_are_consecutive(spark, ids):
     assert got == {v: n for n, v in enumerate(sorted(ids))}
 
 
+def test_a_far_key_does_not_crowd_the_ids(spark, monkeypatch):
+    monkeypatch.setattr(fl, "RANK_ROWS", 100)
+    sizes = []
+    whole = fl.global_rank
+    monkeypatch.setattr(fl, "global_rank", lambda df, bucket, *a: (sizes.extend(r["count"] for r in df.groupBy(bucket.alias("b")).count().collect()), whole(df, bucket, *a))[1])
+    ids = [*range(5000), 10**17]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    assert {r.doc_id: r.row_id for r in fl.assign_row_id(df).collect()} == {v: n for n, v in enumerate(ids)}
+    assert max(sizes) < 400 and sum(sizes) == len(ids)
+
+
 @QUICK
 @given(st.integers(1, 80), st.integers(2, 7), st.integers(0, 5))
 def test_folds_partition_the_ids(spark, n, splits, seed):
