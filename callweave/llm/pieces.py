@@ -14,7 +14,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import slices
+from callweave.llm.common import slices, whole_texts
 from callweave.session import fill_slots
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -317,7 +317,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_be
     ``n_best`` - 1 ones, each as its loss and its changes to ``ids``. The vocabulary file is read by the driver and travels with the tasks
     (half a megabyte). Null and empty text has no pieces, score 0 and no others. Nothing is shuffled.
     """
-    base = fill_slots(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "doc_id")
+    base = fill_slots(whole_texts(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "doc_id")
     sent = docs.sparkSession.sparkContext.broadcast(_load(vocabulary))
     change = pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])
     other = pa.list_(pa.struct([("loss", pa.float64()), ("changes", pa.list_(change))]))

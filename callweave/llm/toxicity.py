@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import Rolling, WordHash, keyed, slices, text_bytes, words
+from callweave.llm.common import Rolling, WordHash, keyed, slices, text_bytes, whole_texts, words
 from callweave.session import fill_slots
 
 # What a sign may stand for.
@@ -52,7 +52,7 @@ def _trigrams(batches):
 
 def fit_letters(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Log probabilities of a letter after the two before it, from all texts."""
-    counted = fill_slots(docs.select(F.col(text_col).alias("text")), "text").mapInArrow(_trigrams, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    counted = fill_slots(whole_texts(docs).select(F.col(text_col).alias("text")), "text").mapInArrow(_trigrams, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
     n = np.zeros(27**3)
     for r in counted.collect():  # at most 27 ** 3 rows
         n[r.k] = r.n
