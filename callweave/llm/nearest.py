@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours: multiprobe p-stable hashing with exact reranking."""
+"""Nearest neighbours: multiprobe p-stable hashing with exact reranking, and an exact scan for queries the cells do not answer."""
 
 from __future__ import annotations
 
@@ -18,6 +18,7 @@ TABLES, HASHES, WIDTH = 8, 3, 0.6
 SAMPLE_QUERIES, RECALL, MAX_PROBES = 64, 0.97, 512
 # Vectors compared in one task group.
 BLOCK = 4096
+_ERF = np.frompyfunc(math.erf, 1, 1)
 
 
 class Hashes:
@@ -121,24 +122,59 @@ def _scan(sample_ids: np.ndarray, sample: np.ndarray, k: int):
     return run
 
 
-def fit_probes(data: DataFrame, hashes: Hashes, queries: DataFrame, k: int, sample_queries: int, recall: float) -> int:
-    """Probes a table needed to reach ``recall`` on a bounded sample of queries, whose neighbours an exact scan finds."""
+def sampled(data: DataFrame, queries: DataFrame, k: int, sample_queries: int) -> tuple[np.ndarray, list]:
+    """A bounded sample of the queries, and their exact nearest as rows (q, rank, score, v)."""
     n = max(1, queries.count())
-    sample = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) < sample_queries).limit(2 * sample_queries).collect()
+    sample = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) < sample_queries).limit(2 * sample_queries).collect() or queries.limit(1).collect()
     if not sample:
-        return 1
+        return np.zeros((0, 0)), []
     ids, vectors = np.array([r.vec_id for r in sample]), np.array([r.v for r in sample])
     local = data.mapInArrow(_scan(ids, vectors, k), "q long, vec_id long, score double, v array<double>")
     rank = F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))
-    near = local.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "v").collect()  # sample_queries * k rows at most
+    return vectors, local.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "rank", "score", "v").collect()  # sample_queries * k rows at most
+
+
+def fit_scale(near: list) -> float:
+    """Median distance from a sample query to the last of its neighbours; copies, at no distance, tell nothing."""
+    last = {r.q: r.score for r in sorted(near, key=lambda r: r["rank"]) if r.score > 0}
+    return float(np.median(list(last.values()))) if last else 1.0
+
+
+def fit_probes(hashes: Hashes, vectors: np.ndarray, near: list, recall: float) -> int | None:
+    """Probes a table needed to reach ``recall`` on the sample; none if ``MAX_PROBES`` do not reach it."""
+    if not near:
+        return 1
     places = hashes.project(vectors)
-    order = [[{c: i for i, c in enumerate(Hashes.cells(probes(places[q, t], MAX_PROBES)).tolist())} for t in range(hashes.tables)] for q in range(len(ids))]
-    needed = []
-    cells = Hashes.cells(np.floor(hashes.project(np.array([r.v for r in near])))) if near else []
-    for r, cell in zip(near, cells):
-        needed.append(min(order[r.q][t].get(int(c), MAX_PROBES) for t, c in enumerate(cell)) + 1)
-    needed.sort()
-    return min(MAX_PROBES, needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)]) if needed else 1
+    order = [[{c: i for i, c in enumerate(Hashes.cells(probes(places[q, t], MAX_PROBES)).tolist())} for t in range(hashes.tables)] for q in range(len(vectors))]
+    cells = Hashes.cells(np.floor(hashes.project(np.array([r.v for r in near]))))
+    needed = sorted(min(order[r.q][t].get(int(c), MAX_PROBES) for t, c in enumerate(cell)) + 1 for r, cell in zip(near, cells))
+    count = needed[math.ceil(recall * len(needed)) - 1]
+    return count if count <= MAX_PROBES else None
+
+
+def reach(places: np.ndarray, visited: list[np.ndarray], width: float, recall: float) -> float:
+    """The distance up to which a row is in a visited cell of some table with a chance of ``recall`` or more.
+
+    ``places`` is a projected query, in cells, and ``visited`` its cells in each table. The projections of a row at distance d differ from
+    the query's by normal deviates of deviation d; the cells lie about the query without holes, so the chance falls with d.
+    """
+    low = [np.floor(c).astype(np.int64) - np.floor(p).astype(np.int64) for p, c in zip(places, visited)]
+    side = max(int(np.abs(x).max()) for x in low)
+    edges = np.floor(places)[..., None] + np.arange(-side, side + 2) - places[..., None]
+
+    def chance(d: float) -> float:
+        below = _ERF(edges * (width / (d * math.sqrt(2)))).astype(float)
+        within = np.diff(below, axis=-1) / 2
+        missed = 1.0
+        for t, steps in enumerate(low):
+            missed *= 1 - min(1.0, np.prod([within[t, h, steps[:, h] + side] for h in range(steps.shape[1])], axis=0).sum())
+        return 1 - missed
+
+    near, far = 0.0, width * (side + 1) * 4
+    for _ in range(16):
+        middle = (near + far) / 2
+        near, far = (middle, far) if chance(middle) >= recall else (near, middle)
+    return near
 
 
 def nearest(
@@ -149,8 +185,10 @@ def nearest(
 
     Every usable row is indexed in ``tables`` hash tables of ``hashes`` p-stable projections. A query visits, in each table, the
     cells around its own in the order of their estimated success; how many is fitted on ``sample_queries`` queries to reach
-    ``recall``, or given. In a cell the distances are computed exactly, and only the ``k`` best of each query leave it; the
-    lists of all cells are merged. Cells above ``block`` vectors or queries are cut into blocks of each, compared pair by pair. Of
+    ``recall``, or given. Cells are ``width`` times the sample's median distance to the last neighbour wide, which a few long vectors do not
+    move. In a cell the distances are computed exactly, and only the ``k`` best of each query leave it; the
+    lists of all cells are merged. A query that then has fewer rows than there are, or whose last row lies farther than its cells
+    hold rows with a chance of ``recall``, is compared with every row instead; so are all queries if the fit fails. Cells above ``block`` vectors or queries are cut into blocks of each, compared pair by pair. Of
     equal vectors the ``k`` + 1 smallest ids are indexed, as no result can hold more.
 
     Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, as query or
@@ -162,13 +200,22 @@ def nearest(
     asked = data.where(queries)
     same = Window.partitionBy(F.xxhash64("v"), F.xxhash64(F.lit(1), "v")).orderBy("vec_id")
     kept = data.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1).drop("copy")
+    kept = materialise(kept, "kept")
     first = data.select(F.size("v").alias("n")).first()
     out = "query_id long, rank int, vec_id long, score double"
-    if first is None:
+    want = min(k, kept.count() - 1)
+    if first is None or want < 1:
         return spark.createDataFrame([], out)
-    norm = data.agg(F.avg(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
-    index = Hashes(first.n, norm, tables, hashes, width)
-    count = probes_per_table or fit_probes(data, index, asked, k, sample_queries, recall)
+    sample, near = sampled(kept, asked, k, sample_queries)
+    index = Hashes(first.n, fit_scale(near), tables, hashes, width)
+    count = probes_per_table or fit_probes(index, sample, near, recall)
+    ranked = lambda pairs: (
+        pairs.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        .withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
+        .select("query_id", "rank", "vec_id", "score")
+    )
+    if count is None:
+        return ranked(_exact(kept, asked, k, block))
     sent = spark.sparkContext.broadcast(index)
 
     def place(many: int):
@@ -179,9 +226,11 @@ def nearest(
                     continue
                 places = h.project(_rows(batch, "v"))
                 if many:
-                    visited = np.stack([np.stack([_padded(Hashes.cells(probes(p[t], many)), many) for t in range(h.tables)]) for p in places])
+                    around = [[probes(p[t], many) for t in range(h.tables)] for p in places]
+                    visited = np.stack([np.stack([_padded(Hashes.cells(c), many) for c in each]) for each in around])
+                    far = np.array([reach(p, each, h.width, recall) for p, each in zip(places, around)])
                 else:
-                    visited = Hashes.cells(np.floor(places))[:, :, None]
+                    visited, far = Hashes.cells(np.floor(places))[:, :, None], np.zeros(len(places))
                 per = visited.shape[2]
                 row = np.repeat(np.arange(batch.num_rows), h.tables * per)
                 table = np.tile(np.repeat(np.arange(h.tables, dtype=np.int32), per), batch.num_rows)
@@ -190,15 +239,17 @@ def nearest(
                 for a in range(0, len(row), 20_000):
                     s = slice(a, a + 20_000)
                     use = some[s]
-                    index_ = pa.array(row[s][use])
+                    index_ = row[s][use]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(table[s][use]), pa.array(cell[s][use]), batch.column("vec_id").take(index_)], ["t", "cell", "vec_id"]
+                        [pa.array(table[s][use]), pa.array(cell[s][use]), batch.column("vec_id").take(pa.array(index_)), pa.array(far[index_])], ["t", "cell", "vec_id", "reach"]
                     )
 
         return run
 
-    spots = materialise(kept.mapInArrow(place(0), "t int, cell long, vec_id long"), "cells")
-    visits = materialise(fill_slots(asked, "vec_id").mapInArrow(place(count), "t int, cell long, vec_id long"), "visits")
+    placed = "t int, cell long, vec_id long, reach double"
+    spots = materialise(kept.mapInArrow(place(0), placed).drop("reach"), "cells")
+    probed = materialise(fill_slots(asked, "vec_id").mapInArrow(place(count), placed), "visits")
+    visits = probed.drop("reach")
     # A cell is cut into blocks of vectors and blocks of queries; each pair of blocks is one group.
     cut = lambda rows, name: rows.groupBy("t", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
     sizes = cut(spots, "subs").join(cut(visits, "parts"), ["t", "cell"])
@@ -208,6 +259,27 @@ def nearest(
     asking = visits.join(sizes, ["t", "cell"]).select("t", "cell", every("subs").alias("sub"), own("parts").alias("part"), "vec_id", F.lit(True).alias("ask"))
     both = stored.unionByName(asking).join(data, "vec_id")
 
+    found = materialise(ranked(_compared(both, ["t", "cell", "sub", "part"], k)), "found")
+    last = found.where(F.col("rank") == want).select(F.col("query_id").alias("vec_id"), F.col("score").alias("last"))
+    reached = probed.groupBy("vec_id").agg(F.max("reach").alias("reach")).join(last, "vec_id", "left")
+    left = materialise(reached.where("last is null or last > reach").select("vec_id"), "left")
+    answered = found.join(left.withColumnRenamed("vec_id", "query_id"), "query_id", "left_anti")
+    return answered.unionByName(ranked(_exact(kept, asked.join(left, "vec_id"), k, block)))
+
+
+def _exact(rows: DataFrame, asked: DataFrame, k: int, block: int) -> DataFrame:
+    """(query_id, vec_id, score): the best of every block of rows for every query; no pair of blocks is more than one group."""
+    subs, parts = (max(1, math.ceil(x.count() / block)) for x in (rows, asked))
+    own = lambda n, name: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(name)
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    stored = rows.select(own(subs, "sub"), every(parts, "part"), "vec_id", F.lit(False).alias("ask"), "v")
+    asking = asked.select(every(subs, "sub"), own(parts, "part"), "vec_id", F.lit(True).alias("ask"), "v")
+    return _compared(stored.unionByName(asking), ["sub", "part"], k)
+
+
+def _compared(both: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """(query_id, vec_id, score): within each group of ``keys``, the ``k`` best of its rows for each of its queries."""
+
     def compare(group: pa.Table) -> pa.Table | None:
         ask = group["ask"].to_numpy(zero_copy_only=False)
         if not ask.any() or ask.all():
@@ -221,13 +293,8 @@ def nearest(
             score.append(d.tolist())
         return pa.table({"query_id": q, "near": pa.array(near, pa.list_(pa.int64())), "score": pa.array(score, pa.list_(pa.float64()))})
 
-    lists = grouped(both, ["t", "cell", "sub", "part"], compare, "query_id long, near array<long>, score array<double>")
-    pairs = (
-        lists.select("query_id", F.explode(F.arrays_zip("near", "score")).alias("x")).select("query_id", F.col("x.near").alias("vec_id"), F.col("x.score").alias("score"))
-        .groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    )
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    lists = grouped(both, keys, compare, "query_id long, near array<long>, score array<double>")
+    return lists.select("query_id", F.explode(F.arrays_zip("near", "score")).alias("x")).select("query_id", F.col("x.near").alias("vec_id"), F.col("x.score").alias("score"))
 
 
 def _padded(cells: np.ndarray, n: int) -> np.ndarray:

@@ -184,6 +184,24 @@ def test_nearest_awkward(spark):
     assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(0, 1, 1), (0, 2, 6)]
 
 
+def test_nearest_far_out(spark):
+    """Queries far from most rows, whose cells hold no other row, get all their neighbours as well."""
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((2000, 16))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    v[:10] *= 50
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = nearest.nearest(table, (F.col("vec_id") < 5) | (F.col("vec_id") % 50 == 7)).toPandas()
+    hits = 0
+    for q, found in got.groupby("query_id"):
+        d = np.sqrt(((v - v[q]) ** 2).sum(1))
+        d[q] = np.inf
+        right = {*np.argsort(d, kind="stable")[:10]}
+        assert len(found) == 10 and (q >= 10 or right == {*found.vec_id})
+        hits += len(right & {*found.vec_id})
+    assert set(got.query_id) == {*range(5), *range(7, 2000, 50)} and hits / len(got) >= 0.97
+
+
 def test_languages(spark, sf, documents):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = QUERIES["op10_language_id"](spark, sf).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
