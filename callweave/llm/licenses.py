@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import re
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,7 +14,7 @@ from pyspark.sql import functions as F
 from callweave.llm.common import slices, text_bytes, words
 from callweave.session import fill_slots
 
-# Phrases whose places are counted, and opening passages of public licences.
+# Phrases whose places are counted, opening passages of public licences, and short notices with their variants.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 TEMPLATES = [
     ("mit", "Released under the MIT License"),
@@ -24,7 +28,59 @@ TEMPLATES = [
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 ]
+NOTICES = [
+    ("mit", "Licensed under the MIT License"), ("mit", "This project is licensed under the terms of the MIT license"),
+    ("apache", "Licensed under the Apache License 2.0"), ("isc", "Licensed under the ISC License"), ("isc", "Released under the ISC License"),
+    ("bsd", "Licensed under the BSD License"), ("bsd", "Released under the BSD License"), ("bsd", "BSD 2-Clause License"), ("bsd", "BSD 3-Clause License"),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("lgpl", "GNU Lesser General Public License"), ("lgpl", "GNU Library General Public License"), ("agpl", "GNU Affero General Public License"), ("gpl", "Use with the GNU Affero General Public License"),
+    ("mpl", "Mozilla Public License"), ("epl", "Eclipse Public License"), ("epl", "made available under the terms of the Eclipse Public License"),
+    ("unlicense", "Released under the Unlicense"), ("unlicense", "released into the public domain under the Unlicense"),
+    ("cc0", "CC0 1.0 Universal"), ("cc0", "Creative Commons Zero"), ("bsl", "Boost Software License"),
+]
+# Creative Commons variants: (short form, spellings of the long form); each pair of them is a template of its own.
+_CC = {
+    "cc-by": ("CC BY", ["Attribution"]),
+    "cc-by-sa": ("CC BY-SA", ["Attribution-ShareAlike", "Attribution-Share Alike"]),
+    "cc-by-nd": ("CC BY-ND", ["Attribution-NoDerivatives", "Attribution-NoDerivs", "Attribution-No Derivatives"]),
+    "cc-by-nc": ("CC BY-NC", ["Attribution-NonCommercial", "Attribution-Non-Commercial"]),
+    "cc-by-nc-sa": ("CC BY-NC-SA", ["Attribution-NonCommercial-ShareAlike", "Attribution-Non-Commercial-Share Alike"]),
+    "cc-by-nc-nd": ("CC BY-NC-ND", ["Attribution-NonCommercial-NoDerivatives", "Attribution-NonCommercial-NoDerivs", "Attribution-Non-Commercial-No Derivatives"]),
+}
+# Words that tell variants apart. Templates of fewer than NOTICE words need the same ones as the text at their place.
+TELLING = {
+    "noncommercial", "commercial", "nc", "sharealike", "alike", "sa", "noderivatives", "noderivs", "derivatives", "derivs", "nd", "lesser", "library", "affero",
+}
+NOTICE = 40
+# Of two templates at one place, a missing word of the one outweighs so many matched words.
+MISSING = 5
+# Paragraphs of whole licences with fewer words are no templates; a gap is at most one word in so many of the template.
+MIN_PARAGRAPH, GAP_EVERY = 12, 5
 MIN_MATCH, MAX_GAP, MIN_COVER = 3, 6, 0.8
+TEXTS = Path(__file__).parent / "license_texts"
+_PARAGRAPH = re.compile(r"\n\s*\n|\n(?=\s*(?:\d+\.|\(?[a-z0-9]{1,3}\)|\*)\s)")
+_ENUMERATOR = re.compile(r"^\s*(?:\d+(?:\.\d+)*\.|\(?[a-z0-9]{1,3}\)|\*)\s+")
+
+
+def paragraphs(texts: Path = TEXTS) -> list[tuple[str, str]]:
+    """(label, paragraph) of the whole licences; a file is named by its label, and by a version where there are several."""
+    out = []
+    for path in sorted(texts.glob("*.txt")):
+        for part in _PARAGRAPH.split(path.read_text("utf-8")):
+            part = _ENUMERATOR.sub("", part)
+            if len(words(part.encode())) >= MIN_PARAGRAPH and not re.match(r"\s*copyright", part, re.IGNORECASE):
+                out.append((re.sub(r"-[\d.]+$", "", path.stem), part))
+    return out
+
+
+def all_templates() -> list[tuple[str, str]]:
+    """Opening passages, notices, the Creative Commons variants and every paragraph of the whole licences."""
+    out = TEMPLATES + NOTICES
+    for label, (short, forms) in _CC.items():
+        out = out + [(label, f"{short} {v}") for v in ("4.0", "3.0")] + [(label, f"Licensed under {short} {v}") for v in ("4.0", "3.0")]
+        for form, v in itertools.product(forms, ("4.0 International", "3.0 Unported")):
+            out = out + [(label, f"Creative Commons {form} {v}"), (label, f"This work is licensed under a Creative Commons {form} {v} License")]
+    return out + paragraphs()
 
 
 class Automaton:
@@ -96,11 +152,16 @@ class Automaton:
 class Scanner:
     def __init__(self, templates: list[tuple[str, str]], phrases: dict[str, str], min_match: int, max_gap: int):
         self.ids: dict[bytes, int] = {}
-        self.labels = [label for label, _ in templates]
-        self.templates = [self._numbered(text) for _, text in templates]
+        known: dict[tuple[int, ...], set[str]] = {}
+        for label, text in templates:
+            known.setdefault(tuple(self._numbered(text)), set()).add(label)
+        # A passage that several licences share word for word is one template with all their labels.
+        self.templates, self.labels = [list(t) for t in known], [sorted(x) for x in known.values()]
         self.phrases = [(label, self._numbered(p)) for p, label in phrases.items()]
+        self.telling = {self.ids[w] for w in (x.encode() for x in TELLING) if w in self.ids}
         self.automaton = Automaton(self.templates)
-        self.min_match, self.max_gap = min_match, max_gap
+        self.min_match = min_match
+        self.gaps = [min(max_gap, len(t) // GAP_EVERY) for t in self.templates]
 
     def _numbered(self, text: str) -> list[int]:
         return [self.ids.setdefault(w, len(self.ids) + 1) for w in words(text.encode())]
@@ -116,62 +177,108 @@ class Scanner:
                 out += [(int(s), label) for s in np.flatnonzero(here)]
         return sorted(out)
 
-    def matches(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
-        """(first word, words, state) of the matches that cannot be extended to the right."""
+    def _within(self, state: int, n: int) -> dict[tuple[int, int], int]:
+        """(template, last word) -> words of the longest match with that end, for a place whose longest match of all is ``n`` words in ``state``."""
+        out: dict[tuple[int, int], int] = {}
+        while state > 0 and n >= self.min_match:
+            for end in self.automaton.ends[state]:
+                out.setdefault(end, n)
+            state = self.automaton.link[state]
+            n = self.automaton.length[state]
+        return out
+
+    def matches(self, ids: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(least first word from here on, first word, words, template, its last word) of the matches that cannot be extended in their template."""
         known = np.r_[False, ids > 0, False].astype(np.int8)
         edge = np.flatnonzero(np.diff(known))
         out = []
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
             if b - a < self.min_match:
                 continue
-            stats = self.automaton.statistics(ids[a:b].tolist())
-            for i, (n, state) in enumerate(stats):
-                if n >= self.min_match and (i + 1 == len(stats) or stats[i + 1][0] <= n):
-                    out.append((a + i - n + 1, n, state))
+            here: dict[tuple[int, int], int] = {}
+            before = 0
+            for i, (n, state) in enumerate([*self.automaton.statistics(ids[a:b].tolist()), (0, 0)]):
+                now = self._within(state, n)
+                for (t, last), m in here.items():
+                    if (t, last + 1) not in now:
+                        out.append((a + i - before, a + i - m, m, t, last))
+                here, before = now, n
         return out
 
-    def spans(self, ids: np.ndarray) -> list[tuple[str, int, int, float]]:
-        """(label, start, end, cover): chains of matches in the order of one template, with few words between them."""
-        chains: dict[int, list[list[int]]] = {}
-        for start, n, state in self.matches(ids):
-            for t, last in self.automaton.ends[state]:
-                first = last - n + 1
-                best = None
-                for chain in chains.setdefault(t, []):  # [doc start, doc end, template end, matched words]
-                    if 0 <= start - chain[1] <= self.max_gap and first >= chain[2] and (best is None or chain[3] > best[3]):
-                        best = chain
-                grown = [best[0], start + n, last + 1, best[3] + n] if best else [start, start + n, last + 1, n]
-                chains[t].append(grown)
+    def _told(self, ids: np.ndarray, t: int, chain: tuple) -> bool:
+        """Whether the text at the place of a notice, what the chain misses at its ends included, has the notice's telling words."""
+        template = self.templates[t]
+        if len(template) >= NOTICE:
+            return True
+        a, b = max(0, chain[0] - chain[4]), chain[1] + len(template) - chain[2]
+        return self.telling & set(ids[a:b].tolist()) == self.telling & set(template)
+
+    def spans(self, ids: np.ndarray, min_cover: float) -> tuple[list[tuple[str, int, int, float]], float]:
+        """(label, start, end, cover) of the best covering templates, and the best cover of any.
+
+        Spans are chains of matches in the order of one template, with few words between them. Of chains that overlap the one with
+        the most matched words stays, where a missing word takes ``MISSING`` of them away; short notices give way to paragraphs. A passage of several licences gets the labels among them that
+        another span of the text has to itself, else all of them.
+        """
+        open_: dict[int, dict[tuple[int, int], tuple]] = {}  # template -> (doc end, template end) -> (start, end, template end, matched, template start)
+        most, whole = 0.0, {}
+        for least, start, n, t, last in self.matches(ids):
+            first, size = last - n + 1, len(self.templates[t])
+            chains, best = open_.setdefault(t, {}), None
+            for at in [at for at in chains if at[0] + self.gaps[t] < least]:  # these cannot grow any more
+                del chains[at]
+            for chain in chains.values():
+                if chain[1] <= start and first >= chain[2] and (best is None or chain[3] > best[3]):
+                    best = chain
+            grown = (best[0], start + n, last + 1, best[3] + n, best[4]) if best else (start, start + n, last + 1, n, first)
+            old = chains.get(grown[1:3])
+            if old is None or old[3] < grown[3]:
+                chains[grown[1:3]] = grown
+            cover = min(1.0, grown[3] / size)
+            if (cover > most or cover >= min_cover) and self._told(ids, t, grown):
+                most = max(most, cover)
+                if cover >= min_cover and (t, grown[0]) not in whole or cover >= min_cover and whole[t, grown[0]][3] < grown[3]:
+                    whole[t, grown[0]] = grown
+        taken, kept = np.zeros(len(ids), bool), []
+
+        def worth(found):
+            (t, _), chain = found
+            missing = len(self.templates[t]) - chain[3]
+            return len(self.templates[t]) < MIN_PARAGRAPH, MISSING * missing - chain[3], chain[0], t
+
+        for (t, _), chain in sorted(whole.items(), key=worth):
+            if not taken[chain[0] : chain[1]].any():
+                taken[chain[0] : chain[1]] = True
+                kept.append((t, chain))
+        alone = {self.labels[t][0] for t, _ in kept if len(self.labels[t]) == 1}
         out = []
-        for t, found in chains.items():
-            size = len(self.templates[t])
-            kept: list[list[int]] = []
-            for chain in sorted(found, key=lambda c: (-c[3], c[0])):
-                if all(chain[1] <= k[0] or chain[0] >= k[1] for k in kept):
-                    kept.append(chain)
-            out += [(self.labels[t], c[0], c[1], c[3] / size) for c in kept]
-        return out
+        for t, chain in kept:
+            for label in [x for x in self.labels[t] if x in alone] or self.labels[t]:
+                out.append((label, chain[0], chain[1], chain[3] / len(self.templates[t])))
+        return out, most
 
 
 SPAN = "struct<label:string,start:long,end:long,cover:double>"
 
 
 def scan_licenses(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] = PHRASES,
     min_match: int = MIN_MATCH, max_gap: int = MAX_GAP, min_cover: float = MIN_COVER,
 ) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) per row of ``docs``.
 
-    The templates' words become a generalised suffix automaton, which is small because the templates are a parameter, and is sent
+    The templates are ``all_templates`` if none are given. Their words become a generalised suffix automaton, which is small because the templates are a parameter, and is sent
     to the tasks. Each text runs through it once; it yields, for every place, the longest match that ends there (matching
     statistics). Matches of ``min_match`` words or more are chained in the order of a template with at most ``max_gap``
-    other words between two; a chain that covers ``min_cover`` of the template is a span and gives its label. ``base_labels`` and ``n_base`` come from the
+    other words between two; a chain that covers ``min_cover`` of the template is a span and gives its label, unless another
+    template covers more of the same words, or a notice misses or adds a word that tells variants apart. A phrase gives its label too, except within
+    spans of other labels. ``base_labels`` and ``n_base`` come from the
     places of the phrases, ``score`` is the best cover, and 1 where a phrase occurs.
 
     Null and empty text has no words, no labels and score 0. Nothing is shuffled.
     """
     base = fill_slots(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
-    sent = docs.sparkSession.sparkContext.broadcast(Scanner(templates, phrases, min_match, max_gap))
+    sent = docs.sparkSession.sparkContext.broadcast(Scanner(all_templates() if templates is None else templates, phrases, min_match, max_gap))
 
     def run(batches):
         scanner = sent.value
@@ -182,12 +289,12 @@ def scan_licenses(
                 tokens = words(text)
                 ids = np.fromiter((get(w, 0) for w in tokens), np.int64, len(tokens))
                 places = scanner.places(ids)
-                found = scanner.spans(ids)
-                spans = [s for s in found if s[3] >= min_cover]
+                spans, most = scanner.spans(ids, min_cover)
+                own = {label for at, label in places if not any(a <= at < b for _, a, b, _ in spans) or any(a <= at < b and x == label for x, a, b, _ in spans)}
                 named = {label for _, label in places}
                 rows.append((
                     len(tokens), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(named)),
-                    ",".join(sorted(named | {s[0] for s in spans})), 1.0 if places else min(1.0, max((s[3] for s in found), default=0.0)),
+                    ",".join(sorted(own | {s[0] for s in spans})), 1.0 if places else most,
                     [dict(zip(("label", "start", "end", "cover"), s)) for s in sorted(spans, key=lambda s: (s[1], s[2], s[0]))],
                 ))
             columns = list(zip(*rows)) if rows else [()] * 8

@@ -124,6 +124,23 @@ def test_license_labels(spark, documents):
     assert got[5].labels == "" and got[6].n_base == 3 and "gpl" in got[6].labels
 
 
+def test_whole_licenses(spark, documents):
+    """Any part of a whole licence gives its label, and variants are told apart."""
+    part = {label: [p for x, p in licenses.paragraphs() if x == label] for label in ("mit", "apache", "gpl", "lgpl", "mpl", "isc", "bsd", "unlicense", "cc0")}
+    rows = [
+        (1, part["mit"][-1], "mit"), (2, part["apache"][15], "apache"), (3, part["bsd"][2], "bsd"), (4, part["mpl"][30], "mpl"),
+        (5, "\n\n".join(part["isc"]), "isc"), (6, part["unlicense"][0] + part["unlicense"][1], "unlicense"), (7, part["cc0"][4], "cc0"),
+        (8, "\n\n".join(part["lgpl"]), "lgpl"), (9, "\n\n".join(part["gpl"]), "gpl"),
+        (10, "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "cc-by-nc-sa"),
+        (11, "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "cc-by-nd"),
+        (12, "(licensed under CC BY 4.0)", "cc-by"), (13, "Licensed under CC BY-NC 4.0.", "cc-by-nc"), (14, "under the Eclipse Public License v2", "epl"),
+        (15, "the GNU Lesser General Public License", "lgpl"), (16, "nothing of the kind, as the case may be, is granted in the form of a license", ""),
+        (17, "This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"), (18, "of the license and " * 5000, ""),
+    ]
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(documents([r[:2] for r in rows])).collect()}
+    assert got == {i: label for i, _, label in rows}
+
+
 @pytest.mark.parametrize("text", ["", "\\", "[INST]", "[\\INST]", "\\[INST]", "<<s>", "[[INST]", "<s></s>[/INST]\\\\", "a</s"])
 def test_escape(text):
     shown = chat.escape(text)
