@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,10 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c",
 }
+# A sign that stands for a letter may also stand for its accented forms.
+ACCENTS = {"a": "áàâäãå", "c": "ç", "e": "éèêë", "i": "íìîï", "o": "óòôöõø", "s": "ß", "u": "úùûü", "n": "ñ", "y": "ýÿ"}
 # Costs of the channel, as natural logarithms.
-SWAP, REPEAT, BREAK = -1.0, -0.5, -2.0
+SWAP, ACCENT, REPEAT, BREAK = -1.0, -3.0, -0.5, -2.0
 SAMPLE_LABELS, MAX_WORDS, MIN_GROUPS, MIN_G, MIN_SHARE = 12_000, 5_000, 4, 25.0, 0.8
 THRESHOLD = 0.7
 # A stem is a beginning of so many letters. It tells something where words share it at least this often, once in so many words.
@@ -28,24 +31,42 @@ STEMS, STEM_WORDS, STEM_EVERY = (4, 5, 6, 7), 2, 100
 
 _SIGNS = re.escape("".join(LEET))
 # Letters with signs between or before them; single letters with one separator between them; a letter three times.
-_MIXED = re.compile(rf"(?<![\w{_SIGNS}])(?=[A-Za-z{_SIGNS}]*[A-Za-z])(?=[A-Za-z{_SIGNS}]*[{_SIGNS}])[A-Za-z{_SIGNS}]{{3,}}")
-_SPACED = re.compile(rf"(?<![\w{_SIGNS}])[A-Za-z{_SIGNS}](?:([ ._*-])[A-Za-z{_SIGNS}])(?:\1[A-Za-z{_SIGNS}])+(?![\w{_SIGNS}])")
-_LONG = re.compile(r"\b[A-Za-z]*([A-Za-z])\1\1[A-Za-z]*\b", re.IGNORECASE)
+_LETTER = r"[^\W\d_]"
+_ANY = rf"(?:{_LETTER}|[{_SIGNS}])"
+_MIXED = re.compile(rf"(?<![\w{_SIGNS}])(?={_LETTER}*[{_SIGNS}])(?=[{_SIGNS}]*{_LETTER}){_ANY}{{3,}}")
+_SPACED = re.compile(rf"(?<![\w{_SIGNS}]){_ANY}(?:([ ._*-]){_ANY})(?:\1{_ANY})+(?![\w{_SIGNS}])")
+_LONG = re.compile(rf"\b{_LETTER}*({_LETTER})\1\1{_LETTER}*\b", re.IGNORECASE)
 _ENDS = re.compile(r"^[|+(]+|([^\w])\1{2,}$|[!|+(¡]+$")
 _STRETCH = re.compile(r"(.)\1{2,}")
-_CODE = np.zeros(256, np.int64)
-for _i in range(26):
-    _CODE[ord("a") + _i] = _CODE[ord("A") + _i] = _i + 1
+# Letters with a code of their own; 0 is whatever parts words, and all other letters share the last code.
+ALPHABET = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
+OTHER = len(ALPHABET) + 1
+CODES = OTHER + 1
+
+
+@cache
+def _codes() -> np.ndarray:
+    """Code of every code point."""
+    out = np.zeros(0x110000, np.int32)
+    for i in range(0x110000):
+        c = chr(i)
+        if c.isalpha():
+            at = ALPHABET.find(c.lower())
+            out[i] = at + 1 if at >= 0 and len(c.lower()) == 1 else OTHER
+    return out
 
 
 def _trigrams(batches):
     """Trigram counts of letters and word ends over whole texts; one row a trigram and task."""
-    total = np.zeros(27**3, np.int64)
+    codes = _codes()
+    total = np.zeros(CODES**3, np.int64)
     for batch in slices(batches):
-        for text in text_bytes(batch, "text"):
+        for text in batch.column("text").to_pylist():
             if text:
-                c = _CODE[np.frombuffer(b"  " + text + b" ", np.uint8)]
-                total += np.bincount(c[:-2] * 729 + c[1:-1] * 27 + c[2:], minlength=27**3)
+                padded = f"  {text} "
+                points = np.frombuffer(padded.encode(), np.uint8) if text.isascii() else np.frombuffer(padded.encode("utf-32-le", "replace"), np.uint32)
+                c = codes[points]
+                np.add.at(total, (c[:-2] * CODES + c[1:-1]) * CODES + c[2:], 1)
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["k", "n"])
 
@@ -53,10 +74,10 @@ def _trigrams(batches):
 def fit_letters(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Log probabilities of a letter after the two before it, from all texts."""
     counted = fill_slots(whole_texts(docs).select(F.col(text_col).alias("text")), "text").mapInArrow(_trigrams, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    n = np.zeros(27**3)
-    for r in counted.collect():  # at most 27 ** 3 rows
+    n = np.zeros(CODES**3)
+    for r in counted.collect():  # at most CODES ** 3 rows
         n[r.k] = r.n
-    n = n.reshape(27, 27, 27) + 0.1
+    n = n.reshape(CODES, CODES, CODES) + 0.1
     return np.log(n / n.sum(2, keepdims=True))
 
 
@@ -65,6 +86,8 @@ class Decoder:
 
     def __init__(self, letters: np.ndarray, keep: int = 100_000):
         self.letters, self.keep, self.known = letters.tolist(), keep, {}
+        self.codes = _codes()
+        self.signs = {c: [(x, SWAP) for x in plain] + [(y, ACCENT) for x in plain for y in ACCENTS.get(x, "")] for c, plain in LEET.items()}
 
     def word(self, shown: str, separator: str = "") -> str:
         """The likeliest plain word behind ``shown``: a sign stands for a letter, a repeated letter may be dropped.
@@ -87,11 +110,11 @@ class Decoder:
                     if b and ((b, 0) not in states or states[b, 0][0] < s):
                         states[b, 0] = (s, (path, " "))
                 continue
-            options = [(c, 0.0)] if "a" <= c <= "z" else [(x, SWAP) for x in LEET.get(c, "")]
+            options = self.signs.get(c) or [(c, 0.0)]
             step: dict = {}
             for (a, b), (score, path) in states.items():
                 for letter, cost in options:
-                    k = ord(letter) - 96
+                    k = int(self.codes[ord(letter)])
                     s = score + cost + self.letters[a][b][k]
                     if (b, k) not in step or step[b, k][0] < s:
                         step[b, k] = (s, (path, letter))
@@ -118,7 +141,7 @@ class Decoder:
         return restored, found, tokens
 
     def restore(self, text: str) -> str:
-        """The text with its disguised words in plain letters; everything else stays."""
+        """The text with its disguised words in plain letters, accented ones included; everything else stays."""
         text = _SPACED.sub(lambda m: self.word(m[0], m[1]), text)
         text = _MIXED.sub(lambda m: self.word(m[0]), text)
         return _LONG.sub(lambda m: self.word(m[0]), text)

