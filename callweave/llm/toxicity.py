@@ -28,6 +28,9 @@ SAMPLE_LABELS, MAX_WORDS, MIN_GROUPS, MIN_G, MIN_SHARE = 12_000, 5_000, 4, 25.0,
 THRESHOLD = 0.7
 # A stem is a beginning of so many letters. It tells something where words share it at least this often, once in so many words.
 STEMS, STEM_WORDS, STEM_EVERY = (4, 5, 6, 7), 2, 100
+# It tells as much where some span of the text, or all of it, holds more than clean texts do by chance: at least so many words, and a log
+# likelihood ratio against the clean rate above this plus the logarithm of the number of spans.
+SPAN_WORDS, SPAN_LIMIT = 3, 14.0
 
 _SIGNS = re.escape("".join(LEET))
 # Letters with signs between or before them; single letters with one separator between them; a letter three times.
@@ -152,6 +155,20 @@ def frequent(stems: Counter, n: int) -> set:
     return {s + b"*" for s, m in stems.items() if m >= STEM_WORDS and m * STEM_EVERY >= n}
 
 
+def dense(at: np.ndarray, n: int, rate: float) -> bool:
+    """Whether words at the places ``at`` of a text of ``n`` words are too many for the clean ``rate``, in the whole text or a span of it."""
+    width = 32
+    while True:
+        width = min(width, n)
+        most = int((np.searchsorted(at, at + width) - np.arange(len(at))).max()) if len(at) else 0
+        usual = rate * width
+        if most >= SPAN_WORDS and most > usual and most * math.log(most / usual) - (most - usual) >= SPAN_LIMIT + math.log(n / width):
+            return True
+        if width == n:
+            return False
+        width *= 2
+
+
 def all_stems(tokens: list[bytes]) -> Counter:
     """How many words begin with each stem."""
     out: Counter = Counter()
@@ -171,15 +188,38 @@ class Stems:
         for s in stems:
             self.by_head.setdefault(s[:4], []).append(s)
 
-    def count(self, tokens: list[bytes]) -> Counter:
-        out: Counter = Counter()
+    def places(self, tokens: list[bytes]) -> dict[bytes, list[int]]:
+        out: dict[bytes, list[int]] = {}
         if self.by_head:
-            for word in tokens:
+            for i, word in enumerate(tokens):
                 for s in self.by_head.get(word[:4], ()):
                     if word.startswith(s):
-                        out[s] += 1
+                        out.setdefault(s, []).append(i)
         return out
 
+    def told(self, tokens: list[bytes], rates: dict[bytes, float]) -> set[bytes]:
+        """The stems, marked, that are frequent in the text or dense in a span of it."""
+        found = self.places(tokens)
+        often = frequent(Counter({s: len(at) for s, at in found.items()}), len(tokens))
+        return often | {s + b"*" for s, at in found.items() if s + b"*" not in often and s in rates and dense(np.array(at), len(tokens), rates[s])}
+
+
+def _rates(letters, stems: list[bytes]):
+    """(word, n) over clean labelled texts as they are scored: words with each stem, and all words under the empty one."""
+
+    def run(batches):
+        decoder, known, total = Decoder(letters.value), Stems(stems), Counter()
+        for batch in slices(batches):
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                if text and not toxic:
+                    tokens = decoder.read(text)[2]
+                    total[b""] += len(tokens)
+                    total.update({s: len(at) for s, at in known.places(tokens).items()})
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()).cast(pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+
+    return run
+
 
 def _group(h: np.ndarray, rolling: Rolling) -> int:
     return int(rolling.windows(h, min(5, len(h))).min().view(np.int64))
@@ -215,7 +255,7 @@ def _presence(stems: list[bytes]):
             out = []
             for text, toxic in zip(text_bytes(batch, "text"), batch.column("toxic").to_pylist()):
                 tokens = words(text)
-                here = known.count(tokens)
+                here = known.places(tokens)
                 if here:
                     grp = _group(hashes.of(tokens), rolling)
                     out += [(s, toxic, grp) for s in here]
@@ -227,10 +267,10 @@ def _presence(stems: list[bytes]):
 
 
 class Model:
-    """Letter model, weights of words and of frequent stems (``stem*``), and the log odds of a text without any of them."""
+    """Letter model, weights of words and of frequent stems (``stem*``), the log odds of a text without any of them, and the stems' rates in clean texts."""
 
-    def __init__(self, letters: np.ndarray, weights: dict[str, float], prior: float):
-        self.letters, self.weights, self.prior = letters, weights, prior
+    def __init__(self, letters: np.ndarray, weights: dict[str, float], prior: float, rates: dict[bytes, float]):
+        self.letters, self.weights, self.prior, self.rates = letters, weights, prior, rates
 
     def logit(self, found: set[bytes]) -> float:
         """Words and stems that begin alike say the same thing, so the strongest of them counts."""
@@ -250,7 +290,8 @@ def fit(
     A word's weight is its log odds between toxic and other documents, if its likelihood ratio statistic is at least ``MIN_G``, it
     occurs in ``MIN_GROUPS`` groups of toxic texts, and these are ``MIN_SHARE`` of all it occurs in. So does a stem that is frequent in
     a text, as inflecting languages spread a stem over many words. Words of such a stem are left out if the stem's mere presence has a
-    lower share than that: then one word of it says little. Documents with contradicting labels or none are not used.
+    lower share than that: then one word of it says little. Texts to be scored have a stem where it is as frequent, or where a span of them
+    holds more of it than the clean training texts' rate explains, so that length does not hide it. Documents with contradicting labels or none are not used.
     """
     letters = fit_letters(docs, text_col)
     sent = docs.sparkSession.sparkContext.broadcast(letters)
@@ -286,7 +327,9 @@ def fit(
     stems = [w[:-1].encode() for w in weights if w.endswith("*")]
     vague = [r.word for r in by_word(_presence(stems)).where(F.col("t") < MIN_SHARE * (F.col("t") + F.col("f"))).collect()] if stems else []
     kept = {w: x for w, x in weights.items() if w.endswith("*") or not w.startswith(tuple(vague))}
-    return Model(letters, kept, math.log((pos + 0.5) / (neg + 0.5)))
+    seen = {r.word.encode(): r.n for r in labelled.mapInArrow(_rates(sent, stems), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()} if stems else {}
+    rates = {s: (seen.get(s, 0) + 0.5) / (seen[b""] + 1) for s in stems} if b"" in seen else {}
+    return Model(letters, kept, math.log((pos + 0.5) / (neg + 0.5)), rates)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -308,7 +351,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             scores, plain = [], []
             for text in batch.column("text").to_pylist():
                 restored, found, tokens = decoder.read(text) if text else (text, set(), [])
-                logit = m.logit(known & (found | frequent(stems.count(tokens), len(tokens))))
+                logit = m.logit(known & (found | stems.told(tokens, m.rates)))
                 scores.append(1 / (1 + math.exp(-max(-700.0, min(700.0, logit)))))
                 plain.append(restored)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(plain, pa.string()), *(batch.column(c) for c in row)], ["doc_id", "score", "text", *row])

@@ -268,6 +268,27 @@ def test_toxic_stems(spark, documents):
     assert got == {1: True, 2: False, 3: False, 4: False, 5: True, 6: False}
 
 
+def test_toxic_passage_in_a_long_text(spark, documents):
+    """A stem is judged by its densest span and by its clean rate, not by its share of a long text."""
+    rng = random.Random(8)
+
+    def text(n, stem=0, spread=True):
+        plain = ["".join(rng.choice("aeioulmnrst") for _ in range(6)) for _ in range(n - stem)]
+        toxic = ["blörf" + "".join(rng.choice("aeioulmnrst") for _ in range(3)) for _ in range(stem)]
+        if not spread:
+            return " ".join(plain[: n // 2] + toxic + plain[n // 2 :])
+        out = plain + toxic
+        rng.shuffle(out)
+        return " ".join(out)
+
+    rows = [(i, text(60, 3)) for i in range(40)] + [(i, text(1500, i % 2)) for i in range(40, 150)]
+    labels = spark.createDataFrame([(i, int(i < 40)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(documents(rows), labels)
+    new = [(1, text(20_000, 150)), (2, text(20_000, 12, False)), (3, text(20_000, 7)), (4, text(20_000)), (5, text(3000, 1))]
+    got = {r.doc_id: r.score >= toxicity.THRESHOLD for r in toxicity.score(documents(new), model).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: False, 5: False}
+
+
 def test_pipeline(spark, sf, documents):
     start = spark.read.parquet(f"{sf}/documents.parquet")
     docs, counts = start, []
