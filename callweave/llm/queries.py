@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from callweave.llm import chat, decontaminate, jaccard, language, licenses, lines, nearest, pieces, substrings, toxicity
+from callweave.llm import chat, codes, decontaminate, infill, jaccard, language, licenses, lines, nearest, pieces, substrings, token_counts, toxicity
 from callweave.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -180,3 +180,73 @@ def op3(spark, sf_dir):
         "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "score",
         F.transform("others", lambda x: F.col("score") - x["loss"]).alias("next_scores"), _digest(F.col("text")).alias("decoded_sha256"),
     )
+
+
+def _assigned(step: int) -> str:
+    """Every part's nearest entry under the codebooks of one step, and the codebooks of the next."""
+    return f"""
+    gap{step} AS (SELECT rid, part, e, sum((x - y) * (x - y)) AS d FROM flat JOIN book{step} USING (part, pos) GROUP BY rid, part, e),
+    near{step} AS MATERIALIZED (SELECT rid, part, e, d FROM (SELECT *, row_number() OVER (PARTITION BY rid, part ORDER BY d, e) AS r FROM gap{step}) WHERE r = 1)"""
+
+
+def _moved(step: int) -> str:
+    return f"""
+    mean{step} AS (
+        SELECT part, e, pos, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS y
+        FROM (SELECT part, e, pos, sum(x) AS s, count(*) AS n FROM near{step} JOIN flat USING (rid, part) GROUP BY part, e, pos)
+    ),
+    book{step + 1} AS MATERIALIZED (SELECT b.part, b.e, b.pos, coalesce(m.y, b.y) AS y FROM book{step} b LEFT JOIN mean{step} m USING (part, e, pos))"""
+
+
+@query(
+    "op11_vector_codes",
+    f"""
+    WITH every AS (SELECT row_number() OVER () AS rid, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
+    loose AS (SELECT rid, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS i, len(v) // 16 AS width FROM every),
+    kept AS MATERIALIZED (SELECT * FROM every WHERE rid NOT IN (SELECT rid FROM loose WHERE x IS NULL OR isnan(x) OR isinf(x))),
+    flat AS MATERIALIZED (SELECT rid, i // width AS part, i % width AS pos, CAST(floor(256 * x) AS BIGINT) AS x FROM loose WHERE rid IN (SELECT rid FROM kept)),
+    head AS (SELECT rid, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS e FROM kept),
+    book0 AS MATERIALIZED (SELECT part, e, pos, x AS y FROM flat JOIN head USING (rid) WHERE e < 64),
+    {_assigned(0)}, {_moved(0)}, {_assigned(1)}, {_moved(1)}, {_assigned(2)},
+    coded AS (SELECT rid, string_agg(format('{{:02x}}', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM near2 GROUP BY rid)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+        (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY part, e, pos)) FROM book2) AS codebooks_sha256
+    FROM kept JOIN coded USING (rid)
+    """,
+)
+def op11(spark, sf_dir):
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_token_counts")
+def op12(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_fill_in_middle",
+    """
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    drawn AS (
+        SELECT doc_id, text, CAST(length(text) AS BIGINT) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (length(text) + 1) AS a,
+            ('0x' || substr(h, 9, 8))::BIGINT % (length(text) + 1) AS b, ('0x' || substr(h, 17, 8))::BIGINT % 100 AS c, ('0x' || substr(h, 25, 8))::BIGINT % 100 AS s
+        FROM d
+    ),
+    cut AS (
+        SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR c >= 90 THEN 'plain'
+            WHEN s < 20 THEN 'spm' ELSE 'psm' END AS form,
+            substring(text, 1, least(a, b)) AS p, substring(text, least(a, b) + 1, abs(a - b)) AS m, substring(text, greatest(a, b) + 1) AS t
+        FROM drawn
+    )
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(least(a, b) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(abs(a - b) AS BIGINT) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || t || '<M>' || m ELSE '<S>' || t || '<P>' || p || '<M>' || m END) AS output_sha256,
+        sha256(text) AS restored_sha256
+    FROM cut
+    """,
+)
+def op13(spark, sf_dir):
+    done = infill.rearrange(table(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", _digest(F.col("output")).alias("output_sha256"),
+        _digest(infill.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
