@@ -8,9 +8,11 @@ reduced row per point instead of its pairs.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,3 +69,73 @@ def blocked_self(
         return cell(left, right, False)
 
     return spread.groupBy("_group", "_lo", "_hi").applyInPandas(run, schema)
+
+
+def rows_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A list column without nulls, of lists of one length, as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Pieces of at most ``rows`` rows with equal integer ``keys``, from a stream sorted by them."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        starts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for a, b in zip(starts, starts[1:]):
+            for at in range(a, b, rows):
+                yield tuple(int(c[a]) for c in columns), batch.slice(at, min(rows, b - at))
+
+
+def owned_blocks(
+    points: DataFrame, start: Callable, step: Callable, finish: Callable, schema: str, key: str, blocks: dict[tuple[int, int], int],
+    piece_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Every row against all rows of its group, by blocks whose owner streams the others past it.
+
+    ``blocks`` gives the number of blocks for each (``part``, job); ``part`` is an integer column of ``points``, and a job is a number
+    that the caller gives a meaning. Rows fall into blocks by the hash of ``key``. A task holds the rows of its own block and one piece of
+    at most ``piece_rows`` others: ``state = start(part, job, own)``, then ``step(state, piece)`` for each piece, its own rows included,
+    then the rows of ``finish(state)``. Only copies of rows are shuffled, one for each block, and no partial sum; the others come in no
+    particular order.
+    """
+    spark = points.sparkSession
+    table = spark.createDataFrame([(p, j, n) for (p, j), n in sorted(blocks.items())], "part int, _job int, _blocks int")
+    copied = (
+        points.join(F.broadcast(table), "part")  # one row a part and job
+        .withColumn("_own", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int"))
+        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        .withColumn("_side", (F.col("_own") != F.col("_block")).cast("int")).drop("_own", "_blocks")
+    )
+    tasks = max(sum(blocks.values()), 1)
+    by = ["part", "_job", "_block"]
+
+    def run(batches):
+        held, own, state = None, [], None
+
+        def opened():
+            table = pa.Table.from_batches(own).combine_chunks()
+            state = start(held[0], held[1], table)
+            for at in range(0, table.num_rows, piece_rows):
+                step(state, table.slice(at, piece_rows))
+            return state
+
+        for (*at, side), piece in _runs(batches, [*by, "_side"], piece_rows):
+            if at != held:
+                if held is not None and own:
+                    yield finish(opened() if state is None else state)
+                held, own, state = at, [], None
+            if side == 0:
+                own.append(piece)
+            elif own:
+                state = opened() if state is None else state
+                step(state, pa.Table.from_batches([piece]))
+        if held is not None and own:
+            yield finish(opened() if state is None else state)
+
+    return copied.repartition(tasks, *by).sortWithinPartitions(*by, "_side").mapInArrow(run, schema)

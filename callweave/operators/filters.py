@@ -77,8 +77,8 @@ def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def shuffle_key(key: str, seed: int) -> Column:
-    """Hash of seed and id: ordering by it is a repeatable random order."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    """Hash of seed and id: ordering by it is a repeatable random order. Rows without an id share one place."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
 
 
 def hash_number(order: Column, digits: int) -> Column:
@@ -119,13 +119,13 @@ def global_rank(df: DataFrame, bucket: Column, order: list[Column], name: str =
     bucketed = df.withColumn("_bucket", bucket)
     counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     running = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_offset"))
+    offsets = counts.select(F.col("_bucket").alias("_of"), F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_offset"))
     within = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
     return (
         bucketed.withColumn("_within", within)
-        .join(F.broadcast(offsets), "_bucket")
+        .join(F.broadcast(offsets), F.col("_bucket").eqNullSafe(F.col("_of")))
         .withColumn(name, (F.col("_offset") + F.col("_within")).cast("long"))
-        .drop("_bucket", "_within", "_offset")
+        .drop("_bucket", "_within", "_offset", "_of")
     )
 
 
@@ -137,7 +137,8 @@ def assign_row_id(df: DataFrame, key: str = "doc_id", name: str = "row_id") -> D
     """Consecutive row ids in the order of an integer key that is unique.
 
     The keys are cut into buckets at approximate quantiles, so a few far keys cannot crowd all others into one bucket. The
-    ids are exact wherever the cuts lie.
+    ids are exact wherever the cuts lie. Rows without a key come first, at any size of the table; their order among
+    themselves is open, and they are spread over as many buckets by a hash of the row.
     """
     parts = min(RANK_BUCKETS, -(-df.count() // RANK_ROWS))
     if parts <= 1:
@@ -145,8 +146,10 @@ def assign_row_id(df: DataFrame, key: str = "doc_id", name: str = "row_id") -> D
     cuts = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
     edges = [-math.inf, *sorted({float(c) for c in cuts}), math.inf]
     keyed = df.withColumn("_key", F.col(key).cast("double"))
-    cut = Bucketizer(splits=edges, inputCol="_key", outputCol="_cut").transform(keyed)
-    return global_rank(cut, F.col("_cut").cast("int"), [F.col(key)], name).drop("_key", "_cut")
+    cut = Bucketizer(splits=edges, inputCol="_key", outputCol="_cut", handleInvalid="keep").transform(keyed)
+    hashable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    bucket = F.when(F.col(key).isNull(), -1 - F.pmod(F.xxhash64(*hashable), F.lit(parts))).otherwise(F.col("_cut")).cast("int")
+    return global_rank(cut, bucket, [F.col(key)], name).drop("_key", "_cut")
 
 
 def hash_rank(df: DataFrame, key: str, seed: int = 42, name: str = "rank") -> DataFrame:

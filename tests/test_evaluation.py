@@ -43,6 +43,30 @@ def test_silhouette_many(spark, block_rows):
         assert abs(got[m] - brute_silhouette(x, labels[:, m])) < 1e-9, m
 
 
+def test_silhouette_in_groups_of_labellings(spark, monkeypatch):
+    """Labellings that do not fit together are scored in groups; more clusters make smaller blocks."""
+    monkeypatch.setattr(ev, "SHARED_CLUSTERS", 5)
+    monkeypatch.setattr(ev, "HELD_SUMS", 300)
+    monkeypatch.setattr(ev, "LEAST_ROWS", 7)
+    assert ev._shared([2, 3, 1, 4, 40, 2]) == [[0, 1], [3], [4], [5]]
+    x = crowded(n=90)
+    labels = np.stack([np.arange(90) % k for k in (2, 3, 1, 4, 40, 90)], 1)
+    df = frame(spark, x).join(
+        spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(labels)], "doc_id long, labels array<int>"), "doc_id"
+    )
+    got = {r.pos: (r.silhouette, r.clusters) for r in ev.silhouette_many(df).collect()}
+    for m in range(6):
+        assert abs(got[m][0] - brute_silhouette(x, labels[:, m])) < 1e-9 and got[m][1] == len(set(labels[:, m]))
+
+
+def test_silhouette_shuffles_rows_only(spark):
+    """One exchange moves copies of the rows; what follows moves one row a block and labelling."""
+    df = frame(spark, crowded(n=60)).withColumn("labels", F.array((F.col("doc_id") % 3).cast("int")))
+    scored = ev.silhouette_many(df, block_rows=20)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "FlatMapGroups" not in plan and "labels" not in plan.split("MapInArrow")[0]
+
+
 def test_silhouette_by_fold(spark):
     x = crowded(n=80)
     df = frame(spark, x).withColumn("fold", (F.col("doc_id") % 3).cast("int")).withColumn("topic", ((F.col("doc_id") * 7) % 4).cast("int"))
@@ -55,7 +79,7 @@ def test_silhouette_by_fold(spark):
 
 def test_single_clusters_need_no_distances(spark, monkeypatch):
     df = frame(spark, crowded(n=40)).withColumn("labels", F.array(F.lit(3), F.lit(-1)))
-    monkeypatch.setattr(ev, "blocked_self", None)
+    monkeypatch.setattr(ev, "owned_blocks", None)
     got = ev.silhouette_many(df).orderBy("pos").collect()
     assert [tuple(r) for r in got] == [(0, 0, -1.0, 1), (0, 1, -1.0, 1)]
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -93,3 +94,20 @@ def test_hash_folds_need_no_ranking(spark):
     got = fl.kfold_split(spark.range(3000).withColumnRenamed("id", "doc_id"), exact=False)
     sizes = [r["count"] for r in got.groupBy("fold").count().collect()]
     assert len(sizes) == 10 and sum(sizes) == 3000 and min(sizes) > 200
+
+
+@pytest.mark.parametrize("rows", [5, 50_000])
+def test_rows_without_a_key_are_ranked_at_any_size(spark, monkeypatch, rows):
+    monkeypatch.setattr(fl, "RANK_ROWS", rows)
+    df = spark.createDataFrame([(None if i % 4 == 0 else i * 3, {"a": i}) for i in range(41)], "doc_id long, extra map<string,int>")
+    got = fl.assign_row_id(df).orderBy("row_id").collect()
+    assert [r.row_id for r in got] == list(range(41))
+    assert [r.doc_id for r in got] == [None] * 11 + sorted(i * 3 for i in range(41) if i % 4)
+    assert sorted(r.extra["a"] for r in got) == list(range(41))
+
+
+def test_rows_without_a_key_get_a_fold(spark):
+    df = spark.createDataFrame([(None if i % 4 == 0 else i,) for i in range(40)], "doc_id long")
+    folds = fl.kfold_split(df, n_splits=4).groupBy("fold").count().collect()
+    assert {r.fold: r["count"] for r in folds} == {f: 10 for f in range(4)}
+    assert fl.sample_rows(df, "doc_id", 100).count() == 40
