@@ -115,8 +115,8 @@ def read_back(formatted: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read from the output of ``format_turns``.
 
     The digests run over whole conversations: turns are decoded in parallel, then each conversation streams, in order, through one
-    running digest; nothing of it is held but the current batch. Ties in ``turn`` are ordered by role and text; rows without a
-    conversation id form one conversation.
+    running digest; nothing of it is held but the current batch. Turns without a number come first, ties in ``turn`` are ordered
+    by role and text; rows without a conversation id form one conversation.
     """
     sent = formatted.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
     kind = formatted.schema["conv_id"].dataType.simpleString()

@@ -35,20 +35,20 @@ def text_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
-def whole_texts(docs: DataFrame, rows: int = 1000) -> DataFrame:
-    """``docs``; its session sends at most ``rows`` rows at once to Python, as ten thousand whole texts would fill the memory of a task."""
-    conf = docs.sparkSession.conf
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name, "10000")) <= rows:
-        conf.set(name, str(rows))
-    return docs
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows and ``size`` bytes, or one longer row, which bounds the Python objects made from one of them."""
 
+    def halves(piece: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if piece.num_rows > 1 and piece.nbytes > size:
+            middle = piece.num_rows // 2
+            yield from halves(piece.slice(0, middle))
+            yield from halves(piece.slice(middle))
+        else:
+            yield piece
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The batches in smaller pieces, which bounds the Python objects made from one of them."""
     for batch in batches:
         for a in range(0, batch.num_rows, rows):
-            yield batch.slice(a, rows)
+            yield from halves(batch.slice(a, rows))
 
 
 class WordHash(dict):
@@ -104,7 +104,7 @@ class Rolling:
 def keyed(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
     """(doc_id, text) of ``docs``; with ``carry`` also its whole row, as one column that no name can clash with."""
     row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
-    return whole_texts(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row)
 
 
 def with_text(found: DataFrame, columns: list[str], text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:

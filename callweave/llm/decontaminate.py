@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import keyed, slices, text_bytes, words
+from callweave.llm.common import keyed, mix, slices, text_bytes, words
 from callweave.session import fill_slots, materialise
 
 # Item text handled by one pass over the documents; a larger benchmark takes more passes.
 BLOCK_BYTES = 4 << 20
+# Items with more words are cut into pieces, which share the words of the windows that cross a cut.
+PIECE_WORDS = 50_000
 # Words matched at once in a task.
 CHUNK_WORDS = 400_000
 
@@ -24,7 +26,7 @@ OUT = "doc_id {id}, n_words long, n_hit long, n_items long, item_ids array<strin
 class Windows:
     """The item windows of one block: words as numbers, shingles as keys, and an index of the prefix shingles."""
 
-    def __init__(self, items: list[tuple[str, bytes]], size: int, shingle: int, threshold: float):
+    def __init__(self, items: list[tuple[str | None, bytes]], size: int, shingle: int, threshold: float):
         self.size, self.shingle, self.threshold = size, shingle, threshold
         self.vocab: dict[bytes, int] = {}
         known: dict[bytes, int] = {}
@@ -40,9 +42,8 @@ class Windows:
                 if at == len(self.owners):
                     self.owners.append(set())
                     rows.append(window)
-                self.owners[at].add(item)
-        if len(self.vocab) >= 1 << 20:
-            raise ValueError("a block holds at most 2**20 words; lower block_bytes")
+                if item is not None:
+                    self.owners[at].add(item)
         self.length = np.array([len(w) for w in rows], np.int64)
         self.words = np.zeros((len(rows), size), np.int64)
         for i, w in enumerate(rows):
@@ -63,10 +64,11 @@ class Windows:
 
     @staticmethod
     def keys(columns: np.ndarray, width: int) -> np.ndarray:
-        out = np.zeros(len(columns), np.int64)
+        """Hashes of shingles; those that collide cost a comparison of words and nothing else."""
+        out = np.full(len(columns), width, np.uint64)
         for i in range(width):
-            out = (out << 20) | columns[:, i]
-        return out
+            out = mix(out + columns[:, i].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return out.view(np.int64)
 
     def need(self, shingles: np.ndarray) -> np.ndarray:
         return np.maximum(1, np.ceil(shingles * self.threshold - 1e-9)).astype(np.int64)
@@ -213,6 +215,23 @@ def _match(windows, last: bool):
     return run
 
 
+def _pieces(size: int):
+    """Items as texts of at most ``PIECE_WORDS`` words that hold the same windows."""
+
+    def run(batches):
+        step = max(1, PIECE_WORDS - size + 1)
+        for batch in slices(batches):
+            at, texts = [], []
+            for i, text in enumerate(text_bytes(batch, "text")):
+                tokens = words(text)
+                for start in range(0, max(1, len(tokens) - size + 1), step):
+                    at.append(i)
+                    texts.append(b" ".join(tokens[start : start + step + size - 1]))
+            yield pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(at, pa.int64())), pa.array(texts, pa.binary()).cast(pa.string())], ["item", "text"])
+
+    return run
+
+
 def contamination(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
     item_text: str = "text", size: int = 10, shingle: int = 3, threshold: float = 1.0, block_bytes: int = BLOCK_BYTES,
@@ -228,14 +247,15 @@ def contamination(
     occurring window.
 
     The benchmark is taken in blocks of bounded bytes; each block is one counting and one matching pass over the documents,
-    so its size bounds what is broadcast, and documents are never shuffled. Null text has no words. Items without
-    an id are searched for under no name: they are left out. Repeated items count once by id; repeated documents are
+    so its size bounds what is broadcast, and documents are never shuffled. A long item is cut into pieces that hold the same windows.
+    Null text has no words. Items without an id are searched for like all others: their words are hit, but they have no name to show among
+    ``item_ids`` and are not in ``n_items``. Repeated items count once by id; repeated documents are
     judged row by row. ``carry`` adds the whole input row as a column ``row``. Without items every document is clean.
     """
     base = fill_slots(keyed(docs, id_col, text_col, carry), "doc_id")
     known = materialise(
         items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))
-        .where("item is not null and text is not null").distinct(), "items",
+        .where("text is not null").mapInArrow(_pieces(size), "item string, text string").distinct(), "items",
     )
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))

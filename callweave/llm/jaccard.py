@@ -265,11 +265,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     found = similar_documents(docs, id_col, text_col, **options)
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r")
-    chosen = found.where("grp is not null").groupBy("grp").agg(F.min(rank).alias("one")).select("one.doc_id", "one.r", F.lit(0).alias("rest"))
-    alone = found.where("grp is null").select("doc_id", "r", F.lit(1).alias("rest")).distinct()
-    stay = chosen.unionByName(alone).select(name.alias("name"), "r", "rest")
+    stay = found.where("grp is not null").groupBy("grp").agg(F.min(rank).alias("one")).select("one.doc_id", "one.r").select(name.alias("name"), "r")
     base = keyed(docs, id_col, text_col, True).withColumn("text", F.coalesce("text", F.lit("")))
-    base = base.select(name.alias("name"), row_key("doc_id", "text").alias("r"), "row")
+    has_words = F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]")
+    named = base.where(has_words).select(name.alias("name"), row_key("doc_id", "text").alias("r"), "row")
     # Of rows that repeat in id and text one stays as well, unless they are linked with nothing.
-    kept = base.join(stay, ["name", "r"]).withColumn("rest", F.when(F.col("rest") == 1, F.monotonically_increasing_id() + 1).otherwise(0))
-    return kept.groupBy("name", "r", "rest").agg(F.first("row").alias("row")).select("row.*")
+    kept = named.join(stay, ["name", "r"]).groupBy("name", "r").agg(F.first("row").alias("row"))
+    return kept.select("row").unionByName(base.where(~has_words).select("row")).select("row.*")

@@ -8,21 +8,30 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.llm.common import slices
 from callweave.session import fill_slots
 
-# Bounds of the training: about this many labelled documents, and this many words and n-grams kept.
-SAMPLE_DOCS, MAX_ENTRIES, LONGEST = 8_000, 200_000, 4
-_LETTERS = re.compile(r"[^\W\d_]+")
+# Bounds of the training: about this many labelled documents of each language; and the longest n-grams.
+SAMPLE_DOCS, LONGEST = 2_000, 4
+# A word is a letter with the letters and marks after it. Texts without marks and numerals are split by the quicker pattern.
+_WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_PLAIN, _ODD = re.compile(r"[^\W\d_]+"), re.compile("[\xb2\xb3\xb9\xbc-\xbe\u0300-\U0010ffff]")
 _KEEP = 300_000
+# Seed of Spark's xxhash64.
+_SEED = 42
 
 
 def letters(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return _LETTERS.findall(text.lower()) if text else []
+    """Words of letters and their marks, lower-cased; numerals and other signs are no letters."""
+    if not text:
+        return []
+    lower = text.lower()
+    return (_WORDS if _ODD.search(lower) else _PLAIN).findall(lower)
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -55,34 +64,44 @@ def _counts(longest: int):
 
 
 class Model:
-    """Smoothed log frequencies of words and n-grams, one column a language."""
+    """Smoothed log frequencies of words (kind 0) and n-grams (kind n), one column a language, found by the hash of their text."""
 
-    def __init__(self, langs: list[str], entries: list[tuple[int, str, dict[str, int]]], longest: int = LONGEST):
+    def __init__(self, langs: list[str], kind: np.ndarray, key: np.ndarray, n: np.ndarray, longest: int = LONGEST):
         self.langs, self.longest = langs, longest
-        self.words: dict[str, np.ndarray] = {}
-        self.grams: list[dict[str, np.ndarray]] = [{} for _ in range(longest + 1)]
-        totals, sizes = np.zeros((longest + 1, len(langs))), np.zeros(longest + 1)
-        rows = [(kind, key, np.array([by.get(x, 0) for x in langs], float)) for kind, key, by in entries]
-        for kind, _, n in rows:
-            totals[kind] += n
-            sizes[kind] += 1
-        for kind, key, n in rows:
-            value = np.log(n + 0.5) - np.log(totals[kind] + 0.5 * sizes[kind])
-            (self.grams[kind] if kind else self.words)[key] = value
-
-    def word(self, word: str) -> np.ndarray:
-        """Log frequencies of a known word; else the mean over its places of the longest known n-gram that starts there."""
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        marked, found = f"^{word}$", []
-        for i in range(len(marked)):
-            for n in range(min(self.longest, len(marked) - i), 0, -1):
-                value = self.grams[n].get(marked[i : i + n])
-                if value is not None:
-                    found.append(value)
-                    break
-        return np.mean(found, 0) if found else np.zeros(len(self.langs))
+        self.keys, self.values = [], []
+        for k in range(longest + 1):
+            at = np.flatnonzero(kind == k)
+            at = at[np.argsort(key[at], kind="stable")]
+            counts = n[at].reshape(len(at), len(langs)).astype(float)
+            self.keys.append(key[at])
+            self.values.append((np.log(counts + 0.5) - np.log(counts.sum(0) + 0.5 * len(at))).astype(np.float32) if len(at) else np.zeros((0, len(langs)), np.float32))
+
+    def find(self, kind: int, texts: list[str]) -> np.ndarray:
+        """Rows of the texts, -1 for unknown ones."""
+        keys = self.keys[kind]
+        hashes = np.fromiter((xxhash.xxh64_intdigest(t.encode(), _SEED) for t in texts), np.uint64, len(texts)).view(np.int64)
+        if not len(keys):
+            return np.full(len(texts), -1)
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        return np.where(keys[at] == hashes, at, -1)
+
+    def words(self, new: list[str]) -> np.ndarray:
+        """Log frequencies of known words; of others the mean over their places of the longest known n-gram that starts there."""
+        out = np.zeros((len(new), len(self.langs)))
+        row = self.find(0, new)
+        out[row >= 0] = self.values[0][row[row >= 0]]
+        places = [(k, i) for k in np.flatnonzero(row < 0).tolist() for i in range(len(new[k]) + 2)]
+        number = np.zeros(len(new))
+        for n in range(self.longest, 0, -1):
+            marked = [f"^{new[k]}$"[i : i + n] for k, i in places]
+            found = self.find(n, marked)
+            found[np.fromiter(map(len, marked), np.int64, len(marked)) < n] = -1
+            told = np.flatnonzero(found >= 0)
+            owner = np.array([places[t][0] for t in told], np.int64)
+            np.add.at(out, owner, self.values[n][found[told]])
+            np.add.at(number, owner, 1)
+            places = [p for p, f in zip(places, found.tolist()) if f < 0]
+        return out / np.maximum(number, 1)[:, None]
 
 
 class _Rows(dict):
@@ -90,48 +109,58 @@ class _Rows(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.table = model, np.zeros((1024, len(model.langs)))
+        self.model, self.table = model, np.zeros((0, len(model.langs)))
 
-    def __missing__(self, word: str) -> int:
-        row = self[word] = len(self)
-        if row == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[row] = self.model.word(word)
-        return row
-
-    def total(self, tokens: list[str]) -> np.ndarray:
+    def learn(self, texts: list[list[str]]) -> None:
         if len(self) > _KEEP:
             self.clear()
+            self.table = self.table[:0]
+        new = list(set().union(*texts).difference(self))
+        self.update(zip(new, range(len(self), len(self) + len(new))))
+        self.table = np.concatenate([self.table, self.model.words(new)])
+
+    def total(self, tokens: list[str]) -> np.ndarray:
         rows = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-        return np.bincount(rows, minlength=len(self)) @ self.table[: len(self)] if len(tokens) > len(self) else self.table[rows].sum(0)
+        return np.bincount(rows, minlength=len(self)) @ self.table if len(tokens) > len(self) else self.table[rows].sum(0)
 
 
 def fit(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS,
-    max_entries: int = MAX_ENTRIES, longest: int = LONGEST,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, longest: int = LONGEST
 ) -> Model:
-    """Learn from about ``sample_docs`` of the labelled rows, chosen by a hash of id and text.
+    """Learn from about ``sample_docs`` of the labelled texts of each language, chosen by a hash of id and text; repeated rows count once.
 
-    Rows without text or language are not used. Words and n-grams seen once are left out, and the ``max_entries`` most
-    frequent ones are kept; both bounds make the model small enough to travel.
+    Rows without text or language are not used. Words and n-grams seen once are left out, all others are kept: a rare language has as
+    many documents to learn from as a common one, and the sample alone bounds the model, whose entries travel as a hash and a
+    number for each language. Only the sample's counts are collected.
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    rows = max(1, named.count())
-    sample = named.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rows)) < sample_docs)
+    hashed = named.withColumn("h", F.xxhash64("doc_id", "text"))
+    rows = {r.lang: max(1, r.n) for r in hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}  # one row a language
+    langs = sorted(rows)
+    if not langs:
+        return Model([], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 0)), longest)
+    sizes = F.create_map(*[F.lit(x) for lang in langs for x in (lang, rows[lang])])
+    sample = hashed.where(F.pmod(F.col("h"), sizes[F.col("lang")]) < sample_docs).dropDuplicates(["lang", "h"])
+    place = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])
     counted = (
         fill_slots(sample.select("text", "lang"), "text").mapInArrow(_counts(longest), "kind int, key string, lang string, n long")
-        .groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
-        .groupBy("kind", "key").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by")).where("n > 1")
+        .groupBy("kind", "key", place[F.col("lang")].alias("lang")).agg(F.sum("n").alias("n"))
+        .groupBy("kind", F.xxhash64("key").alias("key")).agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by")).where("total > 1")
+        .select("kind", "key", F.transform("by", lambda x: x["lang"]).alias("lang"), F.transform("by", lambda x: x["n"]).alias("n"))
     )
-    top = counted.orderBy(F.desc("n"), "kind", "key").limit(max_entries).collect()
-    entries = [(r.kind, r.key, {x.lang: x.n for x in r.by}) for r in top]
-    return Model(sorted({x for _, _, by in entries for x in by}), entries, longest)
+    told = counted.toArrow()
+    kind, key = told["kind"].to_numpy(), told["key"].to_numpy()
+    each = np.repeat(np.arange(len(kind)), [len(x) for x in told["lang"].to_numpy()]) if len(kind) else np.zeros(0, np.int64)
+    n = np.zeros((len(kind), len(langs)), np.float32)
+    if len(kind):
+        np.add.at(n, (each, np.concatenate(told["lang"].to_numpy())), np.concatenate(told["n"].to_numpy()))
+    return Model(langs, kind, key, n, longest)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) per row of ``docs``.
 
-    The score is the posterior of the predicted language under equal priors. Null text and text without a letter is ``und`` with
+    The score is the posterior of the predicted language under equal priors. Null text and text without a letter (numerals are none) is ``und`` with
     score 0, and so is all text when nothing was learnt. Ties go to the first language in alphabetical order.
     """
     base = fill_slots(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
@@ -142,8 +171,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         langs = sent.value.langs
         for batch in slices(batches):
             names, scores = [], []
-            for text in batch.column("text").to_pylist():
-                tokens = letters(text)
+            split = [letters(text) for text in batch.column("text").to_pylist()]
+            rows.learn(split)
+            for tokens in split:
                 if not tokens or not langs:
                     names.append("und")
                     scores.append(0.0)

@@ -271,8 +271,8 @@ def scan_licenses(
     to the tasks. Each text runs through it once; it yields, for every place, the longest match that ends there (matching
     statistics). Matches of ``min_match`` words or more are chained in the order of a template with at most ``max_gap``
     other words between two; a chain that covers ``min_cover`` of the template is a span and gives its label, unless another
-    template covers more of the same words, or a notice misses or adds a word that tells variants apart. A phrase gives its label too, except within
-    spans of other labels. ``base_labels`` and ``n_base`` come from the
+    template covers more of the same words, or a notice misses or adds a word that tells variants apart. A phrase always gives its label too, also
+    within a span of another one. ``base_labels`` and ``n_base`` come from the
     places of the phrases, ``score`` is the best cover, and 1 where a phrase occurs.
 
     Null and empty text has no words, no labels and score 0. Nothing is shuffled.
@@ -290,11 +290,10 @@ def scan_licenses(
                 ids = np.fromiter((get(w, 0) for w in tokens), np.int64, len(tokens))
                 places = scanner.places(ids)
                 spans, most = scanner.spans(ids, min_cover)
-                own = {label for at, label in places if not any(a <= at < b for _, a, b, _ in spans) or any(a <= at < b and x == label for x, a, b, _ in spans)}
                 named = {label for _, label in places}
                 rows.append((
                     len(tokens), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(named)),
-                    ",".join(sorted(own | {s[0] for s in spans})), 1.0 if places else most,
+                    ",".join(sorted(named | {s[0] for s in spans})), 1.0 if places else most,
                     [dict(zip(("label", "start", "end", "cover"), s)) for s in sorted(spans, key=lambda s: (s[1], s[2], s[0]))],
                 ))
             columns = list(zip(*rows)) if rows else [()] * 8

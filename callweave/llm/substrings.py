@@ -92,7 +92,7 @@ def _level(window: int, length: int, below: int | None):
     return run
 
 
-def _windows(window: int, below: int):
+def _windows(window: int, below: int | None):
     """Hashes of the candidate windows at the full length."""
 
     def run(batches):
@@ -101,7 +101,7 @@ def _windows(window: int, below: int):
             ids, rows, known = batch.column("doc_id"), batch.column("r"), batch.column("anchors")
             for i, text in enumerate(text_bytes(batch, "text")):
                 h = hasher.of(text)
-                alive = np.flatnonzero(_alive(hasher, h, window, below, known[i].values.to_numpy().view(np.uint64)))
+                alive = np.flatnonzero(_alive(hasher, h, window, below, known[i].values.to_numpy().view(np.uint64) if below else None))
                 if len(alive):
                     one, two = hasher.pair(h, window)
                     index = pa.array(np.full(len(alive), i))
@@ -163,7 +163,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     adaptive execution can split.
 
     Null text has no words. Rows without an id neither lose words nor make others lose them. Repeated rows share an id, so
-    they do not remove each other. Texts shorter than the window stay whole (their words joined by one space).
+    they do not remove each other. A window of 30 words or fewer is one level by itself. Texts shorter than the window stay whole (their words joined by one space).
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.withColumn("r", row_key("doc_id", "text"))
@@ -187,14 +187,17 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         below = length
         if known.isEmpty():
             break
-    if below is None:  # a window so short that there is one level
-        raise ValueError(f"window must be over {SHORTEST} words")
-    candidates = base.join(known, same).select("doc_id", "text", "r", "anchors").mapInArrow(
+    if below is None:  # a window so short that its full length is the one level
+        source = fill_slots(base.withColumn("anchors", F.lit(None).cast("array<long>")), "doc_id")
+    else:
+        source = base.join(known, same).select("doc_id", "text", "r", "anchors")
+    candidates = source.where("doc_id is not null").mapInArrow(
         _windows(window, below), f"doc_id {kind}, r long, h1 long, h2 long, start int"
     )
     later = candidates.join(_repeated(candidates, ["h1", "h2"]), ["h1", "h2"]).where("first < doc_id")
-    starts = later.groupBy(F.col("doc_id").alias("d"), F.col("r").alias("dr")).agg(F.collect_list("start").alias("starts"))
-    starts = starts.unionByName(copies.select("d", "dr", F.array(F.lit(-1)).alias("starts")))
+    starts = later.groupBy(F.col("doc_id").alias("d"), F.col("r").alias("dr")).agg(F.collect_set("start").alias("starts"))
+    if copies is not None:
+        starts = starts.unionByName(copies.select("d", "dr", F.array(F.lit(-1)).alias("starts")))
     return base.join(starts, same, "left").select("doc_id", "text", "starts").mapInArrow(
         _cut(window), f"doc_id {kind}, n_words long, n_removed long, text string"
     )

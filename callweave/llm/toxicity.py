@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import Rolling, WordHash, keyed, slices, text_bytes, whole_texts, words
+from callweave.llm.common import Rolling, WordHash, keyed, slices, text_bytes, words
 from callweave.session import fill_slots
 
 # What a sign may stand for.
@@ -24,7 +24,7 @@ LEET = {
 ACCENTS = {"a": "áàâäãå", "c": "ç", "e": "éèêë", "i": "íìîï", "o": "óòôöõø", "s": "ß", "u": "úùûü", "n": "ñ", "y": "ýÿ"}
 # Costs of the channel, as natural logarithms.
 SWAP, ACCENT, REPEAT, BREAK = -1.0, -3.0, -0.5, -2.0
-SAMPLE_LABELS, MAX_WORDS, MIN_GROUPS, MIN_G, MIN_SHARE = 12_000, 5_000, 4, 25.0, 0.8
+SAMPLE_LABELS, MIN_GROUPS, MIN_G, MIN_SHARE = 12_000, 4, 25.0, 0.8
 THRESHOLD = 0.7
 # A stem is a beginning of so many letters. It tells something where words share it at least this often, once in so many words.
 STEMS, STEM_WORDS, STEM_EVERY = (4, 5, 6, 7), 2, 100
@@ -39,8 +39,10 @@ _ANY = rf"(?:{_LETTER}|[{_SIGNS}])"
 _MIXED = re.compile(rf"(?<![\w{_SIGNS}])(?={_LETTER}*[{_SIGNS}])(?=[{_SIGNS}]*{_LETTER}){_ANY}{{3,}}")
 _SPACED = re.compile(rf"(?<![\w{_SIGNS}]){_ANY}(?:([ ._*-]){_ANY})(?:\1{_ANY})+(?![\w{_SIGNS}])")
 _LONG = re.compile(rf"\b{_LETTER}*({_LETTER})\1\1{_LETTER}*\b", re.IGNORECASE)
-_ENDS = re.compile(r"^[|+(]+|([^\w])\1{2,}$|[!|+(¡]+$")
 _STRETCH = re.compile(r"(.)\1{2,}")
+# Of a stretch of equal signs no more than so many are told apart.
+LONGEST_STRETCH = 8
+_FLOOD = re.compile(rf"(.)\1{{{LONGEST_STRETCH},}}")
 # Letters with a code of their own; 0 is whatever parts words, and all other letters share the last code.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
 OTHER = len(ALPHABET) + 1
@@ -76,7 +78,7 @@ def _trigrams(batches):
 
 def fit_letters(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Log probabilities of a letter after the two before it, from all texts."""
-    counted = fill_slots(whole_texts(docs).select(F.col(text_col).alias("text")), "text").mapInArrow(_trigrams, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    counted = fill_slots(docs.select(F.col(text_col).alias("text")), "text").mapInArrow(_trigrams, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
     n = np.zeros(CODES**3)
     for r in counted.collect():  # at most CODES ** 3 rows
         n[r.k] = r.n
@@ -84,6 +86,20 @@ def fit_letters(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log(n / n.sum(2, keepdims=True))
 
 
+def bare(shown: str) -> str:
+    """``shown`` without signs at its ends that stand for nothing: some before it, and after it these or any sign three times or more.
+
+    Both ends are found by their index, so the time is linear in the length, and longer stretches are cut down to ``LONGEST_STRETCH``.
+    """
+    text = shown.lstrip("|+(")
+    end = len(text.rstrip("!|+(¡"))
+    if text and not (text[-1].isalnum() or text[-1] == "_"):
+        same = len(text.rstrip(text[-1]))
+        if len(text) - same >= 3:
+            end = min(end, same)
+    return _FLOOD.sub(lambda m: m[1] * LONGEST_STRETCH, text[:end])
+
+
 class Decoder:
     """Viterbi search over the lattice of what each sign may stand for."""
 
@@ -102,11 +118,11 @@ class Decoder:
             return done
         if len(self.known) >= self.keep:
             self.known.clear()
-        bare = _ENDS.sub("", shown).lower()
-        stretched = {i for m in _STRETCH.finditer(bare) for i in range(m.start() + 1, m.end())}
+        plain = bare(shown).lower()
+        stretched = {i for m in _STRETCH.finditer(plain) for i in range(m.start() + 1, m.end())}
         # state: (letter before last, last letter) -> (score, link to the path)
         states = {(0, 0): (0.0, None)}
-        for i, c in enumerate(bare):
+        for i, c in enumerate(plain):
             if c == separator:
                 for (a, b), (score, path) in list(states.items()):
                     s = score + BREAK + self.letters[a][b][0]
@@ -273,17 +289,16 @@ class Model:
         self.letters, self.weights, self.prior, self.rates = letters, weights, prior, rates
 
     def logit(self, found: set[bytes]) -> float:
-        """Words and stems that begin alike say the same thing, so the strongest of them counts."""
-        best: dict[bytes, float] = {}
+        """Words and stems whose first four letters are equal say the same thing, so the strongest of them counts."""
+        best: dict[str, float] = {}
         for w in found:
-            head = w[:4]
-            best[head] = max(best.get(head, 0.0), self.weights[w.decode()])
+            word = w.decode()
+            best[word[:4]] = max(best.get(word[:4], 0.0), self.weights[word])
         return self.prior + math.fsum(best.values())
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_labels: int = SAMPLE_LABELS,
-    max_words: int = MAX_WORDS,
 ) -> Model:
     """Learn letters from all texts and word weights from about ``sample_labels`` labelled documents, chosen by a hash of the id.
 
@@ -321,9 +336,9 @@ def fit(
     )
     top = (
         both.where((F.col("t") >= MIN_GROUPS) & (F.col("t") >= MIN_SHARE * (F.col("t") + F.col("f")))).select("word", weight.alias("w"), told.alias("g")).where(F.col("g") >= MIN_G)
-        .orderBy(F.desc("g"), "word").limit(max_words).collect()
+        .collect()  # as many as the bounded sample proves
     )
-    weights = {r.word: r.w for r in top}
+    weights = {r.word: r.w for r in sorted(top, key=lambda r: (-r.g, r.word))}
     stems = [w[:-1].encode() for w in weights if w.endswith("*")]
     vague = [r.word for r in by_word(_presence(stems)).where(F.col("t") < MIN_SHARE * (F.col("t") + F.col("f"))).collect()] if stems else []
     kept = {w: x for w, x in weights.items() if w.endswith("*") or not w.startswith(tuple(vague))}

@@ -25,6 +25,11 @@ TURNS = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "</s>[INST] \\ <s>"), (1, 1, "assistant", "</s>[INST] \\ <s>"), (2, None, None, None), (2, 1, "assistant", ""),
     (None, 3, "user", "a\\[INST]b"), (3, 0, "[/INST]", "role is a control"), (4, 0, "assistant", "漢字 \U0001f600\n"),
 ]
+WIDE = [round(((i * 37) % 101) / 50 - 1, 2) for i in range(64)]
+POINTS = [
+    *((i, [x * (i % 7) / 3 for x in WIDE], None if i % 5 == 0 else i % 2) for i in range(90)), (3, WIDE, 1), (3, WIDE, 1), (None, WIDE[::-1], None),
+    (100, None, 0), (0, None, 0), (-5, [float("nan"), *WIDE[1:]], 0), (-6, [*WIDE[:-1], float("-inf")], 1), (-7, [None, *WIDE[1:]], 1), (200, [0.0] * 64, 7),
+]
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +38,7 @@ def awkward(spark, documents, tmp_path_factory):
     documents(AWKWARD).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    spark.createDataFrame(POINTS, "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
     return path
 
 
@@ -52,7 +58,7 @@ def connected(path):
     import duckdb
 
     con = duckdb.connect()
-    for name in ("documents", "benchmark", "conversations"):
+    for name in ("documents", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{path}/{name}.parquet/*.parquet')")
     return con
 
