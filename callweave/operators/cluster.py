@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 from callweave.functions import vectors as vx
 from callweave.operators.matrix import group_sums, nearest, stack
+from callweave.operators.reduce import Projection
 from callweave.session import MODEL_BYTES
 
 Centres = tuple[np.ndarray, np.ndarray]
+# The projection under which the models that hold out a fold (or none) are fitted.
+Lens = dict[int | None, Projection]
 
 
 def collect_centres(centres: DataFrame, topic: str = "topic", vector: str = "centre") -> Centres:
@@ -94,7 +97,18 @@ def _chance(h: np.ndarray, salt: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53 + 2.0**-54
 
 
-def _draw(hashed: DataFrame, found: dict[int | None, np.ndarray], count: dict[int | None, int], salt: int) -> dict[int | None, list[np.ndarray]]:
+def _clean(vector: str, lens: Lens | None):
+    """Vectors as the projection was fitted on: without null and non-finite components."""
+    return vx.scrub(F.col(vector)) if lens else F.col(vector).cast("array<double>")
+
+
+def _seen(x: np.ndarray, lens: Lens | None, holdout: int | None) -> np.ndarray:
+    return lens[holdout].apply(x) if lens and len(x) else x
+
+
+def _draw(
+    hashed: DataFrame, found: dict[int | None, np.ndarray], count: dict[int | None, int], salt: int, lens: Lens | None = None
+) -> dict[int | None, list[np.ndarray]]:
     """Draw vectors with a chance proportional to their squared distance to what was found, in one pass over all rows.
 
     Every vector gets an exponential waiting time with that rate, from its content hash; those with the shortest times
@@ -110,7 +124,7 @@ def _draw(hashed: DataFrame, found: dict[int | None, np.ndarray], count: dict[in
             x, h, part = stack(pdf["v"]), pdf["h"].to_numpy(), pdf["part"].to_numpy()
             wait = -np.log(_chance(h, salt))
             for i, slot in enumerate(slots):
-                gap = nearest(x, found[slot])[1] ** 2 if slot in found else np.ones(len(x))
+                gap = nearest(_seen(x, lens, slot), found[slot])[1] ** 2 if slot in found else np.ones(len(x))
                 use = np.flatnonzero((gap > 0) & ((part != slot) if slot is not None else True))
                 rows = pd.DataFrame({"slot": i, "wait": wait[use] / gap[use], "h": h[use], "v": pdf["v"].iloc[use]})
                 best[i] = pd.concat([best[i], rows.drop_duplicates("h")]).drop_duplicates("h").nsmallest(count[slot], ["wait", "h"])
@@ -126,7 +140,7 @@ def _draw(hashed: DataFrame, found: dict[int | None, np.ndarray], count: dict[in
     out: dict[int | None, list[np.ndarray]] = {slot: [] for slot in slots}
     for r in sorted(drawn, key=lambda r: (r.slot, r.rank)):
         if r.rank <= count[slots[r.slot]]:
-            out[slots[r.slot]].append(np.array(r.v))
+            out[slots[r.slot]].append(_seen(np.array([r.v]), lens, slots[r.slot])[0])
     return out
 
 
@@ -145,7 +159,9 @@ def spread_start(pool: np.ndarray, k: int, seed: int, weight: np.ndarray | None
     return pool[chosen]
 
 
-def initial_centres(points: DataFrame, specs: list[Spec], vector: str, fold: str | None, seed: int = 0) -> list[np.ndarray]:
+def initial_centres(
+    points: DataFrame, specs: list[Spec], vector: str, fold: str | None, seed: int = 0, lens: Lens | None = None
+) -> list[np.ndarray]:
     """Starting centres of every model, by k-means|| (Bahmani and others, 2012) over all rows outside its held-out fold.
 
     A few rounds draw candidates from all rows, far ones first; a counting pass weighs each by the rows it is nearest to; the
@@ -153,18 +169,18 @@ def initial_centres(points: DataFrame, specs: list[Spec], vector: str, fold: str
     different size on the same rows share one draw: the smaller start is the head of the larger one.
     """
     part = F.coalesce(F.col(fold).cast("int"), F.lit(-1)) if fold else F.lit(-1)
-    hashed = points.select(part.alias("part"), F.xxhash64(vector).alias("h"), F.col(vector).cast("array<double>").alias("v"))
+    hashed = points.select(part.alias("part"), F.xxhash64(vector).alias("h"), _clean(vector, lens).alias("v"))
     wanted = {h: max(s.k for s in specs if s.holdout == h) for h in dict.fromkeys(s.holdout for s in specs)}
     found: dict[int | None, np.ndarray] = {}
     for step in range(START_ROUNDS + 1):
         count = {h: OVERSAMPLING * k if step else 1 for h, k in wanted.items()}
-        for h, rows in _draw(hashed, found, count, seed * 1000 + step + 1).items():
+        for h, rows in _draw(hashed, found, count, seed * 1000 + step + 1, lens).items():
             if rows:
                 found[h] = np.vstack([found[h], *rows]) if h in found else np.array(rows)
     held = [h for h in wanted if h in found]
     if len(held) < len(wanted):
         raise ValueError("no rows to start from")
-    counts = _partial_sums(points, [found[h] for h in held], [Spec(len(found[h]), h) for h in held], vector, fold)
+    counts = _partial_sums(points, [found[h] for h in held], [Spec(len(found[h]), h) for h in held], vector, fold, lens)
     weight = {h: np.zeros(len(found[h])) for h in held}
     for r in counts.groupBy("model", "cluster").agg(F.sum("n").alias("n")).collect():
         weight[held[r.model]][r.cluster] = r.n
@@ -172,7 +188,9 @@ def initial_centres(points: DataFrame, specs: list[Spec], vector: str, fold: str
     return [starts[s.holdout][: s.k] for s in specs]
 
 
-def _partial_sums(points: DataFrame, centres: list[np.ndarray], specs: list[Spec], vector: str, fold: str | None) -> DataFrame:
+def _partial_sums(
+    points: DataFrame, centres: list[np.ndarray], specs: list[Spec], vector: str, fold: str | None, lens: Lens | None = None
+) -> DataFrame:
     """Per task, model and cluster: number of rows, vector sum and squared distance."""
 
     def run(batches):
@@ -184,8 +202,12 @@ def _partial_sums(points: DataFrame, centres: list[np.ndarray], specs: list[Spec
                 continue
             x = stack(pdf["v"])
             folds = pdf["fold"].to_numpy()
+            views: dict[int | None, np.ndarray] = {}
             for m, c in enumerate(centres):
-                rows = x if specs[m].holdout is None else x[folds != specs[m].holdout]
+                held = specs[m].holdout
+                if held not in views:
+                    views[held] = _seen(x if held is None else x[folds != held], lens, held)
+                rows = views[held]
                 if not len(rows):
                     continue
                 index, d = nearest(rows, c)
@@ -200,27 +222,41 @@ def _partial_sums(points: DataFrame, centres: list[np.ndarray], specs: list[Spec
             yield pd.DataFrame(out, columns=["model", "cluster", "n", "cost", "total"])
 
     folds = F.col(fold).cast("int") if fold else F.lit(-1)
-    slim = points.select(F.col(vector).cast("array<double>").alias("v"), F.coalesce(folds, F.lit(-1)).alias("fold"))
+    slim = points.select(_clean(vector, lens).alias("v"), F.coalesce(folds, F.lit(-1)).alias("fold"))
     return slim.mapInPandas(run, "model int, cluster int, n double, cost double, total array<double>")
 
 
+def _passes(centres: list[np.ndarray]) -> list[range]:
+    """Neighbouring models whose centres fit into the bound together; a larger model has passes of its own."""
+    out, start, held = [], 0, 0
+    for m, c in enumerate(centres):
+        if held and held + c.nbytes > MODEL_BYTES:
+            out.append(range(start, m))
+            start, held = m, 0
+        held += c.nbytes
+    return [*out, range(start, len(centres))] if centres else []
+
+
 def fit_many(
     points: DataFrame, specs: list[Spec], vector: str = "embedding", fold: str | None = None, max_iter: int = 20,
-    tol: float = 1e-4, init: list[np.ndarray] | None = None,
+    tol: float = 1e-4, init: list[np.ndarray] | None = None, lens: Lens | None = None,
 ) -> tuple[list[np.ndarray], list[float]]:
     """k-means of several models (sizes, folds) in the same passes over the data.
 
-    One pass per iteration serves all models: tasks return sums per cluster, which are reduced
-    in the cluster; only the centres (bounded) come to the driver. Also returns the inertia of
-    each model, measured for the returned centres.
+    One pass per iteration serves all models, or as many as have room together: tasks return sums per cluster, which are reduced
+    in the cluster; only the centres come to the driver. Also returns the inertia of
+    each model, measured for the returned centres. With a ``lens`` every model is fitted on the coordinates that
+    the projection for its held-out fold gives, and its centres are such coordinates.
     """
-    centres = [c.copy() for c in (init or initial_centres(points, specs, vector, fold))]
-    if sum(c.nbytes for c in centres) > MODEL_BYTES:
-        raise ValueError("too many centres for one pass; fit fewer models at a time")
+    centres = [c.copy() for c in (init or initial_centres(points, specs, vector, fold, lens=lens))]
+    groups = _passes(centres)
+    if len(groups) > 1:
+        done = [fit_many(points, [specs[m] for m in g], vector, fold, max_iter, tol, [centres[m] for m in g], lens) for g in groups]
+        return [c for part, _ in done for c in part], [x for _, part in done for x in part]
     active = True
     for step in range(max_iter + 1):
         reduced = (
-            _partial_sums(points, centres, specs, vector, fold)
+            _partial_sums(points, centres, specs, vector, fold, lens)
             .groupBy("model", "cluster")
             .agg(
                 F.sum("n").alias("n"), F.sum("cost").alias("cost"),
@@ -240,15 +276,25 @@ def fit_many(
     return centres, inertia
 
 
-def label_many(points: DataFrame, centres: list[np.ndarray], vector: str = "embedding", name: str = "labels") -> DataFrame:
-    """Array of nearest-centre numbers, one per model, for every row."""
-
-    @F.pandas_udf("array<int>")
-    def label(v: pd.Series) -> pd.Series:
-        x = stack(v)
-        return pd.Series(list(np.stack([nearest(x, c)[0] for c in centres], 1).astype("int32")))
-
-    return points.withColumn(name, label(vector))
+def label_many(
+    points: DataFrame, centres: list[np.ndarray], vector: str = "embedding", name: str = "labels", specs: list[Spec] | None = None, lens: Lens | None = None
+) -> DataFrame:
+    """Array of nearest-centre numbers, one per model, for every row; with a ``lens`` under the projection of each model."""
+
+    def labelled(some: range):
+        @F.pandas_udf("array<int>")
+        def label(v: pd.Series) -> pd.Series:
+            x, views, out = stack(v), {}, []
+            for m in some:
+                held = specs[m].holdout if specs else None
+                if held not in views:
+                    views[held] = _seen(x, lens, held)
+                out.append(nearest(views[held], centres[m])[0])
+            return pd.Series(list(np.stack(out, 1).astype("int32")))
+
+        return label(_clean(vector, lens))
+
+    return points.withColumn(name, F.concat(*[labelled(g) for g in _passes(centres)]))
 
 
 def kmeans_topics(points: DataFrame, k: int = 100, seed: int = 0, vector: str = "embedding") -> tuple[KMeansModel, DataFrame]:

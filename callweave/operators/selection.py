@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from itertools import product
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,10 +14,13 @@ from callweave.functions import text as tx
 from callweave.operators.cluster import Spec, fit_many, label_many
 from callweave.operators.density import density_topics
 from callweave.operators.evaluate import coherence_cv, silhouette_exact, silhouette_many
-from callweave.operators.filters import kfold_split, sample_rows
-from callweave.operators.reduce import pca_reduce
-from callweave.operators.topics import class_tfidf, topk_terms
+from callweave.operators.filters import kfold_split, require_alignment, sample_rows
+from callweave.operators.model import TopicModel
+from callweave.operators.reduce import Projection, fit_projection, holdout_projections, moments, pca_reduce, project
+from callweave.operators.topics import class_tfidf, filter_empty_topics, topic_sizes, topk_terms
+from callweave.operators.vocab import term_array
 from callweave.session import materialise
+from callweave.sources.stores import save_topic_info
 
 
 def fold_means(scores: DataFrame, *columns: str) -> DataFrame:
@@ -53,22 +58,75 @@ def param_grid(options: dict[str, list]) -> list[dict]:
     return [dict(zip(options, values)) for values in product(*options.values())]
 
 
-def _model_terms(docs: DataFrame, labels: DataFrame, terms: str, name: str = "k") -> DataFrame:
-    """Terms of every document under each model, counted per document before the models multiply them."""
-    counted = docs.select("doc_id", F.explode(tx.each(F.col(terms))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return counted.join(labels, "doc_id").groupBy(name, "topic", "term").agg(F.sum("tf").alias("tf"))
+def matched(docs: DataFrame, points: DataFrame, unmatched: str = "error", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Documents and vectors of the same ids. One without the other is an error, or left out if ``unmatched`` is ``drop``."""
+    if unmatched == "error":
+        require_alignment(docs, points, key)
+        return docs, points
+    if unmatched != "drop":
+        raise ValueError("unmatched is error or drop")
+    return docs.join(points.select(key), key, "left_semi"), points.join(docs.select(key), key, "left_semi")
 
 
-def sweep(points: DataFrame, ks: list[int], sample: int | None = 10_000, max_iter: int = 20, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+@dataclass(frozen=True)
+class Vocabulary:
+    """Which terms of a document describe its topic: words and, with ``max_n`` of 2, pairs of neighbours, both without ``stop`` words.
+
+    A term has to occur more than ``min_tf`` times in the texts a model is fitted on, unless it is a seed word.
+    """
+
+    stop: tuple[str, ...] = ()
+    max_n: int = 1
+    min_tf: int = 0
+    seeds: tuple[str, ...] = ()
+
+
+def _model_terms(docs: DataFrame, labels: DataFrame, tokens: str, name: str = "k", vocabulary: Vocabulary = Vocabulary()) -> DataFrame:
+    """Terms of every topic of each model, counted per document before the models multiply them.
+
+    The vocabulary of a model comes from the same counts: they hold just the documents that it is fitted on.
+    """
+    terms = term_array(F.col(tokens), list(vocabulary.stop), vocabulary.max_n)
+    counted = docs.select("doc_id", F.explode(tx.each(terms)).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    found = counted.join(labels, "doc_id").groupBy(name, "topic", "term").agg(F.sum("tf").alias("tf"))
+    if not vocabulary.min_tf:
+        return found
+    often = F.sum("tf").over(Window.partitionBy(name, "term")) > vocabulary.min_tf
+    return found.withColumn("_often", often).where(F.col("_often") | F.col("term").isin(*vocabulary.seeds)).drop("_often")
+
+
+def _topic_words(terms: DataFrame, by: list[str], top: int) -> DataFrame:
+    return materialise(topk_terms(class_tfidf(terms, by), top, by), "words")
+
+
+def _single(words: DataFrame) -> DataFrame:
+    """Words without pairs: the texts that coherence looks at are lists of single tokens."""
+    return words.where(~F.col("word").contains(" "))
+
+
+def topic_tables(labels: DataFrame, words: DataFrame, name: str) -> DataFrame:
+    """``run, topic, count, name, words`` of every model: what a run stores about its topics."""
+    by = [name, "topic"]
+    lists = filter_empty_topics(words).groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "word"))), lambda s: s["word"]).alias("words"))
+    label = F.concat(F.col("topic").cast("string"), F.lit("_"), F.array_join(F.slice("words", 1, 4), "_"))
+    return topic_sizes(labels, by).join(lists, by, "left").select(F.col(name).cast("int").alias("run"), "topic", "count", label.alias("name"), "words")
+
+
+def sweep(
+    points: DataFrame, ks: list[int], sample: int | None = 10_000, max_iter: int = 20, seed: int = 42, n_components: int | None = 5
+) -> tuple[DataFrame, DataFrame, list[np.ndarray], Projection | None]:
     """Fit one model per k and score it.
 
-    Returns ``k, inertia, silhouette`` and the labels ``doc_id, k, topic``. All models are fitted in
+    Returns ``k, inertia, silhouette``, the labels ``doc_id, k, topic``, the centres and the projection. The models are fitted on ``n_components``
+    leading components of all rows (on the vectors themselves if none are asked for), the silhouette is that of the vectors. All models are fitted in
     the same passes and share one pass over the distances for their silhouettes.
     """
     spark = points.sparkSession
-    slim = materialise(points.select("doc_id", "embedding"), "sweep")
-    centres, inertia = fit_many(slim, [Spec(k) for k in ks], max_iter=max_iter)
-    labelled = materialise(label_many(slim, centres), "labels")
+    slim = points.select("doc_id", "embedding")
+    fitted = fit_projection(moments(slim), n_components) if n_components else None
+    slim = materialise(project(slim, fitted) if fitted else slim.withColumn("reduced", F.col("embedding")), "sweep")
+    centres, inertia = fit_many(slim.select("reduced"), [Spec(k) for k in ks], "reduced", max_iter=max_iter)
+    labelled = materialise(label_many(slim, centres, "reduced").drop("reduced"), "labels")
     scored = labelled if sample is None else sample_rows(labelled, "doc_id", sample, seed)
     scores = silhouette_many(scored).select("pos", "silhouette")
     table = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(zip(ks, inertia))], "pos int, k int, inertia double")
@@ -76,54 +134,102 @@ def sweep(points: DataFrame, ks: list[int], sample: int | None = 10_000, max_ite
     labels = labelled.select("doc_id", F.explode(F.arrays_zip(numbers.alias("k"), "labels")).alias("m")).select(
         "doc_id", F.col("m.k").alias("k"), F.col("m.labels").alias("topic")
     )
-    return table.join(scores, "pos").select("k", "inertia", "silhouette"), labels
+    return table.join(scores, "pos").select("k", "inertia", "silhouette"), labels, centres, fitted
 
 
-def k_sweep(docs: DataFrame, points: DataFrame, ks: list[int], tokens: str = "tokens", top: int = 10, sample: int | None = None) -> DataFrame:
+def _store(out: str, runs: list[int], centres: list[np.ndarray], lens: list[Projection | None], words: DataFrame, name: str, tables: DataFrame) -> None:
+    """Topic tables of all runs, and each run as a model."""
+    save_topic_info(tables, f"{out}/topic_info")
+    for run, c, lens_ in zip(runs, centres, lens):
+        own = words.where(F.col(name) == run).select("topic", "rank", "word", "score")
+        TopicModel(c, lens_, own).save(f"{out}/model_{run}")
+
+
+def k_sweep(
+    docs: DataFrame, points: DataFrame, ks: list[int], tokens: str = "tokens", top: int = 10, sample: int | None = None, n_components: int | None = 5,
+    vocabulary: Vocabulary = Vocabulary(), unmatched: str = "error", out: str | None = None,
+) -> DataFrame:
     """Silhouette and coherence per number of topics: ``k, silhouette, coherence``.
 
     ``docs`` carries the terms of each document in ``tokens``. Term weights and coherence of all
-    models come from shared passes; a word pair that many models use is counted once.
+    models come from shared passes; a word pair that many models use is counted once. With ``out`` the topic table of every k is
+    stored there under its run, and every k as a model.
     """
-    scores, labels = sweep(points, ks, sample)
-    fitted = materialise(docs.join(points.select("doc_id"), "doc_id", "left_semi").select("doc_id", tokens), "docs")
-    words = topk_terms(class_tfidf(_model_terms(fitted, labels, tokens), ["k", "topic"]), top, ["k", "topic"])
-    coherence = coherence_cv(fitted, materialise(words, "words"), ["k", "topic"], tokens=tokens)
+    docs, points = matched(docs, points, unmatched)
+    scores, labels, centres, fitted = sweep(points, ks, sample, n_components=n_components)
+    texts = materialise(docs.select("doc_id", tokens), "docs")
+    words = _topic_words(_model_terms(texts, labels, tokens, "k", vocabulary), ["k", "topic"], top)
+    coherence = coherence_cv(texts, _single(words), ["k", "topic"], tokens=tokens)
+    if out:
+        _store(out, ks, centres, [fitted] * len(ks), words, "k", topic_tables(labels, words, "k"))
     return scores.join(coherence.groupBy("k").agg(F.avg("coherence").alias("coherence")), "k", "left").select(
         "k", "silhouette", "coherence"
     )
 
 
-def optimal_k(points: DataFrame, ks: list[int] = tuple(range(5, 101, 5)), sample: int = 10_000) -> DataFrame:
-    """``k, inertia, silhouette, best, elbow`` with the chosen k marked in ``best``."""
-    scores = materialise(sweep(points, list(ks), sample)[0], "scores")
+def optimal_k(
+    points: DataFrame, ks: list[int] = tuple(range(5, 101, 5)), sample: int = 10_000, n_components: int | None = None
+) -> DataFrame:
+    """``k, inertia, silhouette, best, elbow`` with the chosen k marked in ``best``; fitted on the vectors themselves unless ``n_components`` are asked for."""
+    scores = materialise(sweep(points, list(ks), sample, n_components=n_components)[0], "scores")
     best, bend = argmax_k(scores).select("k").scalar(), elbow_k(scores).scalar()
     return scores.withColumn("best", F.col("k") == best).withColumn("elbow", F.col("k") == bend)
 
 
-def cross_validate(docs: DataFrame, points: DataFrame, k: int, n_splits: int = 10, seed: int = 42, tokens: str = "tokens", top: int = 10) -> DataFrame:
+def cross_validate(
+    docs: DataFrame, points: DataFrame, k: int, n_splits: int = 10, seed: int = 42, tokens: str = "tokens", top: int = 10, n_components: int | None = 5,
+    vocabulary: Vocabulary = Vocabulary(), unmatched: str = "error", out: str | None = None,
+) -> DataFrame:
     """``fold, n_cluster, silhouette, coherence`` per fold.
 
-    A fold is scored by the model fitted without it: silhouette on its own rows, coherence of the
-    topics of the training rows on the training texts. All folds share every pass: the fits, the
-    distances, the term counts and the scan for co-occurring words.
+    A fold is scored by the model fitted without it: the projection, the centres, the vocabulary and the term weights come from the
+    training rows; the silhouette is that of the fold's own vectors, the coherence that of the topics of the training rows on the training texts.
+    All folds share every pass: the moments, the fits, the distances, the term counts and the scan for co-occurring words. With ``out`` the topic
+    tables (runs 1 to ``n_splits``) and models of all folds are stored there, and as run 0 the model refitted on all rows.
     """
+    docs, points = matched(docs, points, unmatched)
     split = materialise(kfold_split(points.select("doc_id", "embedding"), "doc_id", n_splits, seed), "folds")
-    centres, _ = fit_many(split, [Spec(k, holdout=f) for f in range(n_splits)], fold="fold")
-    labelled = materialise(label_many(split, centres), "labels")
+    lens = holdout_projections(split, "fold", n_components) if n_components else None
+    specs = [Spec(k, holdout=f) for f in range(n_splits)]
+    centres, _ = fit_many(split, specs, fold="fold", lens=lens)
+    labelled = materialise(label_many(split, centres, specs=specs, lens=lens), "labels")
     own = labelled.withColumn("own", F.array(F.element_at("labels", F.col("fold") + 1)))
     silhouettes = silhouette_many(own, "own", group="fold").select(F.col("part").alias("fold"), "silhouette")
-    models = labelled.select("doc_id", "fold", F.posexplode("labels").alias("model", "topic")).where("model <> fold")
+    models = labelled.select("doc_id", "fold", F.posexplode("labels").alias("model", "topic")).where("model <> fold").select("doc_id", "model", "topic")
     trained = materialise(docs.join(labelled.select("doc_id", "fold"), "doc_id").select("doc_id", "fold", tokens), "train")
-    terms = _model_terms(trained, models.select("doc_id", "model", "topic"), tokens, "model")
-    words = materialise(topk_terms(class_tfidf(terms, ["model", "topic"]), top, ["model", "topic"]), "words")
-    coherence = coherence_cv(trained, words, ["model", "topic"], tokens=tokens, fold="fold")
+    words = _topic_words(_model_terms(trained, models, tokens, "model", vocabulary), ["model", "topic"], top)
+    coherence = coherence_cv(trained, _single(words), ["model", "topic"], tokens=tokens, fold="fold")
+    if out:
+        lenses = [lens[f] if lens else None for f in range(n_splits)]
+        shown = words.withColumn("model", F.col("model") + 1)
+        tables = topic_tables(models.withColumn("model", F.col("model") + 1), shown, "model")
+        _store(out, list(range(1, n_splits + 1)), centres, lenses, shown, "model", tables)
+        refit(docs, points, k, tokens, top, n_components, vocabulary, out)
     per_fold = coherence.groupBy(F.col("model").alias("fold")).agg(F.avg("coherence").alias("coherence"))
     return silhouettes.join(per_fold, "fold", "left").select(
         (F.col("fold") + 1).alias("fold"), F.lit(k).alias("n_cluster"), "silhouette", "coherence"
     )
 
 
+def refit(
+    docs: DataFrame, points: DataFrame, k: int, tokens: str = "tokens", top: int = 10, n_components: int | None = 5,
+    vocabulary: Vocabulary = Vocabulary(), out: str | None = None, run: int = 0,
+) -> TopicModel:
+    """The model with ``k`` topics fitted on all rows, stored with its topic table under ``out`` if that is given."""
+    slim = points.select("doc_id", "embedding")
+    fitted = fit_projection(moments(slim), n_components) if n_components else None
+    lens = {None: fitted} if fitted else None
+    centres, _ = fit_many(slim, [Spec(k)], lens=lens)
+    labels = label_many(slim, centres, specs=[Spec(k)], lens=lens).select("doc_id", F.lit(run).alias("run"), F.col("labels")[0].alias("topic"))
+    labels = materialise(labels, "labels")
+    words = _topic_words(_model_terms(docs.select("doc_id", tokens), labels, tokens, "run", vocabulary), ["run", "topic"], top)
+    model = TopicModel(centres[0], fitted, words.select("topic", "rank", "word", "score"))
+    if out:
+        save_topic_info(topic_tables(labels, words, "run"), f"{out}/topic_info")
+        model.save(f"{out}/model_{run}")
+    return model
+
+
 def evaluate_density(points: DataFrame, params: dict) -> DataFrame:
     """Score of one parameter set: reduce, find dense topics, silhouette on the original vectors."""
     reduced = pca_reduce(points, params["n_components"]).select("doc_id", "reduced")

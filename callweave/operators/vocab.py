@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callweave.functions import text as tx
@@ -55,6 +55,15 @@ def vocab_max_features(
     return counted.select("term", "tf")
 
 
+def term_array(tokens: Column, stop: list[str], max_n: int = 2) -> Column:
+    """Unigrams and adjacent pairs of a token array; stop words are removed before pairing."""
+    kept = tx.drop_words(tokens, stop)
+    if max_n == 1:
+        return kept
+    pairs = F.transform(F.filter(tx.neighbours(kept), lambda p: p["b"].isNotNull()), lambda p: F.concat_ws(" ", p["a"], p["b"]))
+    return F.concat(kept, pairs)
+
+
 def document_terms(docs: DataFrame, stop: list[str], text: str = "text", max_n: int = 2, keep=("doc_id",)) -> DataFrame:
     """One row per unigram (and adjacent pair) of a document, stop words removed before pairing."""
     tokens = tx.drop_words(tx.vectorizer_tokenize(F.col(text)), stop)

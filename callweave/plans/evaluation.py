@@ -12,7 +12,7 @@ from callweave.operators import filters as fl
 from callweave.operators import selection as se
 from callweave.operators import topics as tp
 from callweave.plans.registry import query
-from callweave.plans.sqltext import r6, words2
+from callweave.plans.sqltext import STOP, r6, words2
 from callweave.plans.text import docs
 from callweave.plans.topics import WEIGHTS, top_sql, top_words
 from callweave.plans.vectors import CENTRES, E, vectors
@@ -176,12 +176,15 @@ def fold_means(spark, sf):
 
 @query("cross_validate")
 def cross_validate(spark, sf):
-    return se.cross_validate(tokens(spark, sf), vectors(spark, sf), k=10)
+    """Folds over the documents that have a vector: projection, centres, vocabulary and weights of the other folds."""
+    words = se.Vocabulary(stop=tuple(STOP), max_n=2, min_tf=15)
+    return se.cross_validate(tokens(spark, sf), vectors(spark, sf), k=10, vocabulary=words, unmatched="drop")
 
 
 @query("k_sweep")
 def k_sweep(spark, sf):
-    return se.k_sweep(tokens(spark, sf), vectors(spark, sf), list(range(10, 200, 10)))
+    words = se.Vocabulary(stop=tuple(STOP), max_n=2, min_tf=15)
+    return se.k_sweep(tokens(spark, sf), vectors(spark, sf), list(range(10, 200, 10)), vocabulary=words, unmatched="drop")
 
 
 @query("optimal_k")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from callweave.functions import dates, vectors as vx
@@ -238,58 +239,87 @@ QUARTERS = [y * 10 + q for y in YEARS for q in (1, 2, 3, 4)]
 
 
 def online_sql(period: str, codes: list[int], name: str) -> str:
-    """The incremental fit unrolled over integer period codes."""
+    """The incremental fit unrolled over integer period codes; the start is given: the vectors with the least ids."""
     parts = [
         f"""q AS MATERIALIZED (SELECT id, v, {period} AS y FROM e JOIN transcripts ON doc_id = id
   WHERE year(created_at) BETWEEN {YEARS[0]} AND {YEARS[-1]})""",
-        "c0 AS (SELECT CAST(0 AS BIGINT) AS topic, CAST([] AS DOUBLE[]) AS centre, CAST(0 AS DOUBLE) AS n WHERE false)",
+        f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY id) - 1 AS topic, v AS centre, CAST(0 AS DOUBLE) AS n
+  FROM (SELECT id, v FROM q ORDER BY id LIMIT {ONLINE_K}))""",
     ]
     assign = """SELECT id, v, topic FROM (SELECT id, v, topic, row_number() OVER (PARTITION BY id
   ORDER BY round(list_distance(v, centre), 9), topic) AS r FROM q, {c} WHERE y = {y}) WHERE r = 1"""
     rows = []
     for at, y in enumerate(codes, 1):
-        parts.append(
-            f"""g{at} AS MATERIALIZED (SELECT * FROM c{at - 1} UNION ALL SELECT have + r - 1, v, CAST(0 AS DOUBLE) FROM (
-  SELECT v, row_number() OVER (ORDER BY id) AS r, (SELECT count(*) FROM c{at - 1}) AS have FROM q WHERE y = {y}) WHERE have + r <= {ONLINE_K})"""
-        )
         parts.append(
             f"""s{at} AS MATERIALIZED (SELECT topic, list(x ORDER BY pos) AS total, max(m) AS m FROM (SELECT topic, pos, sum(x) AS x, count(*) AS m
-  FROM (SELECT topic, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM ({assign.format(c=f'g{at}', y=y)})) GROUP BY topic, pos) GROUP BY topic)"""
+  FROM (SELECT topic, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM ({assign.format(c=f'c{at - 1}', y=y)})) GROUP BY topic, pos) GROUP BY topic)"""
         )
         parts.append(
             f"""c{at} AS MATERIALIZED (SELECT c.topic, CASE WHEN s.m IS NULL THEN c.centre ELSE
   list_transform(c.centre, lambda x, i: (c.n * x + s.total[i]) / (c.n + s.m)) END AS centre, c.n + coalesce(s.m, 0) AS n
-  FROM g{at} c LEFT JOIN s{at} s USING (topic))"""
+  FROM c{at - 1} c LEFT JOIN s{at} s USING (topic))"""
         )
         rows.append(f"SELECT id AS doc_id, {y} AS {name}, CAST(topic AS INTEGER) AS topic FROM ({assign.format(c=f'c{at}', y=y)})")
-    return ", ".join(parts) + " " + " UNION ALL ".join(rows)
+    fitted = " UNION ALL ".join(rows)
+    return f"{', '.join(parts)}, fitted AS MATERIALIZED ({fitted})"
+
 
+def online_start(df):
+    """The given start of the fits that are compared with SQL."""
+    rows = df.select("doc_id", F.col("embedding").cast("array<double>").alias("v")).orderBy("doc_id").limit(ONLINE_K).collect()
+    return np.array([r.v for r in rows])
 
-@query("online_fit", f"WITH {E}, {TRANSCRIPTS}, {online_sql('year(created_at) * 10 + quarter(created_at)', QUARTERS, 'yearq')}")
+
+@query("online_fit", f"WITH {E}, {TRANSCRIPTS}, {online_sql('year(created_at) * 10 + quarter(created_at)', QUARTERS, 'yearq')} SELECT * FROM fitted")
 def online_fit(spark, sf):
     """Quarter by quarter over the whole table; the quarter is shown as year and digit."""
-    fitted = online.online_fit(materialise(online_points(spark, sf), "quarters"), "yearq", ONLINE_K)
+    df = materialise(online_points(spark, sf), "quarters")
+    fitted = online.online_fit(df, "yearq", ONLINE_K, start=online_start(df))
     return fitted.select("doc_id", F.replace("yearq", F.lit("Q"), F.lit("")).cast("int").alias("yearq"), "topic")
 
 
-@query("online_fit_yearly", f"WITH {E}, {TRANSCRIPTS}, {online_sql('year(created_at)', YEARS, 'year')}")
+@query("online_fit_yearly", f"WITH {E}, {TRANSCRIPTS}, {online_sql('year(created_at)', YEARS, 'year')} SELECT * FROM fitted")
 def online_fit_yearly(spark, sf):
     """The same fit with years as periods."""
     df = online_points(spark, sf).select("doc_id", F.substring("yearq", 1, 4).alias("period"), "embedding")
-    fitted = online.online_fit(materialise(df, "years"), "period", ONLINE_K)
+    df = materialise(df, "years")
+    fitted = online.online_fit(df, "period", ONLINE_K, start=online_start(df))
     return fitted.select("doc_id", F.col("period").cast("int").alias("year"), "topic")
 
 
-@query("online_fit_stream", f"WITH {E}, {TRANSCRIPTS}, {online_sql('year(created_at)', YEARS, 'year')}")
+@query("online_fit_stream", f"WITH {E}, {TRANSCRIPTS}, {online_sql('year(created_at)', YEARS, 'year')} SELECT * FROM fitted")
 def online_fit_stream(spark, sf):
     """Stream form: one year a trigger, state in the shared folder."""
     root = scratch_path(spark, "stream")
     df = online_points(spark, sf).select("doc_id", "embedding", F.substring("yearq", 1, 4).cast("int").alias("year"))
     online.publish_periods(df, "year", root)
-    fitted = online.online_fit_stream(spark, root, "year", df.schema, ONLINE_K)
+    fitted = online.online_fit_stream(spark, root, "year", df.schema, ONLINE_K, start=online_start(df))
     return fitted.select("doc_id", "year", "topic")
 
 
+@query("online_fit_reduced")
+def online_fit_reduced(spark, sf):
+    """Quarter by quarter on the five leading components of all rows so far; the start is drawn from the whole first quarter."""
+    return online.online_fit(online_points(spark, sf), "yearq", ONLINE_K, n_components=5)
+
+
+@query(
+    "online_topics_stream",
+    f"""WITH {E}, {TRANSCRIPTS}, {online_sql('year(created_at)', YEARS, 'year')},
+ages AS (SELECT year, row_number() OVER (ORDER BY year DESC) - 1 AS age FROM (SELECT DISTINCT year FROM fitted)),
+t AS (SELECT year, f.topic, unnest(regexp_extract_all(lower(text), '{WORD}')) AS term FROM fitted f JOIN transcripts USING (doc_id))
+SELECT topic, term, round(sum(power(0.99, age)), 6) AS weight FROM t JOIN ages USING (year) GROUP BY topic, term""",
+)
+def online_topics_stream(spark, sf):
+    """Term weights fed by the topics that the same step of the stream fits."""
+    root = scratch_path(spark, "topics")
+    texts = view(spark, sf).select("doc_id", "text")
+    df = online_points(spark, sf).join(texts, "doc_id").select("doc_id", "embedding", "text", F.substring("yearq", 1, 4).cast("int").alias("year"))
+    online.publish_periods(df, "year", root)
+    _, weights = online.online_topics_stream(spark, root, "year", df.schema, ONLINE_K, start=online_start(df))
+    return weights.select("topic", "term", F.round("weight", 6).alias("weight"))
+
+
 @query(
     "online_bow_decay_stream",
     f"""WITH {TRANSCRIPTS}, q AS (SELECT year(created_at) AS y, topic, text FROM transcripts WHERE year(created_at) BETWEEN 2010 AND 2022),

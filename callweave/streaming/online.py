@@ -1,12 +1,14 @@
-"""Incremental fitting: centres and decayed term weights, period by period.
+"""Incremental fitting: projection, centres and decayed term weights, period by period.
 
 The batch form walks the periods in order; the stream form does the same in ``foreachBatch``. State
-is one small table per step in the shared folder, named after the batch, so a batch that is replayed
+is a few small tables per step in the shared folder, named after the batch, so a batch that is replayed
 after a failure finds its predecessor's state and writes the same result again.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -14,79 +16,138 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.operators.cluster import Spec, _partial_sums, assign_topics
+from callweave.functions import vectors as vx
+from callweave.operators.cluster import Spec, _draw, _partial_sums, initial_centres
 from callweave.operators.matrix import nearest, stack
+from callweave.operators.reduce import Moments, Projection, collect_moments, moments
 from callweave.operators.vocab import document_terms
-from callweave.session import MODEL_BYTES
+from callweave.session import MODEL_BYTES, scratch_path
 from callweave.sources.stores import path_exists
 from callweave.sources.transcripts import ingest
 
-STATE_SCHEMA = "topic int, n double, centre array<double>"
+CENTRES_SCHEMA = "topic int, n double, centre array<double>"
+MOMENTS_SCHEMA = "i int, n double, total double, products array<double>"
+
+
+@dataclass(frozen=True)
+class State:
+    """What a step hands to the next: centres with their weights and, if rows are reduced, the moments of all rows so far."""
+
+    centres: np.ndarray | None = None
+    n: np.ndarray | None = None
+    seen: Moments | None = None
+    lens: Projection | None = None
+
+    @classmethod
+    def given(cls, start: np.ndarray | None) -> State:
+        """Given centres, in the space of the vectors, at weight zero."""
+        return cls() if start is None else cls(np.asarray(start, float), np.zeros(len(start)))
 
 
-def update_centres(batch: DataFrame, centres: np.ndarray, n: np.ndarray, alpha: float = 1.0, vector: str = "embedding"):
+def take_in(batch: DataFrame, state: State, n_components: int, vector: str = "embedding") -> State:
+    """The state under the projection of all rows up to this batch.
+
+    The batch's moments are added to those so far; the axes of the sum are the new basis. Centres keep their place in the space of the
+    vectors: what the old coordinates stood for is expressed in the new ones.
+    """
+    seen = collect_moments(moments(batch, vector))
+    seen = seen if state.seen is None else state.seen + seen
+    lens = seen.projection(n_components)
+    centres = state.centres
+    if centres is not None:
+        centres = lens.apply(state.lens.restore(centres) if state.lens else centres)
+    return replace(state, centres=centres, seen=seen, lens=lens)
+
+
+def update_centres(batch: DataFrame, state: State, alpha: float = 1.0, vector: str = "embedding") -> State:
     """Centres and weights after a batch: ``c' = (alpha n c + sum x) / (alpha n + m)``."""
+    centres, n = state.centres, state.n
+    lens = {None: state.lens} if state.lens else None
     sums = (
-        _partial_sums(batch, [centres], [Spec(len(centres))], vector, None).groupBy("cluster")
+        _partial_sums(batch, [centres], [Spec(len(centres))], vector, None, lens).groupBy("cluster")
         .agg(F.sum("n").alias("m"), vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total")).collect()
     )
     new_c, new_n = centres.copy(), alpha * n
     for r in sums:
         new_n[r.cluster] = alpha * n[r.cluster] + r.m
         new_c[r.cluster] = (alpha * n[r.cluster] * centres[r.cluster] + np.array(r.total)) / new_n[r.cluster]
-    return new_c, new_n
+    return replace(state, centres=new_c, n=new_n)
+
 
+def grow_centres(batch: DataFrame, state: State, k: int, vector: str = "embedding") -> State:
+    """Fill up to ``k`` centres at weight zero, from all rows of the batch.
 
-def grow_centres(batch: DataFrame, centres: np.ndarray | None, n: np.ndarray | None, k: int, key: str, vector: str):
-    """Fill up to ``k`` centres with the first vectors by id of the batch, at weight zero."""
-    have = 0 if centres is None else len(centres)
+    The first ones are a k-means start over the batch; where that had fewer than ``k`` different vectors, later batches add vectors that are
+    drawn with a chance proportional to their squared distance to the centres there are.
+    """
+    lens = {None: state.lens} if state.lens else None
+    if state.centres is None or not len(state.centres):
+        centres = initial_centres(batch, [Spec(k)], vector, None, lens=lens)[0]
+        return replace(state, centres=centres, n=np.zeros(len(centres)))
+    have = len(state.centres)
     if have >= k:
-        return centres, n
-    rows = batch.select(key, F.col(vector).cast("array<double>").alias("v")).orderBy(key).limit(k - have).collect()
-    new = np.array([r.v for r in rows], dtype=np.float64)
-    if have == 0:
-        return new, np.zeros(len(new))
-    return (np.vstack([centres, new]), np.r_[n, np.zeros(len(new))]) if len(new) else (centres, n)
+        return state
+    clean = vx.scrub(F.col(vector)) if lens else F.col(vector).cast("array<double>")
+    hashed = batch.select(F.lit(-1).alias("part"), F.xxhash64(vector).alias("h"), clean.alias("v"))
+    drawn = _draw(hashed, {None: state.centres}, {None: k - have}, have, lens)[None]
+    if not drawn:
+        return state
+    return replace(state, centres=np.vstack([state.centres, *drawn]), n=np.r_[state.n, np.zeros(len(drawn))])
+
+
+def step(batch: DataFrame, state: State, k: int, alpha: float = 1.0, vector: str = "embedding", n_components: int | None = None) -> State:
+    """One period: the projection takes in its rows, missing centres are added, all centres move."""
+    if batch.isEmpty():
+        return state
+    if n_components:
+        state = take_in(batch, state, n_components, vector)
+    return update_centres(batch, grow_centres(batch, state, k, vector), alpha, vector)
+
+
+def assign(rows: DataFrame, models: dict[str, State], period: str, vector: str = "embedding") -> DataFrame:
+    """``rows`` with the topic that the centres at the end of their own period give them."""
+
+    @F.pandas_udf("int")
+    def place(v: pd.Series, p: pd.Series) -> pd.Series:
+        out = pd.Series(-1, index=v.index, dtype="int32")
+        for name, some in v.groupby(p):
+            state = models[name]
+            x = stack(some)
+            out[some.index] = nearest(state.lens.apply(x) if state.lens else x, state.centres)[0].astype("int32")
+        return out
+
+    clean = vx.scrub(F.col(vector)) if any(m.lens for m in models.values()) else F.col(vector).cast("array<double>")
+    return rows.withColumn("topic", place(clean, F.col(period).cast("string")))
 
 
 def online_fit(
-    points: DataFrame, period: str, k: int = 50, alpha: float = 1.0, key: str = "doc_id", vector: str = "embedding"
+    points: DataFrame, period: str, k: int = 50, alpha: float = 1.0, key: str = "doc_id", vector: str = "embedding",
+    n_components: int | None = None, start: np.ndarray | None = None,
 ) -> DataFrame:
-    """Per period in order: update the centres, then assign the period's rows: ``key, period, topic``.
+    """Per period in order: update projection and centres, then assign the period's rows: ``key, period, topic``.
 
-    Until there are ``k`` centres, the first vectors of each new period join as further ones. The
-    update of a period reads that period only; store ``points`` partitioned by period. All rows
-    are assigned in one last pass with the centres their period ended with.
+    With ``n_components`` rows are clustered by their leading components, whose basis follows all rows so far. The start is ``start``, or drawn from all
+    rows of the first period. The rows are stored in one folder a period, so a step reads its own folder only. All rows are assigned in one last
+    pass with the state their period ended with. Rows without a period belong to no step and are left out.
     """
-    periods = [r[0] for r in points.select(period).distinct().orderBy(period).collect()]
-    centres = n = None
-    history: dict[str, np.ndarray] = {}
+    slim = points.where(F.col(period).isNotNull()).select(key, period, F.col(vector).cast("array<double>").alias(vector))
+    path = scratch_path(points.sparkSession, "periods")
+    ingest(slim, path, period)
+    stored = points.sparkSession.read.schema(slim.schema).parquet(path)
+    periods = [r[0] for r in stored.select(period).distinct().orderBy(period).collect()]
+    state, history = State.given(start), {}
     for p in periods:
-        batch = points.where(F.col(period) == p)
-        centres, n = grow_centres(batch, centres, n, k, key, vector)
-        centres, n = update_centres(batch, centres, n, alpha, vector)
-        history[p] = centres
-    key_type = points.schema[key].dataType.simpleString()
-    slim = points.select(key, period, F.col(vector).cast("array<double>").alias("v"))
-    schema = f"`{key}` {key_type}, `{period}` string, topic int"
-    per_pass = max(1, MODEL_BYTES // max(1, centres.nbytes if centres is not None else 1))
-
-    def assign(models):
-        def run(batches):
-            for pdf in batches:
-                for p, rows in pdf.groupby(period):
-                    topic = nearest(stack(rows["v"]), models[p])[0].astype("int32")
-                    yield pd.DataFrame({key: rows[key], period: rows[period], "topic": topic})
-
-        return run
-
+        state = step(stored.where(F.col(period) == p), state, k, alpha, vector, n_components)
+        history[str(p)] = replace(state, seen=None)
+    size = max([1, *(s.centres.nbytes + (s.lens.axes.nbytes if s.lens else 0) for s in history.values())])
+    per_pass = max(1, MODEL_BYTES // size)
     result = None
     for at in range(0, len(periods), per_pass):
         some = periods[at : at + per_pass]
-        rows = slim.where(F.col(period).isin(some)) if len(some) < len(periods) else slim
-        part = rows.mapInPandas(assign({p: history[p] for p in some}), schema)
+        rows = stored.where(F.col(period).isin(some)) if len(some) < len(periods) else stored
+        part = assign(rows, {str(p): history[str(p)] for p in some}, period, vector).select(key, period, "topic")
         result = part if result is None else result.unionByName(part)
-    return result
+    return stored.select(key, period, F.lit(None).cast("int").alias("topic")) if result is None else result
 
 
 def _read_state(spark: SparkSession, root: str, name: str, batch_id: int, schema: str) -> DataFrame | None:
@@ -99,53 +160,84 @@ def _read_state(spark: SparkSession, root: str, name: str, batch_id: int, schema
     return spark.read.schema(schema).parquet(path)
 
 
-def fit_batch(batch: DataFrame, batch_id: int, root: str, k: int, alpha: float = 1.0, key: str = "doc_id", vector: str = "embedding") -> None:
-    """One step of the stream form: state of the step before, update, own state, own topics."""
+def load_state(spark: SparkSession, root: str, batch_id: int, n_components: int | None) -> State:
+    centres = _read_state(spark, root, "centres", batch_id, CENTRES_SCHEMA)
+    if centres is None:
+        return State()
+    rows = centres.orderBy("topic").collect()  # at most k rows
+    state = State(np.array([r.centre for r in rows]), np.array([r.n for r in rows])) if rows else State()
+    if n_components:
+        seen = _read_state(spark, root, "moments", batch_id, MOMENTS_SCHEMA)
+        if not seen.isEmpty():
+            held = collect_moments(seen)
+            state = replace(state, seen=held, lens=held.projection(n_components))
+    return state
+
+
+def save_state(spark: SparkSession, root: str, batch_id: int, state: State) -> None:
+    rows = [] if state.centres is None else [(i, float(n), c.tolist()) for i, (n, c) in enumerate(zip(state.n, state.centres))]
+    spark.createDataFrame(rows, CENTRES_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{root}/centres/batch={batch_id}")
+    held = state.seen
+    sums = [] if held is None else [(i, float(held.n), float(t), p.tolist()) for i, (t, p) in enumerate(zip(held.total, held.products))]
+    spark.createDataFrame(sums, MOMENTS_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{root}/moments/batch={batch_id}")
+
+
+def fit_batch(
+    batch: DataFrame, batch_id: int, root: str, k: int, alpha: float = 1.0, vector: str = "embedding", n_components: int | None = None,
+    start: np.ndarray | None = None,
+) -> DataFrame:
+    """One step of the stream form: state of the step before, update, own state, own topics. Returns the rows with their topics, as stored."""
     spark = batch.sparkSession
-    before = _read_state(spark, root, "centres", batch_id - 1, STATE_SCHEMA)
-    centres = n = None
-    if before is not None:
-        rows = before.orderBy("topic").collect()  # at most k rows
-        centres, n = np.array([r.centre for r in rows]), np.array([r.n for r in rows])
-    centres, n = grow_centres(batch, centres, n, k, key, vector)
-    centres, n = update_centres(batch, centres, n, alpha, vector)
-    state = [(i, float(n[i]), centres[i].tolist()) for i in range(len(n))]
-    spark.createDataFrame(state, STATE_SCHEMA).write.mode("overwrite").parquet(f"{root}/centres/batch={batch_id}")
-    assigned = assign_topics(batch, (np.arange(len(n)), centres), vector)
-    assigned.drop(vector).write.mode("overwrite").parquet(f"{root}/topics/batch={batch_id}")
+    state = State.given(start) if batch_id == 0 else load_state(spark, root, batch_id - 1, n_components)
+    state = step(batch, state, k, alpha, vector, n_components)
+    save_state(spark, root, batch_id, state)
+    path = f"{root}/topics/batch={batch_id}"
+    assigned = batch.withColumn("_all", F.lit("all"))
+    assigned = assign(assigned, {"all": replace(state, seen=None)}, "_all", vector).drop("_all", vector)
+    assigned.write.mode("overwrite").parquet(path)
+    return spark.read.schema(assigned.schema).parquet(path)
 
 
 def decay_batch(
-    batch: DataFrame, batch_id: int, root: str, decay: float = 0.01, stop: list[str] = (), topic: str = "topic", text: str = "text"
+    batch: DataFrame, batch_id: int, root: str, decay: float = 0.01, stop: list[str] = (), topic: str = "topic", text: str = "text",
+    least: float = 0.0, vocab: DataFrame | None = None,
 ) -> None:
-    """One step of the decayed term weights: old weights shrink, the batch's counts are added."""
+    """One step of the decayed term weights: old weights shrink, the batch's counts are added, and terms of less weight than ``least`` are forgotten.
+
+    State is keyed by topic and term. With ``vocab`` (a column ``term``) other terms are not counted.
+    """
     spark = batch.sparkSession
     schema = f"{topic} int, term string, weight double"
     before = _read_state(spark, root, "weights", batch_id - 1, schema)
-    counts = (
-        document_terms(batch, list(stop), text, 1, keep=(topic,)).groupBy(topic, "term")
-        .agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    )
+    terms = document_terms(batch, list(stop), text, 1, keep=(topic,))
+    if vocab is not None:
+        terms = terms.join(vocab.select("term"), "term", "left_semi")
+    counts = terms.groupBy(topic, "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     if before is not None:
         old = before.withColumn("weight", F.col("weight") * F.lit(1.0 - decay))
         counts = old.unionByName(counts).groupBy(topic, "term").agg(F.sum("weight").alias("weight"))
-    counts.write.mode("overwrite").parquet(f"{root}/weights/batch={batch_id}")
+    counts.where(F.col("weight") >= least).write.mode("overwrite").parquet(f"{root}/weights/batch={batch_id}")
+
+
+ANNOUNCED = "seq long, period string"
 
 
 def publish_periods(df: DataFrame, period: str, root: str) -> None:
     """Store rows by period, then announce the periods in order, one small file each.
 
-    Rows of a large period are written by many tasks; the announcements alone drive the stream.
+    Rows of a large period are written by many tasks; the announcements alone drive the stream. Each has its number: step ``n`` takes the
+    period announced as ``n``, whatever the times of the files.
     """
     spark = df.sparkSession
     ingest(df, f"{root}/rows", period)
-    for row in df.select(period).distinct().orderBy(period).collect():
-        spark.createDataFrame([(str(row[0]),)], "period string").coalesce(1).write.mode("append").parquet(f"{root}/periods")
+    known = spark.read.schema(ANNOUNCED).parquet(f"{root}/periods").count() if path_exists(spark, f"{root}/periods") else 0
+    for n, row in enumerate(df.select(period).where(F.col(period).isNotNull()).distinct().orderBy(period).collect(), known):
+        spark.createDataFrame([(n, str(row[0]))], ANNOUNCED).coalesce(1).write.mode("append").parquet(f"{root}/periods")
 
 
 def period_stream(spark: SparkSession, root: str) -> DataFrame:
     """Stream of announced periods, one per trigger."""
-    return spark.readStream.schema("period string").option("maxFilesPerTrigger", 1).parquet(f"{root}/periods")
+    return spark.readStream.schema(ANNOUNCED).option("maxFilesPerTrigger", 1).parquet(f"{root}/periods")
 
 
 def run_stream(spark: SparkSession, root: str, period: str, schema, step, name: str) -> None:
@@ -156,10 +248,10 @@ def run_stream(spark: SparkSession, root: str, period: str, schema, step, name:
     stored = spark.read.schema(schema).parquet(f"{root}/rows")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        announced = [r.period for r in batch.select("period").limit(2).collect()]
-        if len(announced) != 1:
-            raise ValueError("a trigger has to deliver exactly one period")
-        step(stored.where(F.col(period) == announced[0]), batch_id)
+        due = spark.read.schema(ANNOUNCED).parquet(f"{root}/periods").where(F.col("seq") == batch_id).select("period").collect()
+        if len(due) != 1:
+            raise ValueError(f"step {batch_id} needs exactly one announced period, not {len(due)}")
+        step(stored.where(F.col(period) == due[0].period), batch_id)
 
     query = (
         period_stream(spark, root).writeStream.foreachBatch(run)
@@ -169,16 +261,42 @@ def run_stream(spark: SparkSession, root: str, period: str, schema, step, name:
 
 
 def online_fit_stream(
-    spark: SparkSession, root: str, period: str, schema, k: int, alpha: float = 1.0, key: str = "doc_id", vector: str = "embedding"
+    spark: SparkSession, root: str, period: str, schema, k: int, alpha: float = 1.0, vector: str = "embedding", n_components: int | None = None,
+    start: np.ndarray | None = None,
 ) -> DataFrame:
     """Stream form of :func:`online_fit`; returns the topics written so far."""
-    run_stream(spark, root, period, schema, lambda rows, i: fit_batch(rows, i, root, k, alpha, key, vector), "fit")
+    run_stream(spark, root, period, schema, lambda rows, i: fit_batch(rows, i, root, k, alpha, vector, n_components, start), "fit")
     return spark.read.parquet(f"{root}/topics").drop("batch")
 
 
-def decayed_weights_stream(spark: SparkSession, root: str, period: str, schema, decay: float = 0.01, stop: list[str] = ()) -> DataFrame:
-    """Stream form of the decayed term weights; returns the weights after the last period."""
-    run_stream(spark, root, period, schema, lambda rows, i: decay_batch(rows, i, root, decay, stop), "decay")
+def last_weights(spark: SparkSession, root: str) -> DataFrame:
+    """The weights after the last period."""
     states = spark.read.parquet(f"{root}/weights")
     last = states.agg(F.max("batch")).first()[0]
     return states.where(F.col("batch") == last).drop("batch")
+
+
+def decayed_weights_stream(
+    spark: SparkSession, root: str, period: str, schema, decay: float = 0.01, stop: list[str] = (), least: float = 0.0, vocab: DataFrame | None = None
+) -> DataFrame:
+    """Stream form of the decayed term weights for rows that have a topic; returns the weights after the last period."""
+    run_stream(spark, root, period, schema, lambda rows, i: decay_batch(rows, i, root, decay, stop, least=least, vocab=vocab), "decay")
+    return last_weights(spark, root)
+
+
+def online_topics_stream(
+    spark: SparkSession, root: str, period: str, schema, k: int, alpha: float = 1.0, vector: str = "embedding", n_components: int | None = None,
+    start: np.ndarray | None = None, decay: float = 0.01, stop: list[str] = (), least: float = 0.0, vocab: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """One stream for both: each step fits, assigns its rows and feeds their terms, under the topics of the same step, into the decayed weights.
+
+    Rows carry a vector and a ``text``. Returns the topics of all rows so far and the weights after the last period. A replayed step finds the state
+    of the one before and writes the same topics and weights again.
+    """
+
+    def both(rows: DataFrame, i: int) -> None:
+        assigned = fit_batch(rows, i, root, k, alpha, vector, n_components, start)
+        decay_batch(assigned, i, root, decay, stop, least=least, vocab=vocab)
+
+    run_stream(spark, root, period, schema, both, "topics")
+    return spark.read.parquet(f"{root}/topics").drop("batch", "text"), last_weights(spark, root)

@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from callweave.operators import evaluate as ev
+from callweave.operators import filters as fl
 from callweave.operators import hierarchy as hi
 from callweave.operators import selection as se
 from callweave.operators import topics as tp
+from callweave.operators.model import TopicModel
 from callweave.sources import stores
 from tests.test_vectors import crowded, frame, planted
 
@@ -211,6 +213,73 @@ def test_cross_validation(spark):
     assert all(r.silhouette > 0.5 and 0 < r.coherence <= 1 + 1e-9 for r in rows)
 
 
+def brute_fold(x, fold, f, k_start, dims, steps=20):
+    """Silhouette of a fold's own vectors under the model fitted on the reduced other rows."""
+    train = x[fold != f]
+    values, vectors = np.linalg.eigh(np.cov(train.T))
+    axes = vectors[:, np.argsort(values)[::-1][:dims]].T
+    y = (x - train.mean(0)) @ axes.T
+    centres = y[k_start]
+    for _ in range(steps):
+        near = np.linalg.norm(y[:, None] - centres[None], axis=2).argmin(1)
+        centres = np.array([y[(near == j) & (fold != f)].mean(0) for j in range(len(centres))])
+    return brute_silhouette(x[fold == f], near[fold == f])
+
+
+def test_folds_are_scored_by_reduced_models_on_the_original_vectors(spark, tmp_path):
+    x = planted(seed=12)
+    df, docs = frame(spark, x), labelled_docs(spark, x)
+    out = str(tmp_path)
+    words = se.Vocabulary(stop=("alpha",), max_n=2, min_tf=3)
+    rows = se.cross_validate(docs, df, k=3, n_splits=4, n_components=2, vocabulary=words, out=out).collect()
+    fold = np.array([r.fold for r in fl.kfold_split(df, n_splits=4).orderBy("doc_id").collect()])
+    for r in rows:  # planted groups: any start finds them
+        assert abs(r.silhouette - brute_fold(x, fold, r.fold - 1, [0, 20, 40], 2)) < 1e-9
+    info = spark.read.parquet(f"{out}/topic_info").collect()
+    assert {r.run for r in info} == {0, 1, 2, 3, 4}
+    for run in range(5):
+        mine = [r for r in info if r.run == run]
+        assert sum(r["count"] for r in mine) == (60 if run == 0 else int((fold != run - 1).sum()))
+        assert all("alpha" not in r.words and any(" " in w for w in r.words) and r.name.startswith(f"{r.topic}_") for r in mine)
+        model = TopicModel.load(spark, f"{out}/model_{run}")
+        topics = np.array([r.topic for r in model.transform(df).orderBy("doc_id").collect()])
+        assert len({tuple(sorted({*topics[a : a + 20]})) for a in (0, 20, 40)}) == 3 and model.centres.shape == (3, 2)
+        new = frame(spark, x[:3] + 0.01, [100, 101, 102])
+        assert [r.topic for r in model.transform(new).orderBy("doc_id").collect()] == topics[:3].tolist()
+        assert {(r.topic, r.word) for r in model.words.collect()} == {(r.topic, w) for r in mine for w in r.words}
+    with pytest.raises(FileNotFoundError):
+        TopicModel.load(spark, f"{out}/model_9")
+
+
+def test_documents_and_vectors_have_to_match(spark):
+    x = planted(seed=12)
+    docs = labelled_docs(spark, x)
+    with pytest.raises(ValueError, match="one to one"):
+        se.cross_validate(docs, frame(spark, x[:50]), k=3, n_splits=2)
+    with pytest.raises(ValueError, match="one to one"):
+        se.k_sweep(docs.limit(40), frame(spark, x), [3])
+    a, b = se.matched(docs, frame(spark, x[:50]), "drop")
+    assert a.count() == b.count() == 50
+
+
+def test_rare_terms_are_judged_on_the_training_texts(spark):
+    docs = spark.createDataFrame([(i, ["often", "rare"] if i == 0 else ["often", "seed"] if i == 1 else ["often"]) for i in range(6)], "doc_id long, tokens array<string>")
+    labels = spark.createDataFrame([(i, m, 0) for i in range(6) for m in (0, 1) if not (m == 1 and i > 3)], "doc_id long, model int, topic int")
+    words = se.Vocabulary(max_n=2, min_tf=4, seeds=("seed",))
+    got = {(r.model, r.term): r.tf for r in se._model_terms(docs, labels, "tokens", "model", words).collect()}
+    assert got == {(0, "often"): 6, (0, "seed"): 1, (1, "seed"): 1}
+
+
+def test_sweep_stores_every_k(spark, tmp_path):
+    x = planted(seed=11)
+    out = str(tmp_path)
+    swept = se.k_sweep(labelled_docs(spark, x), frame(spark, x), [2, 3], n_components=3, out=out).collect()
+    assert {r.k for r in swept} == {2, 3}
+    info = spark.read.parquet(f"{out}/topic_info").groupBy("run").agg(F.count("topic").alias("n"), F.sum("count").alias("docs")).collect()
+    assert {(r.run, r.n, r.docs) for r in info} == {(2, 2, 60), (3, 3, 60)}
+    assert TopicModel.load(spark, f"{out}/model_3").centres.shape == (3, 3)
+
+
 def test_grid_search_keeps_failures(spark):
     grid = se.param_grid({"n_components": [2], "min_samples": [3], "min_cluster_size": [10, 1000]}) + [{"n_components": 2}]
     rows = se.grid_search(frame(spark, planted(seed=13)), grid).collect()

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from callweave.operators.vocab import decayed_weights
@@ -15,36 +16,122 @@ def points(spark, seed=0):
     return spark.createDataFrame(rows, "doc_id long, yearq string, embedding array<double>")
 
 
-def brute(rows, k, alpha):
-    centres = n = None
+def basis(x, k):
+    """Mean and leading axes; each axis points where its largest entry is positive."""
+    values, vectors = np.linalg.eigh(np.cov(x.T))
+    axes = vectors[:, np.argsort(values)[::-1][:k]].T
+    return x.mean(0), axes * np.sign(axes[np.arange(k), np.abs(axes).argmax(1)])[:, None]
+
+
+def brute(rows, start, alpha, dims=None):
+    centres, n, seen, old = np.array(start), np.zeros(len(start)), np.zeros((0, len(start[0]))), None
     topics = {}
     for q in sorted({r.yearq for r in rows}):
-        batch = [(r.doc_id, np.array(r.embedding)) for r in sorted(rows, key=lambda r: r.doc_id) if r.yearq == q]
-        if centres is None:
-            centres, n = np.array([v for _, v in batch[:k]]), np.zeros(k)
-        near = [int(np.argmin(np.linalg.norm(centres - v, axis=1))) for _, v in batch]
-        for j in range(k):
-            mine = [v for (_, v), t in zip(batch, near) if t == j]
+        batch = [r for r in sorted(rows, key=lambda r: r.doc_id) if r.yearq == q]
+        x = np.array([r.embedding for r in batch])
+        if dims:
+            seen = np.vstack([seen, x])
+            mean, axes = basis(seen, dims)
+            centres = ((centres @ old[1] + old[0] if old else centres) - mean) @ axes.T
+            x, old = (x - mean) @ axes.T, (mean, axes)
+        near = [int(np.argmin(np.linalg.norm(centres - v, axis=1))) for v in x]
+        for j in range(len(centres)):
+            mine = [v for v, t in zip(x, near) if t == j]
             total = alpha * n[j] + len(mine)
             if mine:
                 centres[j] = (alpha * n[j] * centres[j] + np.sum(mine, 0)) / total
             n[j] = total
-        topics.update({i: int(np.argmin(np.linalg.norm(centres - v, axis=1))) for i, v in batch})
+        topics.update({r.doc_id: int(np.argmin(np.linalg.norm(centres - v, axis=1))) for r, v in zip(batch, x)})
     return topics
 
 
-def test_batch_and_stream_agree_with_a_plain_loop(spark, tmp_path):
+@pytest.mark.parametrize("dims", [None, 2])
+def test_batch_and_stream_agree_with_a_plain_loop(spark, tmp_path, dims):
+    """With and without a reduction, whose basis turns from period to period."""
     df = points(spark)
-    want = brute(df.collect(), 4, 0.5)
-    batch = {r.doc_id: r.topic for r in online.online_fit(df, "yearq", 4, alpha=0.5).collect()}
+    rows = df.collect()
+    start = np.array([r.embedding for r in sorted(rows, key=lambda r: r.doc_id)[:4]])
+    want = brute(rows, start, 0.5, dims)
+    batch = {r.doc_id: r.topic for r in online.online_fit(df, "yearq", 4, alpha=0.5, n_components=dims, start=start).collect()}
     assert batch == want
     root = str(tmp_path)
     slim = df.select("doc_id", "embedding", "yearq")
     online.publish_periods(slim, "yearq", root)
-    stream = online.online_fit_stream(spark, root, "yearq", slim.schema, 4, alpha=0.5)
+    stream = online.online_fit_stream(spark, root, "yearq", slim.schema, 4, alpha=0.5, n_components=dims, start=start)
     assert {r.doc_id: r.topic for r in stream.collect()} == want
 
 
+@pytest.mark.parametrize("dims", [None, 3])
+def test_start_comes_from_all_rows_of_the_first_period(spark, dims):
+    """Three planted groups are told apart although the first rows by id all lie in one of them."""
+    x = planted(seed=6, groups=3, size=30)
+    rows = [(i, f"2020Q{1 + (i % 30) // 15}", [float(v) for v in row]) for i, row in enumerate(x)]
+    df = spark.createDataFrame(rows, "doc_id long, yearq string, embedding array<double>")
+    got = {r.doc_id: r.topic for r in online.online_fit(df, "yearq", 3, n_components=dims).collect()}
+    groups = [{got[i] for i in range(g * 30, g * 30 + 30)} for g in range(3)]
+    assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
+
+
+def test_missing_centres_come_with_later_periods(spark):
+    """A first period with one vector gives one centre; the others are drawn far from it later. Rows without a period are left out."""
+    rows = [(0, "a", [0.0, 0.0]), (1, "a", [0.0, 0.0])] + [(i, "b", [10.0 * (i % 3), 5.0 * (i % 2)]) for i in range(2, 40)] + [(99, None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "doc_id long, yearq string, embedding array<double>")
+    got = {r.doc_id: r.topic for r in online.online_fit(df, "yearq", 4).collect()}
+    assert set(got) == set(range(40)) and got[0] == got[1] == 0 and len(set(got.values())) == 4
+    assert online.online_fit(df.limit(0), "yearq", 4).count() == 0
+
+
+def weights_by_hand(rows, topics, periods, decay, least):
+    held = {}
+    for p in periods:
+        held = {k: w * (1 - decay) for k, w in held.items()}
+        for i, period, text in rows:
+            if period == p:
+                for word in text.split():
+                    held[topics[i], word] = held.get((topics[i], word), 0) + 1
+        held = {k: w for k, w in held.items() if w >= least}
+    return held
+
+
+@pytest.mark.parametrize("least", [0.0, 1.5])
+def test_weights_follow_the_topics_of_the_same_step(spark, tmp_path, least):
+    df = points(spark)
+    rng = np.random.default_rng(2)
+    texts = [(i, " ".join(rng.choice(["cats", "dogs", "birds", "fish", "newts"], size=rng.integers(0, 5)))) for i in range(60)]
+    full = df.join(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id").select("doc_id", "embedding", "text", "yearq")
+    rows = full.collect()
+    start = np.array([r.embedding for r in sorted(rows, key=lambda r: r.doc_id)[:3]])
+    root = str(tmp_path)
+    online.publish_periods(full, "yearq", root)
+    topics, weights = online.online_topics_stream(spark, root, "yearq", full.schema, 3, n_components=2, start=start, decay=0.3, least=least)
+    got = {r.doc_id: r.topic for r in topics.collect()}
+    assert got == brute(rows, start, 1.0, 2)
+    want = weights_by_hand([(r.doc_id, r.yearq, r.text) for r in rows], got, sorted({r.yearq for r in rows}), 0.3, least)
+    held = {(r.topic, r.term): r.weight for r in weights.collect()}
+    assert held.keys() == want.keys() and all(abs(held[k] - want[k]) < 1e-9 for k in want)
+    # The last step again, as after a failure: the same topics and weights.
+    last = full.where("yearq = '2020Q4'")
+    assigned = online.fit_batch(last, 3, root, 3, n_components=2, start=start)
+    online.decay_batch(assigned, 3, root, 0.3, least=least)
+    assert {(r.topic, r.term): r.weight for r in online.last_weights(spark, root).collect()} == held
+    assert {r.doc_id: r.topic for r in spark.read.parquet(f"{root}/topics").collect()} == got
+
+
+def test_steps_follow_the_numbers_of_the_periods(spark, tmp_path):
+    """The order of the announcements counts, not the times of their files; a missing one stops the run."""
+    import os
+
+    df = points(spark).select("doc_id", "embedding", "yearq")
+    root = str(tmp_path)
+    online.publish_periods(df, "yearq", root)
+    files = sorted(f for f in os.listdir(f"{root}/periods") if f.endswith(".parquet"))
+    for at, name in enumerate(sorted(files, key=lambda f: os.path.getmtime(f"{root}/periods/{f}"), reverse=True)):
+        os.utime(f"{root}/periods/{name}", (1_000_000 + at, 1_000_000 + at))
+    seen = []
+    online.run_stream(spark, root, "yearq", df.schema, lambda rows, i: seen.append((i, rows.first().yearq)), "order")
+    assert seen == [(i, f"2020Q{i + 1}") for i in range(4)]
+
+
 def test_replayed_batch_gives_the_same_state(spark, tmp_path):
     df = points(spark)
     root = str(tmp_path)

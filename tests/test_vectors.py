@@ -189,6 +189,52 @@ def test_pca(spark):
     assert np.allclose(reduced.mean(0), 0, atol=1e-9) and np.allclose(reduced.var(0, ddof=1), fitted.variances)
 
 
+def test_projection_without_a_fold(spark):
+    """The total moments less a fold's own give the projection fitted on the other rows alone."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(90, 4)) * [4, 2, 1, 0.5] + np.arange(90)[:, None] % 3
+    df = frame(spark, x).withColumn("fold", (F.col("doc_id") % 3).cast("int"))
+    lens = rd.holdout_projections(df, "fold", 2)
+    assert sorted(lens) == [0, 1, 2]
+    for f, got in lens.items():
+        want = rd.fit_projection(rd.moments(df.where(F.col("fold") != f)), 2)
+        assert np.allclose(got.mean, want.mean) and np.allclose(got.axes, want.axes) and np.allclose(got.variances, want.variances)
+    rows = rng.normal(size=(5, 2))
+    assert np.allclose(lens[0].apply(lens[0].restore(rows)), rows)
+    with pytest.raises(ValueError):
+        rd.fit_projection(rd.moments(df.limit(0)), 2)
+
+
+def test_models_under_projections_equal_models_of_reduced_rows(spark):
+    x = planted(seed=5)
+    df = frame(spark, x).withColumn("fold", (F.col("doc_id") % 4).cast("int"))
+    lens = rd.holdout_projections(df, "fold", 2)
+    specs = [cl.Spec(3, holdout=f) for f in range(4)]
+    start = [lens[f].apply(x[[0, 20, 40]]) for f in range(4)]
+    got, _ = cl.fit_many(df, specs, fold="fold", max_iter=3, tol=0.0, init=start, lens=lens)
+    labels = {r.doc_id: r.labels for r in cl.label_many(df, got, specs=specs, lens=lens).collect()}
+    for f in range(4):
+        reduced = frame(spark, lens[f].apply(x)).withColumn("fold", (F.col("doc_id") % 4).cast("int"))
+        (alone,), _ = cl.fit_many(reduced.where(F.col("fold") != f), [cl.Spec(3)], max_iter=3, tol=0.0, init=[start[f]])
+        assert np.allclose(got[f], alone)
+        assert [labels[i][f] for i in range(60)] == [r.labels[0] for r in cl.label_many(reduced, [alone]).orderBy("doc_id").collect()]
+    drawn = cl.initial_centres(df, specs, "embedding", "fold", lens=lens)
+    assert all(c.shape == (3, 2) for c in drawn)
+
+
+def test_more_models_than_fit_together_take_more_passes(spark, monkeypatch):
+    df = frame(spark, planted(seed=3))
+    specs = [cl.Spec(3), cl.Spec(5), cl.Spec(4)]
+    start = cl.initial_centres(df, specs, "embedding", None)
+    want = cl.fit_many(df, specs, max_iter=3, tol=0.0, init=start)
+    labels = cl.label_many(df, want[0]).orderBy("doc_id").collect()
+    monkeypatch.setattr(cl, "MODEL_BYTES", 8 * 6 * 8)
+    assert cl._passes(start) == [range(0, 2), range(2, 3)]
+    got = cl.fit_many(df, specs, max_iter=3, tol=0.0, init=start)
+    assert all(np.allclose(a, b) for a, b in zip(got[0], want[0])) and np.allclose(got[1], want[1])
+    assert cl.label_many(df, got[0]).orderBy("doc_id").collect() == labels
+
+
 def test_fuzzy_weights(spark):
     x = crowded(n=60)
     knn = nb.knn_graph(frame(spark, x), 5, "euclidean")
