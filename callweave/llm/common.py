@@ -51,6 +51,12 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 4 <<
             yield from halves(batch.slice(a, rows))
 
 
+def bounded(arrays: Iterator[pa.Array]) -> Iterator[Iterator[pa.Array]]:
+    """Of each array its slices; a function of one column makes an array as long out of what it finds for them."""
+    for array in arrays:
+        yield (batch.column(0) for batch in slices(iter([pa.RecordBatch.from_arrays([array], ["x"])])))
+
+
 class WordHash(dict):
     """word -> 64-bit hash; remembers up to ``keep`` words."""
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import keyed, mix, slices, text_bytes, words
+from callweave.llm.common import bounded, keyed, mix, slices, text_bytes, words
 from callweave.session import fill_slots, materialise
 
 # Item text handled by one pass over the documents; a larger benchmark takes more passes.
@@ -253,23 +253,60 @@ def contamination(
     judged row by row. ``carry`` adds the whole input row as a column ``row``. Without items every document is clean.
     """
     base = fill_slots(keyed(docs, id_col, text_col, carry), "doc_id")
+    sc = docs.sparkSession.sparkContext
+    kind = base.schema["doc_id"].dataType.simpleString()
+    current = base
+    for windows, last in _blocks(base.select("text"), items, item_id, item_text, size, shingle, threshold, block_bytes):
+        schema = OUT.format(id=kind) if last else f"doc_id {kind}, text string, hit binary, items array<string>"
+        schema += f", row {base.schema['row'].dataType.simpleString()}" if carry else ""
+        current = current.mapInArrow(_match(sc.broadcast(windows), last), schema)
+    return current
+
+
+def _blocks(
+    texts: DataFrame, items: DataFrame, item_id: str, item_text: str, size: int, shingle: int, threshold: float, block_bytes: int
+) -> Iterator[tuple[Windows, bool]]:
+    """The windows of each block of the benchmark, indexed by their shingles' frequency in ``texts``, and whether it is the last."""
     known = materialise(
         items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))
         .where("text is not null").mapInArrow(_pieces(size), "item string, text string").distinct(), "items",
     )
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
-    sc = docs.sparkSession.sparkContext
-    kind = base.schema["doc_id"].dataType.simpleString()
-    current = base
     for b in range(blocks):
         rows = known.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
         windows = Windows([(r.item, r.text.encode()) for r in rows], size, shingle, threshold)
-        counted = sc.broadcast(windows)
-        frequency = {r.key: r.n for r in base.select("text").mapInArrow(_count(counted), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()}
-        windows.index(frequency)
-        last = b == blocks - 1
-        schema = OUT.format(id=kind) if last else f"doc_id {kind}, text string, hit binary, items array<string>"
-        schema += f", row {base.schema['row'].dataType.simpleString()}" if carry else ""
-        current = current.mapInArrow(_match(sc.broadcast(windows), last), schema)
+        counted = texts.mapInArrow(_count(texts.sparkSession.sparkContext.broadcast(windows)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        windows.index({r.key: r.n for r in counted.collect()})
+        yield windows, b == blocks - 1
+
+
+def uncontaminated(
+    docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, shingle: int = 3,
+    threshold: float = 1.0, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of ``docs`` in whose text no window of an item occurs; only the text passes through Python.
+
+    Rows that a block of the benchmark hits do not meet the next block.
+    """
+    current = docs
+    texts = fill_slots(docs.select(F.col(text_col).alias("text")), "text")
+    for windows, _ in _blocks(texts, items, item_id, item_text, size, shingle, threshold, block_bytes):
+        current = current.where(~_hit(docs.sparkSession.sparkContext.broadcast(windows))(F.col(text_col)))
     return current
+
+
+def _hit(windows):
+    @F.arrow_udf("boolean")
+    def hit(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        w = windows.value
+        for parts in bounded(texts):
+            found = []
+            for part in parts:
+                for _, ids, first, lengths in _chunks(part.cast(pa.binary()).to_pylist(), w):
+                    doc = np.repeat(np.arange(len(lengths)), lengths + 1)
+                    start, _ = w.occurrences(ids, first[doc], (first + lengths)[doc])
+                    found.append(np.isin(np.arange(len(lengths)), doc[start]))
+            yield pa.array(np.concatenate(found) if found else np.zeros(0, bool))
+
+    return hit

@@ -5,14 +5,15 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm.common import Rolling, WordHash, keyed, slices, text_bytes, words
+from callweave.llm.common import Rolling, WordHash, bounded, keyed, slices, text_bytes, words
 from callweave.session import fill_slots
 
 # What a sign may stand for.
@@ -347,30 +348,48 @@ def fit(
     return Model(letters, kept, math.log((pos + 0.5) / (neg + 0.5)), rates)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+class Judge:
+    """A model at work in a task."""
+
+    def __init__(self, model: Model):
+        self.model, self.decoder = model, Decoder(model.letters)
+        self.known = {w.encode() for w in model.weights}
+        self.stems = Stems(w[:-1] for w in self.known if w.endswith(b"*"))
+
+    def read(self, text: str | None) -> tuple[float, str | None]:
+        """The chance that the text is toxic, and the restored text."""
+        restored, found, tokens = self.decoder.read(text) if text else (text, set(), [])
+        logit = self.model.logit(self.known & (found | self.stems.told(tokens, self.model.rates)))
+        return 1 / (1 + math.exp(-max(-700.0, min(700.0, logit)))), restored
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, text) per row of ``docs``: the chance that the text is toxic, and the restored text.
 
-    Null and empty text, and text without a weighted word or stem, gets the prior; null text stays null. ``carry`` adds the whole input
-    row as a column ``row``.
+    Null and empty text, and text without a weighted word or stem, gets the prior; null text stays null.
     """
-    base = fill_slots(keyed(docs, id_col, text_col, carry), "doc_id")
-    row = ["row"] if carry else []
+    base = fill_slots(keyed(docs, id_col, text_col, False), "doc_id")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = sent.value
-        decoder = Decoder(m.letters)
-        known = {w.encode() for w in m.weights}
-        stems = Stems(w[:-1] for w in known if w.endswith(b"*"))
+        judge = Judge(sent.value)
         for batch in slices(batches):
-            scores, plain = [], []
-            for text in batch.column("text").to_pylist():
-                restored, found, tokens = decoder.read(text) if text else (text, set(), [])
-                logit = m.logit(known & (found | stems.told(tokens, m.rates)))
-                scores.append(1 / (1 + math.exp(-max(-700.0, min(700.0, logit)))))
-                plain.append(restored)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(plain, pa.string()), *(batch.column(c) for c in row)], ["doc_id", "score", "text", *row])
+            done = [judge.read(text) for text in batch.column("text").to_pylist()]
+            scores, plain = zip(*done)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(plain, pa.string())], ["doc_id", "score", "text"])
 
     kind = base.schema["doc_id"].dataType.simpleString()
-    carried = f", row {base.schema['row'].dataType.simpleString()}" if carry else ""
-    return base.mapInArrow(run, f"doc_id {kind}, score double, text string{carried}")
+    return base.mapInArrow(run, f"doc_id {kind}, score double, text string")
+
+
+def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """A function of a text column with the same score, for rows whose other columns need not pass through Python."""
+    sent = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def chance(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        judge = Judge(sent.value)
+        for parts in bounded(texts):
+            yield pa.array([judge.read(text)[0] for part in parts for text in part.to_pylist()], pa.float64())
+
+    return chance

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 import time
 from collections import Counter
 
@@ -187,6 +188,8 @@ def test_items_without_a_name_and_long_items(spark, documents, monkeypatch):
     assert all(n >= 10 and items == ("7",) for i, n, items in want if i < 391)
     monkeypatch.setattr(decontaminate, "PIECE_WORDS", 25)
     assert {(r.doc_id, r.n_hit, tuple(r.item_ids)) for r in decontaminate.contamination(docs, items, block_bytes=500).collect()} == want
+    clean = decontaminate.uncontaminated(docs, items, block_bytes=500)
+    assert clean.columns == docs.columns and [r.doc_id for r in clean.collect()] == [900]
 
 
 @pytest.mark.parametrize("window", [1, 3, 30])
@@ -332,6 +335,8 @@ def test_toxicity(spark, sf, documents):
     rows = [(1, None), (2, ""), (3, "you 1d10t"), (4, "such a c l o w n thing"), (5, "the of and"), (6, "TRAAASH!!"), (7, "a p@th3tic l0ser")]
     got = {r.doc_id: r.score >= toxicity.THRESHOLD for r in toxicity.score(documents(rows), model).collect()}
     assert got == {1: False, 2: False, 3: True, 4: True, 5: False, 6: True, 7: True}
+    scores = toxicity.score(docs, model).select("doc_id", "score").collect()
+    assert sorted(scores) == sorted(docs.select("doc_id", toxicity.scorer(spark, model)(F.col("text")).alias("score")).collect())
 
 
 def test_disguises_beyond_a_to_z(spark, documents):
@@ -407,6 +412,83 @@ def test_toxic_passage_in_a_long_text(spark, documents):
     assert got == {1: True, 2: True, 3: False, 4: False, 5: False}
 
 
+def plain_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+
+def plain_line_dedup(rows):
+    """{id: text left} by loops."""
+    def key(line):
+        return line.strip(" \t\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
+
+    holders = {}
+    for i, text in rows:
+        for line in (text or "").split("\n"):
+            holders.setdefault(key(line), set()).add(i)
+    return {i: "\n".join(x for x in (t or "").split("\n") if len(key(x)) < 40 or len(holders[key(x)]) < 5 or i == max(holders[key(x)])) for i, t in rows}
+
+
+def plain_classes(rows):
+    """Ids that stay: the least of each group linked by a similarity of 0.8 or more."""
+    sets = {}
+    for i, text in rows:
+        w = plain_words(text)
+        n = min(5, len(w))
+        sets[i] = {tuple(w[a : a + n]) for a in range(len(w) - n + 1)} if w else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {i for i in sets if find(i) == i}
+
+
+def plain_clean(rows, items):
+    windows = set()
+    for text in items:
+        w = plain_words(text)
+        n = min(10, len(w))
+        windows |= {tuple(w[a : a + n]) for a in range(len(w) - n + 1)} if w else set()
+    sizes = {len(w) for w in windows}
+
+    def hit(text):
+        w = plain_words(text)
+        return any(tuple(w[a : a + n]) in windows for n in sizes for a in range(len(w) - n + 1))
+
+    return {i for i, text in rows if not hit(text)}
+
+
+def test_stages_by_brute_force(spark, sf):
+    """Every stage on what the one before kept, against loops; the scores of the first by the operator's own rows."""
+    start = spark.read.parquet(f"{sf}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+
+    def rows(df):
+        return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+
+    model = toxicity.fit(start, spark.read.parquet(f"{sf}/labels.parquet"))
+    mild = {r.doc_id for r in toxicity.score(start, model).where(f"score < {toxicity.THRESHOLD}").collect()}
+    docs = stages["toxicity"](spark, start, sf).cache()
+    assert sorted(rows(docs)) == sorted((i, t) for i, t in rows(start) if i in mild) and docs.columns == start.columns
+    before, docs = rows(docs), stages["line_dedup"](spark, docs, sf).cache()
+    assert dict(rows(docs)) == plain_line_dedup(before) and len(rows(docs)) == len(before)
+    before, docs = rows(docs), stages["ngram_jaccard_join"](spark, docs, sf).cache()
+    kept = plain_classes(before)
+    assert sorted(rows(docs)) == sorted((i, t) for i, t in before if i in kept) and len(kept) < len(before)
+    before, docs = rows(docs), stages["benchmark_decontamination"](spark, docs, sf).cache()
+    clean = plain_clean(before, [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()])
+    assert sorted(rows(docs)) == sorted((i, t) for i, t in before if i in clean) and len(clean) < len(before)
+    before, docs = rows(docs), stages["sentencepiece"](spark, docs, sf)
+    assert sorted(rows(docs)) == sorted(before)
+
+
 def test_pipeline(spark, sf, documents):
     start = spark.read.parquet(f"{sf}/documents.parquet")
     docs, counts = start, []
