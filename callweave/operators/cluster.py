@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callweave.functions import vectors as vx
+from callweave.operators.filters import hash_number, shuffle_key
 from callweave.operators.matrix import group_sums, nearest, stack
 from callweave.operators.reduce import Projection
-from callweave.session import MODEL_BYTES
+from callweave.session import MODEL_BYTES, scratch_path
 
 Centres = tuple[np.ndarray, np.ndarray]
 # The projection under which the models that hold out a fold (or none) are fitted.
@@ -276,6 +277,44 @@ def fit_many(
     return centres, inertia
 
 
+# Steps of a pass over the rows, and passes, of the fit by small steps.
+BATCHES, EPOCHS = 20, 2
+
+
+def fit_minibatch(
+    points: DataFrame, specs: list[Spec], vector: str = "embedding", fold: str | None = None, batches: int = BATCHES, epochs: int = EPOCHS,
+    key: str = "doc_id", seed: int = 0, init: list[np.ndarray] | None = None, lens: Lens | None = None,
+) -> tuple[list[np.ndarray], list[float]]:
+    """k-means of several models by small steps (Sculley, 2010): many updates of the centres in one pass over the data.
+
+    A hash of the id cuts the rows into ``batches``, each stored in a folder of its own. A step reads one of them, sums its rows by nearest centre and
+    moves every centre towards their mean, by the share that they have of all rows the centre has met so far: its learning rate falls as
+    it meets more. The schedule is fixed, so the result is repeatable. Returns centres and inertia like :func:`fit_many`; all models share the steps.
+    """
+    spark = points.sparkSession
+    kept = points.select(key, F.col(vector).alias(vector), *([fold] if fold else []))
+    path = scratch_path(spark, "batches")
+    cut = kept.withColumn("_batch", F.pmod(hash_number(shuffle_key(key, seed), 12), F.lit(batches)).cast("int"))
+    cut.hint("rebalance", F.col("_batch")).write.partitionBy("_batch").parquet(path)
+    stored = spark.read.schema(cut.schema).parquet(path)
+    centres = [np.array(c, float) for c in (init or initial_centres(stored, specs, vector, fold, seed, lens))]
+    met = [np.zeros(len(c)) for c in centres]
+    groups = _passes(centres)
+    for _ in range(epochs):
+        for b in range(batches):
+            batch = stored.where(F.col("_batch") == b)
+            for g in groups:
+                sums = (
+                    _partial_sums(batch, [centres[m] for m in g], [specs[m] for m in g], vector, fold, lens).groupBy("model", "cluster")
+                    .agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total")).collect()
+                )
+                for r in sums:
+                    m = g[r.model]
+                    met[m][r.cluster] += r.n
+                    centres[m][r.cluster] += (np.array(r.total) - r.n * centres[m][r.cluster]) / met[m][r.cluster]
+    return fit_many(stored, specs, vector, fold, max_iter=0, init=centres, lens=lens)
+
+
 def label_many(
     points: DataFrame, centres: list[np.ndarray], vector: str = "embedding", name: str = "labels", specs: list[Spec] | None = None, lens: Lens | None = None
 ) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callweave.functions import text as tx
-from callweave.operators.cluster import Spec, fit_many, label_many
+from callweave.operators.cluster import Spec, fit_many, fit_minibatch, label_many
 from callweave.operators.density import density_topics
 from callweave.operators.evaluate import coherence_cv, silhouette_exact, silhouette_many
 from callweave.operators.filters import kfold_split, require_alignment, sample_rows
@@ -113,19 +113,24 @@ def topic_tables(labels: DataFrame, words: DataFrame, name: str) -> DataFrame:
 
 
 def sweep(
-    points: DataFrame, ks: list[int], sample: int | None = 10_000, max_iter: int = 20, seed: int = 42, n_components: int | None = 5
+    points: DataFrame, ks: list[int], sample: int | None = 10_000, max_iter: int = 20, seed: int = 42, n_components: int | None = 5,
+    batches: int | None = None,
 ) -> tuple[DataFrame, DataFrame, list[np.ndarray], Projection | None]:
     """Fit one model per k and score it.
 
     Returns ``k, inertia, silhouette``, the labels ``doc_id, k, topic``, the centres and the projection. The models are fitted on ``n_components``
     leading components of all rows (on the vectors themselves if none are asked for), the silhouette is that of the vectors. All models are fitted in
-    the same passes and share one pass over the distances for their silhouettes.
+    the same passes and share one pass over the distances for their silhouettes. With ``batches`` they are fitted by small steps.
     """
     spark = points.sparkSession
     slim = points.select("doc_id", "embedding")
     fitted = fit_projection(moments(slim), n_components) if n_components else None
     slim = materialise(project(slim, fitted) if fitted else slim.withColumn("reduced", F.col("embedding")), "sweep")
-    centres, inertia = fit_many(slim.select("reduced"), [Spec(k) for k in ks], "reduced", max_iter=max_iter)
+    specs = [Spec(k) for k in ks]
+    if batches:
+        centres, inertia = fit_minibatch(slim, specs, "reduced", batches=batches)
+    else:
+        centres, inertia = fit_many(slim.select("reduced"), specs, "reduced", max_iter=max_iter)
     labelled = materialise(label_many(slim, centres, "reduced").drop("reduced"), "labels")
     scored = labelled if sample is None else sample_rows(labelled, "doc_id", sample, seed)
     scores = silhouette_many(scored).select("pos", "silhouette")
@@ -147,16 +152,16 @@ def _store(out: str, runs: list[int], centres: list[np.ndarray], lens: list[Proj
 
 def k_sweep(
     docs: DataFrame, points: DataFrame, ks: list[int], tokens: str = "tokens", top: int = 10, sample: int | None = None, n_components: int | None = 5,
-    vocabulary: Vocabulary = Vocabulary(), unmatched: str = "error", out: str | None = None,
+    vocabulary: Vocabulary = Vocabulary(), unmatched: str = "error", out: str | None = None, batches: int | None = None,
 ) -> DataFrame:
     """Silhouette and coherence per number of topics: ``k, silhouette, coherence``.
 
     ``docs`` carries the terms of each document in ``tokens``. Term weights and coherence of all
     models come from shared passes; a word pair that many models use is counted once. With ``out`` the topic table of every k is
-    stored there under its run, and every k as a model.
+    stored there under its run, and every k as a model. With ``batches`` the models are fitted by small steps.
     """
     docs, points = matched(docs, points, unmatched)
-    scores, labels, centres, fitted = sweep(points, ks, sample, n_components=n_components)
+    scores, labels, centres, fitted = sweep(points, ks, sample, n_components=n_components, batches=batches)
     texts = materialise(docs.select("doc_id", tokens), "docs")
     words = _topic_words(_model_terms(texts, labels, tokens, "k", vocabulary), ["k", "topic"], top)
     coherence = coherence_cv(texts, _single(words), ["k", "topic"], tokens=tokens)
@@ -168,10 +173,10 @@ def k_sweep(
 
 
 def optimal_k(
-    points: DataFrame, ks: list[int] = tuple(range(5, 101, 5)), sample: int = 10_000, n_components: int | None = None
+    points: DataFrame, ks: list[int] = tuple(range(5, 101, 5)), sample: int = 10_000, n_components: int | None = None, batches: int | None = None
 ) -> DataFrame:
     """``k, inertia, silhouette, best, elbow`` with the chosen k marked in ``best``; fitted on the vectors themselves unless ``n_components`` are asked for."""
-    scores = materialise(sweep(points, list(ks), sample, n_components=n_components)[0], "scores")
+    scores = materialise(sweep(points, list(ks), sample, n_components=n_components, batches=batches)[0], "scores")
     best, bend = argmax_k(scores).select("k").scalar(), elbow_k(scores).scalar()
     return scores.withColumn("best", F.col("k") == best).withColumn("elbow", F.col("k") == bend)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from callweave.functions.fixed import DOCUMENT_PALETTE, OUTLIER_COLOUR
 from callweave.operators.cells import BLOCK_ROWS, blocked_self
-from callweave.operators.cluster import Centres, assign_topics, mean_vectors
+from callweave.operators.cluster import Centres, mean_vectors
 from callweave.operators.matrix import stack
 from callweave.operators.reduce import reduce_for_plot
 from callweave.session import checked_broadcast, materialise
@@ -153,7 +153,3 @@ def topic_barchart_data(sizes: DataFrame, words: DataFrame, n: int = 20, terms:
     """Heaviest terms of the largest topics, outlier topic left out."""
     top = head_topics(sizes.where("topic <> -1"), n)
     return words.where(F.col("rank") <= terms).join(F.broadcast(top), "topic").select("topic", "count", "rank", "word", "score")
-
-
-def label_documents(points: DataFrame, centres: DataFrame | Centres) -> DataFrame:
-    return assign_topics(points, centres)

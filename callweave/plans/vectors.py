@@ -208,6 +208,40 @@ def kmeans_fixed_init(spark, sf):
     return cl.assign_topics(df, model).select("doc_id", "topic", tidy(F.col("distance")).alias("distance"))
 
 
+MINI_BATCHES, MINI_EPOCHS = 4, 2
+
+
+def minibatch_sql() -> str:
+    """The fit by small steps, unrolled; the start is each label's vector with the smallest id."""
+    parts = [
+        f"b AS MATERIALIZED (SELECT id, v, ('0x' || substr(md5('0:' || id), 1, 12))::BIGINT % {MINI_BATCHES} AS batch FROM e)",
+        "c0 AS (SELECT label AS topic, arg_min(v, id) AS centre, CAST(0 AS DOUBLE) AS n FROM e GROUP BY label)",
+    ]
+    near = """SELECT id, v, topic, d FROM (SELECT id, v, topic, list_distance(v, centre) AS d,
+  row_number() OVER (PARTITION BY id ORDER BY round(list_distance(v, centre), 9), topic) AS r FROM {rows}, {c}) WHERE r = 1"""
+    steps = MINI_BATCHES * MINI_EPOCHS
+    for s in range(steps):
+        rows = f"(SELECT * FROM b WHERE batch = {s % MINI_BATCHES})"
+        parts.append(
+            f"""s{s} AS MATERIALIZED (SELECT topic, list(x ORDER BY pos) AS total, max(m) AS m FROM (SELECT topic, pos, sum(x) AS x, count(*) AS m
+  FROM (SELECT topic, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM ({near.format(rows=rows, c=f'c{s}')})) GROUP BY topic, pos) GROUP BY topic)"""
+        )
+        parts.append(
+            f"""c{s + 1} AS MATERIALIZED (SELECT c.topic, CASE WHEN s.m IS NULL THEN c.centre ELSE
+  list_transform(c.centre, lambda x, i: x + (s.total[i] - s.m * x) / (c.n + s.m)) END AS centre, c.n + coalesce(s.m, 0) AS n FROM c{s} c LEFT JOIN s{s} s USING (topic))"""
+        )
+    return f"{', '.join(parts)}, last AS ({near.format(rows='b', c=f'c{steps}')})"
+
+
+@query("kmeans_minibatch", f"WITH {E}, {minibatch_sql()} SELECT id AS doc_id, topic, {r6('d')} AS distance FROM last")
+def kmeans_minibatch(spark, sf):
+    """Centres by small steps from a given start, and the rows' nearest ones."""
+    df = vectors(spark, sf)
+    ids, matrix = cl.collect_centres(df.groupBy("topic").agg(F.min_by("embedding", "doc_id").alias("centre")))
+    centres, _ = cl.fit_minibatch(df, [cl.Spec(len(ids))], batches=MINI_BATCHES, epochs=MINI_EPOCHS, init=[matrix])
+    return cl.assign_topics(df, (ids, centres[0])).select("doc_id", "topic", tidy(F.col("distance")).alias("distance"))
+
+
 @query(
     "density_topics",
     f"""WITH RECURSIVE {E},

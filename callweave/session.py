@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, NumericType, StringType, StructType
 
-# A side is broadcast only when a count has shown it to hold at most this many (narrow) rows.
-BROADCAST_ROWS = 200_000
+# A side is broadcast only when it has been shown to hold at most so many rows, and so many bytes as rows in memory.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
 # Word lists up to this length become an IN-set literal; longer ones are joined.
 LITERAL_WORDS = 20_000
 # A model (centres, projection) travels to the tasks only below this many bytes.
@@ -67,18 +69,34 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no more than that many plus one."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def held_bytes(df: DataFrame) -> Column:
+    """About what a row takes in memory: its strings and arrays by their length, and eight bytes a field."""
+    sizes = [F.lit(32 + 16 * len(df.columns))]
+    for field in df.schema.fields:
+        kind, c = field.dataType, F.col(f"`{field.name}`")
+        if isinstance(kind, (StringType, BinaryType)):
+            sizes.append(F.coalesce(F.octet_length(c), F.lit(0)))
+        elif isinstance(kind, ArrayType) and isinstance(kind.elementType, NumericType):
+            sizes.append(8 * F.coalesce(F.array_size(c), F.lit(0)))
+        elif isinstance(kind, (ArrayType, MapType, StructType)):
+            sizes.append(4 * F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)))
+    return reduce(lambda a, b: a + b, sizes).cast("long")
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a side whose size has been counted; leave it to a shuffle join beyond the bound.
+def is_small(df: DataFrame) -> bool:
+    """True when ``df`` has at most ``BROADCAST_ROWS`` rows, which take at most ``BROADCAST_BYTES``; reads no more rows than that plus one."""
+    head = df.limit(BROADCAST_ROWS + 1)
+    rows, held = head.select(held_bytes(df).alias("b")).agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and held <= BROADCAST_BYTES
 
-    The side is written first, so counting it and joining it do not compute it twice.
+
+def checked_broadcast(df: DataFrame) -> DataFrame:
+    """Broadcast a side whose size has been measured; leave it to a shuffle join beyond the bound.
+
+    The side is written first, so measuring it and joining it do not compute it twice.
     """
     side = materialise(df, "side")
-    return F.broadcast(side) if is_small(side, max_rows) else side
+    return F.broadcast(side) if is_small(side) else side
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

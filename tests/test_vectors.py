@@ -235,6 +235,20 @@ def test_more_models_than_fit_together_take_more_passes(spark, monkeypatch):
     assert cl.label_many(df, got[0]).orderBy("doc_id").collect() == labels
 
 
+def test_small_steps_come_close_to_whole_passes(spark):
+    """Repeatable, and an inertia of at most 1.1 times that of whole passes from the same start, for groups that touch each other."""
+    x = planted(seed=7, groups=6, size=80, gap=3.0)
+    df, specs = frame(spark, x), [cl.Spec(6), cl.Spec(3)]
+    start = cl.initial_centres(df, specs, "embedding", None)
+    centres, cost = cl.fit_minibatch(df, specs, batches=8, init=start)
+    again, same = cl.fit_minibatch(df.repartition(3), specs, batches=8, init=start)
+    assert all(np.allclose(a, b) for a, b in zip(centres, again)) and np.allclose(cost, same)
+    whole = cl.fit_many(df, specs, init=start)[1]
+    assert all(a <= 1.1 * b for a, b in zip(cost, whole))
+    gaps = ((x[:, None] - centres[0][None]) ** 2).sum(2).min(1)
+    assert np.isclose(gaps.sum(), cost[0])
+
+
 def test_fuzzy_weights(spark):
     x = crowded(n=60)
     knn = nb.knn_graph(frame(spark, x), 5, "euclidean")
