@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import itertools
 import re
-from pathlib import Path
+from importlib import resources
+from importlib.resources.abc import Traversable
 
 import numpy as np
 import pyarrow as pa
@@ -57,19 +58,22 @@ MISSING = 5
 # Paragraphs of whole licences with fewer words are no templates; a gap is at most one word in so many of the template.
 MIN_PARAGRAPH, GAP_EVERY = 12, 5
 MIN_MATCH, MAX_GAP, MIN_COVER = 3, 6, 0.8
-TEXTS = Path(__file__).parent / "license_texts"
+TEXTS = resources.files("callweave.llm") / "license_texts"
 _PARAGRAPH = re.compile(r"\n\s*\n|\n(?=\s*(?:\d+\.|\(?[a-z0-9]{1,3}\)|\*)\s)")
 _ENUMERATOR = re.compile(r"^\s*(?:\d+(?:\.\d+)*\.|\(?[a-z0-9]{1,3}\)|\*)\s+")
 
 
-def paragraphs(texts: Path = TEXTS) -> list[tuple[str, str]]:
-    """(label, paragraph) of the whole licences; a file is named by its label, and by a version where there are several."""
+def paragraphs(texts: Traversable = TEXTS) -> list[tuple[str, str]]:
+    """(label, paragraph) of the whole licences, also out of a zipped package; a file is named by its label, and by a version where there are several."""
     out = []
-    for path in sorted(texts.glob("*.txt")):
+    found = sorted((p for p in texts.iterdir() if p.name.endswith(".txt")), key=lambda p: p.name)
+    if not found:
+        raise FileNotFoundError(f"no licence texts in {texts}")
+    for path in found:
         for part in _PARAGRAPH.split(path.read_text("utf-8")):
             part = _ENUMERATOR.sub("", part)
             if len(words(part.encode())) >= MIN_PARAGRAPH and not re.match(r"\s*copyright", part, re.IGNORECASE):
-                out.append((re.sub(r"-[\d.]+$", "", path.stem), part))
+                out.append((re.sub(r"-[\d.]+$", "", path.name.removesuffix(".txt")), part))
     return out
 
 

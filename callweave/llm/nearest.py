@@ -25,6 +25,8 @@ class Hashes:
     """``tables`` times ``hashes`` projections on Gaussian directions, cut into cells of ``width`` times the scale."""
 
     def __init__(self, dim: int, scale: float, tables: int, hashes: int, width: float, seed: int = 11):
+        if not 1 <= hashes <= 3:
+            raise ValueError("a cell number has room for 1 to 3 coordinates")
         rng = np.random.default_rng(seed)
         self.tables, self.hashes = tables, hashes
         self.directions = rng.standard_normal((dim, tables * hashes))
@@ -105,10 +107,10 @@ def _scan(sample_ids: np.ndarray, sample: np.ndarray, k: int):
         for batch in batches:
             if batch.num_rows:
                 ids, vectors = batch.column("vec_id").to_numpy(), _rows(batch, "v")
+                by_id = np.argsort(ids, kind="stable")
                 for q in range(len(sample)):
                     near, d = best(sample[q], ids, vectors, int(sample_ids[q]), k)
-                    at = {int(i): n for n, i in enumerate(ids)}
-                    rows = vectors[[at[int(i)] for i in near]] if len(near) else vectors[:0]
+                    rows = vectors[by_id[np.searchsorted(ids, near, sorter=by_id)]]
                     old = found[q]
                     i2, d2, v2 = np.r_[old[0], near], np.r_[old[1], d], np.concatenate([old[2], rows])
                     order = np.lexsort((i2, d2))[:k]

@@ -313,7 +313,8 @@ def _load(path: str) -> bytes:
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_best: int = N_BEST, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids, score, others) per row of ``docs``.
 
-    ``ids`` are the pieces of the likeliest segmentation of the whole text, ``score`` its log probability, ``others`` the next
+    ``ids`` are the pieces of the likeliest segmentation of the whole text (a forward pass that keeps the two best scores of a place finds them; the
+    backward search serves the segments in which the next best texts differ), ``score`` its log probability, ``others`` the next
     ``n_best`` - 1 ones, each as its loss and its changes to ``ids``. The vocabulary file is read by the driver and travels with the tasks
     (half a megabyte). Null and empty text has no pieces, score 0 and no others. Nothing is shuffled.
     """
