@@ -172,6 +172,19 @@ def k_sweep(
     )
 
 
+def fit_best(
+    docs: DataFrame, points: DataFrame, ks: list[int] = tuple(range(5, 101, 5)), sample: int = 10_000, n_components: int | None = 5,
+    tokens: str = "tokens", top: int = 10, vocabulary: Vocabulary = Vocabulary(), unmatched: str = "error", out: str | None = None,
+) -> tuple[DataFrame, TopicModel]:
+    """The scores of :func:`optimal_k`, and the model of the best k refitted on all rows (stored under ``out`` with its topic table, as run k)."""
+    docs, points = matched(docs, points, unmatched)
+    scores = materialise(optimal_k(points, ks, sample, n_components), "best")
+    best = scores.where("best").first()
+    if best is None:
+        raise ValueError("no number of topics gives two clusters or more")
+    return scores, refit(docs, points, best.k, tokens, top, n_components, vocabulary, out, best.k)
+
+
 def optimal_k(
     points: DataFrame, ks: list[int] = tuple(range(5, 101, 5)), sample: int = 10_000, n_components: int | None = None, batches: int | None = None
 ) -> DataFrame:
@@ -235,8 +248,22 @@ def refit(
     return model
 
 
-def evaluate_density(points: DataFrame, params: dict) -> DataFrame:
-    """Score of one parameter set: reduce, find dense topics, silhouette on the original vectors."""
+# What a parameter set may name; an option of another reduction is refused, not passed over.
+GRID_OPTIONS = {"n_components", "min_samples", "min_cluster_size", "metric", "embedding_model"}
+
+
+def evaluate_density(points: DataFrame | dict[str, DataFrame], params: dict) -> DataFrame:
+    """Score of one parameter set: reduce, find dense topics, silhouette on the original vectors.
+
+    ``metric`` is that of the density step, ``embedding_model`` names one of several vector tables.
+    """
+    unknown = set(params) - GRID_OPTIONS
+    if unknown:
+        raise ValueError(f"options without an effect here: {sorted(unknown)}")
+    if isinstance(points, dict):
+        points = points[params["embedding_model"]]
+    elif "embedding_model" in params:
+        raise ValueError("embedding_model needs vector tables by name")
     reduced = pca_reduce(points, params["n_components"]).select("doc_id", "reduced")
     topics = density_topics(
         reduced, params["min_samples"], params["min_cluster_size"], metric=params.get("metric", "euclidean"), vector="reduced"
@@ -244,10 +271,10 @@ def evaluate_density(points: DataFrame, params: dict) -> DataFrame:
     return silhouette_exact(points.join(topics, "doc_id"))
 
 
-def grid_search(points: DataFrame, grid: list[dict], threads: int = 4) -> DataFrame:
+def grid_search(points: DataFrame | dict[str, DataFrame], grid: list[dict], threads: int = 4) -> DataFrame:
     """``params, score, best, error`` for every parameter set.
 
-    Parameter sets run side by side as Spark jobs. One that fails keeps its row, without a score and with the error. The best
+    ``points`` are the vectors, or several tables of them by the name of their encoder. Parameter sets run side by side as Spark jobs. One that fails keeps its row, without a score and with the error. The best
     is the first one whose score exceeds -1 and all scores before it.
     """
     def attempt(params: dict):
@@ -266,4 +293,5 @@ def grid_search(points: DataFrame, grid: list[dict], threads: int = 4) -> DataFr
             best, best_score = params, score
         rows.append((params, score, f"{type(error).__name__}: {error}"[:500] if error else None))
     shown = [({k: str(v) for k, v in p.items()}, None if s is None else float(s), p is best, e) for p, s, e in rows]
-    return points.sparkSession.createDataFrame(shown, "params map<string,string>, score double, best boolean, error string")
+    spark = (next(iter(points.values())) if isinstance(points, dict) else points).sparkSession
+    return spark.createDataFrame(shown, "params map<string,string>, score double, best boolean, error string")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from callweave.functions import dates, vectors as vx
 from callweave.operators import cluster as cl
 from callweave.operators import density as de
+from callweave.operators import descent as ds
 from callweave.operators import encode as en
 from callweave.operators import filters as fl
 from callweave.operators import neighbours as nb
@@ -18,7 +19,7 @@ from callweave.plans.registry import query, table
 from callweave.plans.sqltext import TRANSCRIPTS, WORD, r6
 from callweave.plans.text import docs
 from callweave.session import fill_slots, materialise, scratch_path
-from callweave.sources import stores
+from callweave.sources import matrices, stores
 from callweave.streaming import online
 
 tidy = vx.tidy
@@ -91,6 +92,24 @@ def knn_graph(spark, sf):
     return nb.knn_graph(vectors(spark, sf), 10).withColumn("distance", tidy(F.col("distance")))
 
 
+@query("knn_descent")
+def knn_descent(spark, sf):
+    """The neighbour graph by comparing neighbours of neighbours."""
+    return ds.neighbour_descent(vectors(spark, sf), 10)
+
+
+@query(
+    "embedding_matrix",
+    f"WITH {E} SELECT row_number() OVER (ORDER BY id) - 1 AS row_id, {r6('sqrt(list_inner_product(v, v))')} AS length, {r6('v[1]')} AS head FROM e",
+)
+def embedding_matrix(spark, sf):
+    """Vectors written as .npy parts in the order of their ids, and read back with their row numbers."""
+    path = scratch_path(spark, "matrix")
+    matrices.save_matrix(vectors(spark, sf), path, part_rows=200)
+    stored = matrices.load_matrix(spark, path, split_bytes=64 << 10)
+    return stored.select("row_id", tidy(vx.norm(F.col("embedding"))).alias("length"), tidy(F.col("embedding")[0]).alias("head"))
+
+
 @query(
     "fuzzy_knn_graph",
     f"""WITH RECURSIVE {E}, {knn_sql(10)},

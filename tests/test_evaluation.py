@@ -280,6 +280,24 @@ def test_sweep_stores_every_k(spark, tmp_path):
     assert TopicModel.load(spark, f"{out}/model_3").centres.shape == (3, 3)
 
 
+def test_best_model_is_refitted_and_stored(spark, tmp_path):
+    x = planted(seed=11)
+    out = str(tmp_path)
+    scores, model = se.fit_best(labelled_docs(spark, x), frame(spark, x), [2, 3, 5], n_components=2, out=out)
+    assert [r.k for r in scores.where("best").collect()] == [3] and model.centres.shape == (3, 2)
+    again = TopicModel.load(spark, f"{out}/model_3").transform(frame(spark, x)).orderBy("doc_id").collect()
+    assert [r.topic for r in again] == [r.topic for r in model.transform(frame(spark, x)).orderBy("doc_id").collect()]
+    assert spark.read.parquet(f"{out}/topic_info").select("run").distinct().collect() == [(3,)]
+
+
+def test_grid_options_are_honoured_or_refused(spark):
+    base = {"n_components": 2, "min_samples": 3, "min_cluster_size": 5}
+    tables = {"a": frame(spark, planted(seed=13)), "b": frame(spark, planted(seed=14, groups=1, size=60))}
+    rows = se.grid_search(tables, [{**base, "embedding_model": m} for m in "ab"] + [{**base, "embedding_model": "a", "min_dist": 0.1}]).collect()
+    assert rows[0].score > 0.5 and rows[0].best and rows[1].score != rows[0].score
+    assert rows[2].score is None and "min_dist" in rows[2].error
+
+
 def test_grid_search_keeps_failures(spark):
     grid = se.param_grid({"n_components": [2], "min_samples": [3], "min_cluster_size": [10, 1000]}) + [{"n_components": 2}]
     rows = se.grid_search(frame(spark, planted(seed=13)), grid).collect()

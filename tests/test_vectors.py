@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from callweave.functions import vectors as vx
 from callweave.operators import cluster as cl
 from callweave.operators import density as de
+from callweave.operators import descent as ds
 from callweave.operators import encode as en
 from callweave.operators import neighbours as nb
 from callweave.operators import reduce as rd
@@ -249,6 +250,28 @@ def test_small_steps_come_close_to_whole_passes(spark):
     assert np.isclose(gaps.sum(), cost[0])
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_descent_finds_nearly_all_neighbours(spark, metric):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 24)) + 3 * rng.normal(size=(12, 24))[rng.integers(0, 12, 600)]
+    x[:200] = x[0]  # a third are copies
+    df = frame(spark, x)
+    exact = nb.knn_graph(df, 8, metric)
+    got = ds.neighbour_descent(df, 8, metric)
+    assert ds.recall(got, exact) >= 0.95
+    rows = got.collect()
+    assert {r.rank for r in rows} == set(range(1, 9)) and len(rows) == 600 * 8 and all(r.id != r.neighbour for r in rows)
+    near = {(i, j): d for i, edges in brute_knn(x, 599, metric).items() for d, j in edges}
+    assert all(abs(near[r.id, r.neighbour] - r.distance) < 1e-8 for r in rows)
+    assert ds.neighbour_descent(df.repartition(7), 8, metric).orderBy("id", "rank").collect() == got.orderBy("id", "rank").collect()
+
+
+def test_descent_on_few_points(spark):
+    assert ds.neighbour_descent(frame(spark, np.eye(3)), 5).count() == 6
+    assert ds.neighbour_descent(frame(spark, np.eye(3)).limit(0), 5).count() == 0
+    assert ds.neighbour_descent(frame(spark, np.eye(3)[:1]), 5).count() == 0
+
+
 def test_fuzzy_weights(spark):
     x = crowded(n=60)
     knn = nb.knn_graph(frame(spark, x), 5, "euclidean")
