@@ -33,6 +33,12 @@ HEADLINE = [
     "k_sweep",
     "online_bow_decay",
     "online_fit_yearly",
+    "fold_means",
+    "topic_info",
+    "grid_search",
+    "kmeans_minibatch",
+    "online_fit_stream",
+    "online_bow_decay_stream",
 ]
 
 

@@ -168,6 +168,20 @@ def pca_reduce(spark, sf):
     return rd.pca_reduce(vectors(spark, sf), 5).select("doc_id", "reduced")
 
 
+@query(
+    "pca_rotation",
+    f"""WITH {E}, m AS (SELECT list(m ORDER BY pos) AS mean FROM (SELECT pos, avg(x) AS m FROM (
+  SELECT unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e) GROUP BY pos))
+SELECT id AS doc_id, {r6('list_distance(v, mean)')} AS length FROM e, m""",
+)
+def pca_rotation(spark, sf):
+    """All components of a row are as long as the row is far from the mean: the axes are a rotation."""
+    df = vectors(spark, sf)
+    width = df.select(F.max(F.size("embedding"))).scalar()
+    size = spark.range(1).select(width.alias("n")).first().n
+    return rd.pca_reduce(df, size).select("doc_id", tidy(vx.norm(F.col("reduced"))).alias("length"))
+
+
 @query("reduce_for_plot")
 def reduce_for_plot(spark, sf):
     return rd.reduce_for_plot(vectors(spark, sf)).select("doc_id", "x", "y")

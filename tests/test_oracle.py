@@ -7,7 +7,7 @@ import pytest
 from callweave.plans import ORACLES, QUERIES
 from tests.compare import compare, connect
 
-# Walks ten folds or many model sizes; covered by test_selection on planted data.
+# Walks ten folds or many model sizes; covered by test_evaluation on planted data.
 SLOW = {"k_sweep", "cross_validate", "grid_search", "optimal_k"}
 
 
