@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave.llm.common import ascii_lower, keyed, row_key
+from callweave.session import checked_broadcast
 
 # Stripped at both ends of a line; \n cannot occur inside one.
 SPACE = " \t\x0b\x0c\r"
@@ -22,7 +23,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that ``min_docs`` documents hold loses all its lines except in the document with the largest id. The other lines come
     back in their order. Documents are counted by distinct id: repeated rows count once, and both keep or lose the same
     lines. Rows without an id count for no document and lose each line that is over the threshold. Null and empty text is
-    one empty line. ``carry`` adds the whole input row as a column ``row``. Only hashes are shuffled by line; each text moves once, by document.
+    one empty line. ``carry`` adds the whole input row as a column ``row``. Only hashes are shuffled by line, once for the counts; the shared
+    lines are broadcast after a check of their size, so a line that stands everywhere gathers nowhere, and beyond the bound joined by a shuffle. Each text moves once, by document.
     """
     base = keyed(docs, id_col, text_col, carry).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("r", row_key("doc_id", "text"))
     lines = (
@@ -38,7 +40,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where(F.col("n") >= min_docs).drop("n")
     )
     drops = (
-        lines.join(shared, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("owner")))
+        lines.join(checked_broadcast(shared), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("owner")))
         .groupBy(F.col("doc_id").alias("d"), F.col("r").alias("dr")).agg(F.collect_set("pos").alias("drop"))
     )
     whole = base.join(drops, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("r") == F.col("dr")), "left")
