@@ -191,9 +191,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         source = fill_slots(base.withColumn("anchors", F.lit(None).cast("array<long>")), "doc_id")
     else:
         source = base.join(known, same).select("doc_id", "text", "r", "anchors")
-    candidates = source.where("doc_id is not null").mapInArrow(
-        _windows(window, below), f"doc_id {kind}, r long, h1 long, h2 long, start int"
-    )
+    # Filtered after the texts were shuffled, so that this exchange serves the last join too.
+    candidates = source.mapInArrow(_windows(window, below), f"doc_id {kind}, r long, h1 long, h2 long, start int").where("doc_id is not null")
     later = candidates.join(_repeated(candidates, ["h1", "h2"]), ["h1", "h2"]).where("first < doc_id")
     starts = later.groupBy(F.col("doc_id").alias("d"), F.col("r").alias("dr")).agg(F.collect_set("start").alias("starts"))
     if copies is not None:
