@@ -17,6 +17,8 @@ from callweave.session import materialise
 
 # Points that are compared with each other for a start, rounds of such starts, and rounds of comparing neighbours.
 START_ROWS, STARTS, ROUNDS = 64, 2, 12
+# Centres whose points a task holds at a time.
+CENTRES = 128
 EDGES = "id long, neighbour long, distance double"
 
 
@@ -62,19 +64,30 @@ def neighbour_descent(
         first = first.unionByName(_blocks(points, k, metric, blocks, seed + s))
     graph = materialise(_best(first.withColumn("new", F.lit(True)).withColumn("fresh", F.lit(True)), k), "graph")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "new"], ascending=[True, False]).drop_duplicates("id")
-        ids, v, new, bound = pdf["id"].to_numpy(), stack(pdf["v"]), pdf["new"].to_numpy(), pdf["bound"].to_numpy()
-        d = _shown(distances(v, v), metric) if len(ids) else np.zeros((0, 0))
+    def meet(ids: np.ndarray, v: np.ndarray, new: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        d = _shown(distances(v, v), metric)
         np.fill_diagonal(d, np.inf)
         d[~(new[:, None] | new[None, :])] = np.inf
         d = np.round(d, 9)
         d[d > bound[:, None]] = np.inf
         cols, near = smallest(d, ids, min(k, max(len(ids) - 1, 0)))
-        rows = np.repeat(np.arange(len(ids)), cols.shape[1])
         keep = np.isfinite(near.ravel())
-        return pd.DataFrame({"id": ids[rows][keep], "neighbour": ids[cols.ravel()][keep], "distance": near.ravel()[keep]})
+        return np.repeat(ids, cols.shape[1])[keep], ids[cols.ravel()][keep], near.ravel()[keep]
 
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The points around each centre of a bucket; what many centres found about a pair is returned once."""
+        centre, ids, new = pdf["centre"].to_numpy(), pdf["id"].to_numpy(), pdf["new"].to_numpy()
+        order = np.lexsort((~new, ids, centre))
+        centre, ids, new = centre[order], ids[order], new[order]
+        once = np.r_[True, (centre[1:] != centre[:-1]) | (ids[1:] != ids[:-1])]
+        order, centre, ids, new = order[once], centre[once], ids[once], new[once]
+        v, bound = stack(pdf["v"])[order], pdf["bound"].to_numpy()[order]
+        cuts = [0, *(np.flatnonzero(centre[1:] != centre[:-1]) + 1).tolist(), len(ids)]
+        found = [meet(ids[a:b], v[a:b], new[a:b], bound[a:b]) for a, b in zip(cuts, cuts[1:])]
+        out = pd.DataFrame(dict(zip(("id", "neighbour", "distance"), map(np.concatenate, zip(*found)))))
+        return out.groupby(["id", "neighbour"], as_index=False)["distance"].min()
+
+    buckets = max(1, n // CENTRES)
     for step in range(rounds):
         salt = F.xxhash64("id", "neighbour", F.lit(seed + step))
         some = Window.partitionBy("id", "new").orderBy(salt)
@@ -86,7 +99,8 @@ def neighbour_descent(
         bound = graph.groupBy("id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("bound"))
         placed = points.join(bound, "id", "left").select(F.col("id").alias("neighbour"), "v", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
         around = taken.unionByName(behind).join(placed, "neighbour")
-        met = around.select(F.col("id").alias("centre"), F.col("neighbour").alias("id"), "v", "new", "bound").groupBy("centre").applyInPandas(compare, EDGES)
+        placed = around.select(F.col("id").alias("centre"), F.col("neighbour").alias("id"), "v", "new", "bound")
+        met = placed.groupBy(F.pmod(F.xxhash64("centre", F.lit(seed)), F.lit(buckets)).alias("bucket")).applyInPandas(compare, EDGES)
         found = met.withColumn("new", F.lit(True)).withColumn("fresh", F.lit(True))
         # New edges that were looked at are old from now on.
         looked = taken.where("new").select("id", "neighbour", F.lit(True).alias("_seen"))
