@@ -78,6 +78,36 @@ def test_far_partitions_are_not_visited(spark):
     assert nb._route(bounded, pivots, radius, count, 5).count() < len(x) * len(pivots) / 2
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_streamed_neighbours_are_those_of_the_partitions(spark, metric, monkeypatch):
+    df = frame(spark, crowded())
+    found = []
+    for share in (2.0, -1.0):
+        monkeypatch.setattr(nb, "STREAM_SHARE", share)
+        found.append([(r.id, r.rank, r.neighbour, round(r.distance, 8)) for r in nb.knn_graph(df, 6, metric, block_rows=16).orderBy("id", "rank").collect()])
+    assert found[0] == found[1] and len(found[0]) == 240 * 6
+
+
+def test_visits_are_counted_without_copies(spark):
+    x = np.random.default_rng(6).normal(size=(400, 3))
+    queries = frame(spark, x).selectExpr("doc_id AS id", "embedding AS v", "CAST(1000 AS DOUBLE) AS bound")
+    args = queries, x[:20], np.full(20, 100.0), np.full(20, 20.0), 100_000
+    counted = nb._route(*args, counted=True)
+    assert counted.columns == ["visits"] and counted.agg(F.sum("visits")).first()[0] == nb._route(*args).count() == 400 * 20
+
+
+def test_pairwise_copies_rows_for_large_blocks_only(spark, monkeypatch):
+    seen, owned = [], nb.owned_blocks
+
+    def watched(points, start, step, finish, schema, key, blocks, *args):
+        seen.append(sum(blocks.values()))
+        return owned(points, start, step, finish, schema, key, blocks, *args)
+
+    monkeypatch.setattr(nb, "owned_blocks", watched)
+    got = nb.pairwise_distance(frame(spark, crowded(n=300)), block_rows=10).agg(F.min("others"), F.max("others"), F.count("id")).first()
+    assert tuple(got) == (299, 299, 300) and seen == [4]
+
+
 def test_few_points(spark):
     got = nb.knn_graph(frame(spark, np.eye(3)), 10).collect()
     assert len(got) == 6 and all(abs(r.distance - 1.0) < 1e-9 for r in got)
@@ -272,6 +302,13 @@ def test_descent_on_few_points(spark):
     assert ds.neighbour_descent(frame(spark, np.eye(3)[:1]), 5).count() == 0
 
 
+def test_descent_holds_many_centres_a_task(spark, monkeypatch):
+    df = frame(spark, np.random.default_rng(5).normal(size=(200, 6)))
+    several = ds.neighbour_descent(df, 5).orderBy("id", "rank").collect()
+    monkeypatch.setattr(ds, "CENTRES", 1)
+    assert ds.neighbour_descent(df, 5).orderBy("id", "rank").collect() == several
+
+
 def test_fuzzy_weights(spark):
     x = crowded(n=60)
     knn = nb.knn_graph(frame(spark, x), 5, "euclidean")
