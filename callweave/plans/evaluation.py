@@ -113,37 +113,45 @@ pts AS MATERIALIZED (SELECT k, id, v, topic, d FROM (SELECT k, id, v, topic, lis
 inr AS (SELECT k, sum(d * d) AS inertia FROM pts GROUP BY k)"""
 
 
-def k_models(spark, sf):
-    """Inertia and silhouette of the models with 3 to 10 fixed centres."""
-    df = vectors(spark, sf)
+def k_centres(df):
+    """The models with 3 to 10 fixed centres."""
     _, matrix = cl.collect_centres(tp.topic_embeddings(df))
-    centres = [matrix[:k] for k in KS]
-    labelled = cl.label_many(df.select("doc_id", "embedding"), centres)
-    scores = ev.silhouette_many(labelled)
-    _, cost = cl.fit_many(df, [cl.Spec(k) for k in KS], max_iter=0, init=centres)
-    table_ = spark.createDataFrame([(i, k, float(c)) for i, (k, c) in enumerate(zip(KS, cost))], "pos int, k int, inertia double")
-    return table_.join(scores.select("pos", "silhouette"), "pos").select("k", "inertia", "silhouette")
+    return [matrix[:k] for k in KS]
+
+
+def k_inertia(spark, sf):
+    """Inertia of the models; the bend needs no silhouettes, which take all pairs of rows."""
+    df = vectors(spark, sf)
+    _, cost = cl.fit_many(df, [cl.Spec(k) for k in KS], max_iter=0, init=k_centres(df))
+    return spark.createDataFrame([(k, float(c)) for k, c in zip(KS, cost)], "k int, inertia double")
+
+
+def k_silhouettes(spark, sf):
+    """Silhouette of the models."""
+    df = vectors(spark, sf)
+    scores = ev.silhouette_many(cl.label_many(df.select("doc_id", "embedding"), k_centres(df)))
+    return scores.select((F.col("pos") + KS[0]).alias("k"), "silhouette")
 
 
 @query("second_difference", f"""WITH {MODELS}
 SELECT CAST(k AS INTEGER) AS k, {r6('inertia')} AS inertia, {r6('d2')} AS d2 FROM (SELECT k, inertia,
   lead(inertia) OVER (ORDER BY k) - 2 * inertia + lag(inertia) OVER (ORDER BY k) AS d2 FROM inr) WHERE d2 IS NOT NULL""")
 def second_difference(spark, sf):
-    df = se.second_difference(k_models(spark, sf))
+    df = se.second_difference(k_inertia(spark, sf))
     return df.select("k", tidy(F.col("inertia")).alias("inertia"), tidy(F.col("d2")).alias("d2"))
 
 
 @query("elbow_k", f"""WITH {MODELS}, dd AS (SELECT k, lead(inertia) OVER (ORDER BY k) - 2 * inertia + lag(inertia) OVER (ORDER BY k) AS d2 FROM inr)
 SELECT CAST(k AS INTEGER) AS elbow, CAST(k - 1 AS INTEGER) AS as_written FROM dd WHERE d2 IS NOT NULL ORDER BY d2 DESC, k LIMIT 1""")
 def elbow_k(spark, sf):
-    scores = materialise(k_models(spark, sf), "scores")
+    scores = k_inertia(spark, sf)
     return se.elbow_k(scores).withColumn("as_written", se.elbow_k(scores, literal=True).scalar())
 
 
 @query("argmax_k", f"""WITH {MODELS}, {silhouette_sql('pts', 's', 'k')}
 SELECT CAST(k AS INTEGER) AS k, {r6('silhouette')} AS silhouette FROM s WHERE silhouette > -1 ORDER BY s.silhouette DESC, k LIMIT 1""")
 def argmax_k(spark, sf):
-    return se.argmax_k(k_models(spark, sf)).select("k", tidy(F.col("silhouette")).alias("silhouette"))
+    return se.argmax_k(k_silhouettes(spark, sf)).select("k", tidy(F.col("silhouette")).alias("silhouette"))
 
 
 FOLDS = f"""{E}, f AS (SELECT id, v, label, CAST((row_number() OVER (ORDER BY md5('42:' || id)) - 1) % 10 AS INTEGER) AS fold FROM e),
