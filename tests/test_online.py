@@ -157,3 +157,10 @@ def test_decayed_weights(spark, tmp_path):
     stream = online.decayed_weights_stream(spark, str(tmp_path), "year", slim.schema, decay=0.1)
     for got in (batch, {(r.topic, r.term): r.weight for r in stream.collect()}):
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_periods_add_their_first_vectors_until_there_are_enough(spark):
+    rows = [(3, "a", [0.0, 0.0]), (7, "a", [10.0, 0.0]), (1, "b", [0.0, 10.0]), (2, "b", [10.0, 10.0]), (4, "b", [0.0, 10.2]), (5, "c", [10.0, 9.0])]
+    df = spark.createDataFrame(rows, "doc_id long, p string, embedding array<double>")
+    got = {r.doc_id: r.topic for r in online.online_fit(df, "p", 3, grow="least").collect()}
+    assert got == {3: 0, 7: 1, 1: 2, 4: 2, 2: 1, 5: 1} or got == {3: 0, 7: 1, 1: 2, 4: 2, 2: 2, 5: 1}
