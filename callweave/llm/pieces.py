@@ -310,13 +310,16 @@ def _load(path: str) -> bytes:
         return file.read()
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_best: int = N_BEST, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, ids, score, others) per row of ``docs``.
+def encode(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_best: int = N_BEST, vocabulary: str = VOCABULARY, read_back: bool = False
+) -> DataFrame:
+    """(doc_id, ids, score, others) per row of ``docs``, and with ``read_back`` the text that :func:`decode` reads from the ids.
 
     ``ids`` are the pieces of the likeliest segmentation of the whole text (a forward pass that keeps the two best scores of a place finds them; the
     backward search serves the segments in which the next best texts differ), ``score`` its log probability, ``others`` the next
     ``n_best`` - 1 ones, each as its loss and its changes to ``ids``. The vocabulary file is read by the driver and travels with the tasks
-    (half a megabyte). Null and empty text has no pieces, score 0 and no others. Nothing is shuffled.
+    (half a megabyte). Null and empty text has no pieces, score 0 and no others. Nothing is shuffled. Reading back here takes no
+    second Python worker beside that of a task, with a vocabulary of its own.
     """
     base = fill_slots(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "doc_id")
     sent = docs.sparkSession.sparkContext.broadcast(_load(vocabulary))
@@ -330,13 +333,15 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_be
             sizes = np.cumsum([0] + [len(d[0]) for d in done]).astype(np.int32)
             flat = np.concatenate([d[0] for d in done])
             others = [[{"loss": x, "changes": [dict(zip(("at", "drop", "ids"), c)) for c in changes]} for x, changes in d[2]] for d in done]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat)), pa.array([d[1] for d in done], pa.float64()), pa.array(others, other)],
-                ["doc_id", "ids", "score", "others"],
-            )
+            columns = [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat)), pa.array([d[1] for d in done], pa.float64()), pa.array(others, other)]
+            if read_back:
+                columns.append(pa.array([segments.vocabulary.decode(d[0].tolist()) for d in done], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
+    names = ["doc_id", "ids", "score", "others", *(["text"] if read_back else [])]
     kind = base.schema["doc_id"].dataType.simpleString()
-    return base.mapInArrow(run, f"doc_id {kind}, ids array<int>, score double, others array<struct<loss:double,changes:array<{CHANGE}>>>")
+    schema = f"doc_id {kind}, ids array<int>, score double, others array<struct<loss:double,changes:array<{CHANGE}>>>"
+    return base.mapInArrow(run, f"{schema}, text string" if read_back else schema)
 
 
 _CACHE: dict = {}

@@ -92,6 +92,15 @@ def test_pieces_round_trip(spark, documents):
     assert [r.text for r in got] == [t or "" for t in texts]
 
 
+def test_pipeline_reads_pieces_back_in_one_worker(spark, documents, sf):
+    texts = [None, "", " a  b \n\tc", "日本語 \U0001f600 x" * 5, "word " * 200]
+    docs = documents(list(enumerate(texts)))
+    last = corpus_pipeline.encode(spark, docs, sf)
+    assert last._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    plain = pieces.decode(pieces.encode(docs)).select("doc_id", "ids", F.size("ids").alias("n_pieces"), "score", "text")
+    assert last.orderBy("doc_id").collect() == plain.orderBy("doc_id").collect()
+
+
 def longest_match(templates, sequence, end):
     """Brute force: the longest run that ends at ``end`` and occurs in a template."""
     for n in range(end + 1, 0, -1):
