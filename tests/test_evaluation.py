@@ -3,6 +3,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -298,6 +299,79 @@ def test_grid_options_are_honoured_or_refused(spark):
     assert rows[2].score is None and "min_dist" in rows[2].error
 
 
+def test_grid_search_shares_its_steps(spark, monkeypatch):
+    """The links for a number of neighbours, and the distances of all labellings, are computed once."""
+    df = frame(spark, planted(seed=13))
+    grid = se.param_grid({"n_components": [2], "min_samples": [3, 5], "min_cluster_size": [5, 10, 1000]})
+    alone = [se.evaluate_density(df, params).first()["silhouette"] for params in grid]
+    calls = []
+    for name in ("pca_reduce", "knn_graph", "density_members", "silhouette_many"):
+        def counted(*args, _name=name, _step=getattr(se, name), **kwargs):
+            calls.append(_name)
+            return _step(*args, **kwargs)
+
+        monkeypatch.setattr(se, name, counted)
+    rows = se.grid_search(df, grid).collect()
+    assert sorted(calls) == ["density_members", "density_members", "knn_graph", "knn_graph", "pca_reduce", "silhouette_many"]
+    assert np.allclose([r.score for r in rows], alone, atol=1e-9)
+
+
+def test_models_multiply_terms_after_the_shuffle(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 5, ["often", "rare", "often"][: 1 + i % 3]) for i in range(12)], "doc_id long, tokens array<string>")
+    labels = spark.createDataFrame([(i, k, i % k) for i in (0, 1, 2, 2, 3) for k in (1, 2, 3)], "doc_id long, k int, topic int")
+    for least in (0, 5):
+        found = se._model_terms(docs, labels, "tokens", "k", se.Vocabulary(min_tf=least))
+        plain = docs.select("doc_id", F.explode("tokens").alias("term")).join(labels, "doc_id").groupBy("k", "topic", "term").agg(F.count("term").alias("tf")).collect()
+        total = {(r.k, r.term): sum(s.tf for s in plain if (s.k, s.term) == (r.k, r.term)) for r in plain}
+        want = sorted((r.k, r.topic, r.term, r.tf) for r in plain if total[r.k, r.term] > least)
+        assert sorted((r.k, r.topic, r.term, r.tf) for r in found.select("k", "topic", "term", "tf").collect()) == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "_models" in plan and "Exchange" not in plan[: plan.index("Generate explode(_models")]
+
+
+def test_blocks_have_a_task_each(spark):
+    from callweave.operators.cells import owned_blocks
+
+    def finish(state):
+        return pa.RecordBatch.from_arrays([pa.array([state])], ["n"])
+
+    points = spark.range(2000).selectExpr("id", "0 AS part")
+    found = owned_blocks(points, lambda part, job, own: len(own), lambda state, others: None, finish, "n long", "id", {(0, 0): 23})
+    rows = found.select("n", F.spark_partition_id().alias("task")).collect()
+    assert len(rows) == len({r.task for r in rows}) == 23 and sum(r.n for r in rows) == 2000
+
+
+@pytest.mark.parametrize("fold", [None, "fold"])
+def test_windows_in_arrays_equal_joined_runs(spark, monkeypatch, fold):
+    rng = np.random.default_rng(8)
+    rows = [(int(i) % 25, int(i) % 3 if i < 25 else int(i - 25) % 3, [f"w{w}" for w in rng.integers(0, 12, int(rng.integers(1, 60)))]) for i in range(30)]
+    rows += [(90, 1, []), (91, 2, ["other"])]
+    docs = spark.createDataFrame(rows, "doc_id long, fold int, tokens array<string>")
+    words = spark.createDataFrame([(m, t, f"w{(t * 3 + j) % 14}") for m in range(3) for t in range(3) for j in range(4)], "model int, topic int, word string")
+    pairs = ev.word_pairs(words, ["model", "topic"])
+
+    def counts():
+        single, both, windows = ev.cooccurrence_by_fold(docs, pairs, words, 7, fold=fold)
+        return (
+            {(r.fold, r.word): r.n for r in single.collect()}, {(r.fold, r.a, r.b): r.n for r in both.where("n > 0").collect()},
+            {r.fold: r.windows for r in windows.collect()},
+        )
+
+    with monkeypatch.context() as m:
+        m.setattr(ev, "HELD_PAIRS", -1)
+        joined = counts()
+    with monkeypatch.context() as m:
+        m.setattr(ev, "_islands", None)
+        assert counts() == joined
+
+
+def test_bend_needs_no_silhouettes(spark, sf, monkeypatch):
+    from callweave.plans import QUERIES
+
+    monkeypatch.setattr(ev, "silhouette_many", None)
+    assert QUERIES["elbow_k"](spark, sf).count() == 1 and QUERIES["second_difference"](spark, sf).count() == 6
+
+
 def test_grid_search_keeps_failures(spark):
     grid = se.param_grid({"n_components": [2], "min_samples": [3], "min_cluster_size": [10, 1000]}) + [{"n_components": 2}]
     rows = se.grid_search(frame(spark, planted(seed=13)), grid).collect()
