@@ -83,10 +83,13 @@ def count_vectorize(
     """Long-format counts (document, term, tf) of the vocabulary terms; ``by`` counts them per other columns, such as the topic.
 
     Within the bound the vocabulary filters the terms before they are counted; beyond it the counts
-    come first, so that a frequent term meets the join once per document only.
+    come first, so that a frequent term meets the join once per document only. Pairs hold a space; they are built
+    only if a term of the vocabulary does.
     """
-    terms = document_terms(docs, stop, text, max_n, by)
     vocab = materialise(vocab.select("term"), "vocab")
+    if max_n > 1 and vocab.where(F.col("term").contains(" ")).isEmpty():
+        max_n = 1
+    terms = document_terms(docs, stop, text, max_n, by)
     tf = F.count(F.lit(1)).alias("tf")
     if is_small(vocab):
         return terms.join(F.broadcast(vocab), "term", "left_semi").groupBy(*by, "term").agg(tf)

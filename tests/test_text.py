@@ -140,3 +140,14 @@ def test_most_frequent_terms_beyond_the_limit(spark):
     docs = spark.createDataFrame([(1, "aa aa aa bb bb cc cc dd ee"), (2, "aa ff")], "doc_id long, text string")
     got = vc.vocab_max_features(docs, ["aa"], max_features=3).collect()
     assert {(r.term, r.tf) for r in got} == {("bb", 2), ("cc", 2), ("dd", 1)}
+
+
+def test_pairs_are_built_only_for_a_vocabulary_that_has_some(spark):
+    from callweave.operators import vocab as vc
+
+    docs = spark.createDataFrame([(1, "big cat big cat"), (2, "cat")], "doc_id long, text string")
+    one = vc.count_vectorize(docs, spark.createDataFrame([("cat",)], "term string"), [])
+    assert "concat_ws" not in one._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.doc_id, r.term, r.tf) for r in one.collect()} == {(1, "cat", 2), (2, "cat", 1)}
+    two = vc.count_vectorize(docs, spark.createDataFrame([("cat",), ("big cat",)], "term string"), [])
+    assert {(r.doc_id, r.term, r.tf) for r in two.collect()} == {(1, "cat", 2), (1, "big cat", 2), (2, "cat", 1)}
