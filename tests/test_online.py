@@ -164,3 +164,32 @@ def test_periods_add_their_first_vectors_until_there_are_enough(spark):
     df = spark.createDataFrame(rows, "doc_id long, p string, embedding array<double>")
     got = {r.doc_id: r.topic for r in online.online_fit(df, "p", 3, grow="least").collect()}
     assert got == {3: 0, 7: 1, 1: 2, 4: 2, 2: 1, 5: 1} or got == {3: 0, 7: 1, 1: 2, 4: 2, 2: 2, 5: 1}
+
+
+def test_a_step_stores_no_more_than_its_own_counts(spark, tmp_path):
+    """Step by step with other decays, a step without terms among them, the weights are those of a plain loop."""
+    root = str(tmp_path)
+    steps = [("cats dogs", 0.1), ("cats", 0.2), ("", 0.5), ("birds cats cats", 0.25)]
+    held = {}
+    for i, (text, decay) in enumerate(steps):
+        online.decay_batch(spark.createDataFrame([(0, text)], "topic int, text string"), i, root, decay)
+        held = {k: w * (1 - decay) for k, w in held.items()}
+        for word in text.split():
+            held[word] = held.get(word, 0) + 1
+        got = {r.term: r.weight for r in online.last_weights(spark, root).collect()}
+        assert got.keys() == held.keys() and all(abs(got[k] - held[k]) < 1e-12 for k in held)
+    assert spark.read.parquet(f"{root}/counts").where("batch = 3").count() == 2
+    with pytest.raises(FileNotFoundError):
+        online.decay_batch(spark.createDataFrame([(0, "x")], "topic int, text string"), 7, root)
+
+
+def test_a_stored_period_is_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    from callweave.sources import transcripts as tr
+
+    monkeypatch.setattr(tr, "ROW_GROUP_BYTES", 1 << 16)
+    df = spark.range(20_000).selectExpr("id as doc_id", "sha2(cast(id as string), 512) as text", "2020 as year").coalesce(1)
+    tr.ingest(df, str(tmp_path / "rows"), "year")
+    import pyarrow.parquet as pq
+
+    files = list((tmp_path / "rows" / "year=2020").glob("*.parquet"))
+    assert sum(pq.ParquetFile(f).num_row_groups for f in files) > 4 * len(files)
