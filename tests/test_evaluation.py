@@ -396,3 +396,15 @@ def test_topic_runs_are_replaced_one_by_one(spark, tmp_path):
     stores.save_topic_info(spark.createDataFrame([(0, 5, "a"), (0, 6, "b")], "topic int, n int, run string"), path)
     stores.save_topic_info(spark.createDataFrame([(1, 9, "b")], "topic int, n int, run string"), path)
     assert {(r.run, r.topic, r.n) for r in spark.read.parquet(path).collect()} == {("a", 0, 5), ("b", 1, 9)}
+
+
+def test_sums_to_many_clusters(spark, monkeypatch):
+    """Sums by product and by rows, for copies of rows as well."""
+    x = np.random.default_rng(5).normal(size=(70, 3))
+    x[60:] = x[:10]
+    labels = np.stack([np.arange(70) % 10, np.arange(70) % 5, np.arange(70) // 30], 1)
+    df = frame(spark, x).join(spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(labels)], "doc_id long, labels array<int>"), "doc_id")
+    for clusters in (0, 32):
+        monkeypatch.setattr(ev, "PRODUCT_CLUSTERS", clusters)
+        got = {r.pos: r.silhouette for r in ev.silhouette_many(df, block_rows=16).collect()}
+        assert all(abs(got[m] - brute_silhouette(x, labels[:, m])) < 1e-9 for m in range(3))
