@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,10 +17,11 @@ from callweave.operators.cluster import Spec, fit_many, fit_minibatch, label_man
 from callweave.operators.density import density_labels, density_members, density_topics
 from callweave.operators.evaluate import coherence_cv, silhouette_exact, silhouette_many
 from callweave.operators.filters import kfold_split, require_alignment, sample_rows
+from callweave.operators.matrix import cells_of
 from callweave.operators.model import TopicModel
 from callweave.operators.neighbours import knn_graph
 from callweave.operators.reduce import Projection, fit_projection, holdout_projections, moments, pca_reduce, project
-from callweave.operators.topics import class_tfidf, filter_empty_topics, topic_sizes, topk_terms
+from callweave.operators.topics import RANK_DIGITS, class_tfidf, filter_empty_topics, topic_sizes, topk_terms
 from callweave.operators.vocab import term_array
 from callweave.session import checked_broadcast, materialise, spread_by
 from callweave.sources.stores import save_topic_info
@@ -66,7 +69,9 @@ def matched(docs: DataFrame, points: DataFrame, unmatched: str = "error", key: s
         return docs, points
     if unmatched != "drop":
         raise ValueError("unmatched is error or drop")
-    return docs.join(points.select(key), key, "left_semi"), points.join(docs.select(key), key, "left_semi")
+    left, right = checked_broadcast(docs.select(key)), checked_broadcast(points.select(key))
+    # The documents that have a vector may lie in a few files: they are spread again.
+    return spread_by(docs.join(right, key, "left_semi"), key), points.join(left, key, "left_semi")
 
 
 @dataclass(frozen=True)
@@ -82,24 +87,35 @@ class Vocabulary:
     seeds: tuple[str, ...] = ()
 
 
-def _model_terms(docs: DataFrame, labels: DataFrame, tokens: str, name: str = "k", vocabulary: Vocabulary = Vocabulary()) -> DataFrame:
-    """Terms of every topic of each model, counted per document before the models multiply them.
+# Cells of an array of terms and topics that a task counts at once, and topics that a row of counts names at most.
+TERM_CELLS, ROW_TOPICS = 1 << 21, 256
 
-    The vocabulary of a model comes from the same counts: they hold just the documents that it is fitted on.
+
+def _counted_terms(docs: DataFrame, packed: DataFrame, tokens: str, name: str, vocabulary: Vocabulary) -> DataFrame:
+    """Terms of every document, counted, with its topics in all models: ``packed`` has ``doc_id, _models``.
+
+    A term that is rare in all texts is rare in every model, and most terms are: they go before the models multiply the counts.
     """
     terms = term_array(F.col(tokens), list(vocabulary.stop), vocabulary.max_n)
     rows = docs.select("doc_id", F.explode(tx.each(terms)).alias("term"))
-    # One row a document with its topics in all models; a model that names a document twice counts it twice.
-    packed = labels.groupBy("doc_id").agg(F.collect_list(F.struct(name, "topic")).alias("_models"))
     if vocabulary.min_tf:
-        # A term that is rare in all texts is rare in every model, and most terms are: they go before the models multiply the counts.
         packed = materialise(packed, "models")
         copies = F.size("_models") - F.size(F.array_distinct(F.transform("_models", lambda m: m[name]))) + 1
         most = packed.agg(F.max(copies)).first()[0] or 1
         total = rows.groupBy("term").agg(F.count(F.lit(1)).alias("_n"))
         kept = total.where((F.col("_n") * most > vocabulary.min_tf) | F.col("term").isin(*vocabulary.seeds)).select("term")
         rows = rows.join(checked_broadcast(kept), "term", "left_semi")
-    counted = rows.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")).join(packed, "doc_id")
+    return rows.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")).join(packed, "doc_id")
+
+
+def _model_terms(docs: DataFrame, labels: DataFrame, tokens: str, name: str = "k", vocabulary: Vocabulary = Vocabulary()) -> DataFrame:
+    """Terms of every topic of each model, counted per document before the models multiply them.
+
+    The vocabulary of a model comes from the same counts: they hold just the documents that it is fitted on.
+    """
+    # One row a document with its topics in all models; a model that names a document twice counts it twice.
+    packed = labels.groupBy("doc_id").agg(F.collect_list(F.struct(name, "topic")).alias("_models"))
+    counted = _counted_terms(docs, packed, tokens, name, vocabulary)
     # Rows meet by their term alone: the models multiply them afterwards, inside a partition, and nothing that they multiplied is shuffled.
     own = spread_by(counted, "term").select("term", "tf", F.explode("_models").alias("m"))
     found = own.groupBy(F.col(f"m.{name}").alias(name), F.col("m.topic").alias("topic"), "term").agg(F.sum("tf").alias("tf"))
@@ -109,6 +125,128 @@ def _model_terms(docs: DataFrame, labels: DataFrame, tokens: str, name: str = "k
     return found.withColumn("_often", often).where(F.col("_often") | F.col("term").isin(*vocabulary.seeds)).drop("_often")
 
 
+@dataclass(frozen=True)
+class _Topics:
+    """The topics of all models in one numbering, those of a model side by side, and the vocabulary that a model's own counts decide."""
+
+    models: np.ndarray  # the model of each topic, counted from zero
+    vocabulary: Vocabulary
+
+    def rows(self, terms: list[str], tf: np.ndarray) -> pa.RecordBatch:
+        """Counts of terms (rows) by topics (columns) as lists, without those that the vocabulary of a model leaves out."""
+        first = np.flatnonzero(np.diff(self.models, prepend=-1))
+        f_t = np.add.reduceat(tf, first, axis=1)
+        seed = np.array([t in self.vocabulary.seeds for t in terms])
+        often = (f_t > self.vocabulary.min_tf) | (seed[:, None] if self.vocabulary.min_tf else True)
+        row, topic = cells_of((tf > 0) & often[:, self.models])
+        n = np.bincount(row, minlength=len(terms))
+        pieces = -(-n // ROW_TOPICS)
+        of = np.repeat(np.arange(len(terms)), pieces)
+        begin = (np.cumsum(n) - n)[of] + ROW_TOPICS * (np.arange(len(of)) - (np.cumsum(pieces) - pieces)[of])
+        offsets = pa.array(np.append(begin, len(row)).astype(np.int32))
+        lists = topic.astype(np.int32), tf[row, topic].astype(np.int64), f_t[row, self.models[topic]].astype(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([terms[i] for i in of.tolist()], pa.string()), *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in lists)], ["term", "topics", "tf", "f_t"]
+        )
+
+    def count(self, batches):
+        """Rows of a term with the topics of a document, sorted by term, added up: ``term, topics, tf, f_t``."""
+        width = len(self.models)
+        step = max(1, TERM_CELLS // width)
+        last, open_ = None, None  # the term that the next rows may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = batch.column("term").dictionary_encode()
+            terms, numbers = coded.dictionary.to_pylist(), batch.column("_numbers")
+            each = np.repeat(np.arange(batch.num_rows), numbers.value_lengths().to_numpy(zero_copy_only=False))
+            term = coded.indices.to_numpy(zero_copy_only=False)[each].astype(np.int64)
+            topic, tf = numbers.flatten().to_numpy(zero_copy_only=False), batch.column("tf").to_numpy(zero_copy_only=False)[each]
+            for begin in range(0, len(terms), step):
+                some = terms[begin : begin + step]
+                part = slice(*np.searchsorted(term, [begin, begin + len(some)]))
+                sums = np.bincount((term[part] - begin) * width + topic[part], tf[part], len(some) * width).reshape(len(some), width)
+                if last == some[0]:
+                    sums[0] += open_
+                elif last is not None:
+                    yield self.rows([last], open_[None, :])
+                last, open_ = some[-1], sums[-1].copy()
+                if len(some) > 1:
+                    yield self.rows(some[:-1], sums[:-1])
+        if last is not None:
+            yield self.rows([last], open_[None, :])
+
+    def sizes(self, batches):
+        """Counted terms of each topic."""
+        n = np.zeros(len(self.models))
+        for batch in batches:
+            n += np.bincount(batch.column("topics").flatten(), batch.column("tf").flatten(), len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], ["number", "n_c"])
+
+    def leaders(self, n_c: np.ndarray, top: int):
+        """A function that gives of each topic the ``top`` terms of its rows which weigh most, in the order of :func:`topk_terms`."""
+        counted, models = n_c > 0, self.models
+        mean = np.floor(np.bincount(models, n_c) / np.maximum(np.bincount(models, counted), 1))
+
+        def run(batches):
+            held = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+            words, least = pa.array([], pa.string()), np.full(len(models), -np.inf)
+            of = np.zeros(0, np.int64)  # the word of each row held
+            for batch in batches:
+                topics = batch.column("topics")
+                topic, tf, f_t = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("topics", "tf", "f_t"))
+                score = np.round(tf / n_c[topic] * np.log(1 + mean[models[topic]] / f_t), RANK_DIGITS)
+                use = np.flatnonzero(score >= least[topic])
+                word = np.repeat(np.arange(batch.num_rows), topics.value_lengths().to_numpy(zero_copy_only=False))[use]
+                both = pa.concat_arrays([words, batch.column("term").cast(pa.string())])
+                place = pc.rank(both, tiebreaker="dense").to_numpy()
+                held = [np.concatenate([a, b[use]]) for a, b in zip(held, (topic, score, tf, f_t))]
+                of = np.concatenate([of, len(words) + word])
+                order = np.lexsort((place[of], -held[1], held[0]))
+                topic = held[0][order]
+                order = order[np.arange(len(order)) - np.searchsorted(topic, topic) < top]
+                held, of = [x[order] for x in held], of[order]
+                names, of = np.unique(of, return_inverse=True)
+                words = both.take(pa.array(names))
+                full = np.flatnonzero(np.bincount(held[0], minlength=len(models)) >= top)
+                least[full] = held[1][np.searchsorted(held[0], full, side="right") - 1]
+            if len(of):
+                rows = [pa.array(held[0].astype(np.int32)), words.take(pa.array(of)), pa.array(held[2]), pa.array(held[3])]
+                yield pa.RecordBatch.from_arrays(rows, ["number", "term", "tf", "f_t"])
+
+        return run
+
+
+def _model_words(docs: DataFrame, labels: DataFrame, tokens: str, name: str, vocabulary: Vocabulary, top: int) -> DataFrame:
+    """What :func:`_topic_words` gives for the terms of :func:`_model_terms`, for many models.
+
+    Models multiply the terms inside a task, in arrays of terms and topics, and what is written is one list of counts a term. The weights need the
+    size of every topic, a row a topic; then a task keeps of each topic the terms that may be among its first ones.
+    """
+    listed = sorted(tuple(r) for r in labels.select(name, "topic").distinct().collect())  # one row a topic of a model
+    if not listed:
+        return _topic_words(_model_terms(docs, labels, tokens, name, vocabulary), [name, "topic"], top)
+    schema = f"{name} {labels.schema[name].dataType.simpleString()}, topic {labels.schema['topic'].dataType.simpleString()}"
+    spark = docs.sparkSession
+    numbers = F.broadcast(spark.createDataFrame([(*key, i) for i, key in enumerate(listed)], f"{schema}, number int"))
+    names = list(dict.fromkeys(key[0] for key in listed))
+    topics = _Topics(np.array([names.index(key[0]) for key in listed]), vocabulary)
+    packed = labels.join(numbers, [name, "topic"]).groupBy("doc_id").agg(
+        F.collect_list(F.struct(name, "topic")).alias("_models"), F.collect_list("number").alias("_numbers")
+    )
+    counted = _counted_terms(docs, packed, tokens, name, vocabulary).select("term", "tf", "_numbers")
+    lists = spread_by(counted, "term").sortWithinPartitions("term").mapInArrow(topics.count, "term string, topics array<int>, tf array<long>, f_t array<long>")
+    lists = materialise(lists, "term-topics")
+    sizes = materialise(lists.mapInArrow(topics.sizes, "number int, n_c long").groupBy("number").agg(F.sum("n_c").alias("n_c")), "topic-sizes")
+    n_c = np.zeros(len(listed))
+    for r in sizes.collect():  # one row a topic of a model
+        n_c[r.number] = r.n_c
+    leaders = lists.mapInArrow(topics.leaders(n_c, top), "number int, term string, tf long, f_t long").join(numbers, "number").drop("number")
+    by = [name, "topic"]
+    return materialise(topk_terms(class_tfidf(leaders, by, sizes=sizes.join(numbers, "number").drop("number")), top, by), "words")
+
+
 def _topic_words(terms: DataFrame, by: list[str], top: int) -> DataFrame:
     return materialise(topk_terms(class_tfidf(terms, by), top, by), "words")
 
@@ -177,7 +315,7 @@ def k_sweep(
     docs, points = matched(docs, points, unmatched)
     scores, labels, centres, fitted = sweep(points, ks, sample, n_components=n_components, batches=batches)
     texts = materialise(docs.select("doc_id", tokens), "docs")
-    words = _topic_words(_model_terms(texts, labels, tokens, "k", vocabulary), ["k", "topic"], top)
+    words = _model_words(texts, labels, tokens, "k", vocabulary, top)
     coherence = coherence_cv(texts, _single(words), ["k", "topic"], tokens=tokens)
     if out:
         _store(out, ks, centres, [fitted] * len(ks), words, "k", topic_tables(labels, words, "k"))
@@ -229,7 +367,7 @@ def cross_validate(
     silhouettes = silhouette_many(own, "own", group="fold").select(F.col("part").alias("fold"), "silhouette")
     models = labelled.select("doc_id", "fold", F.posexplode("labels").alias("model", "topic")).where("model <> fold").select("doc_id", "model", "topic")
     trained = materialise(docs.join(labelled.select("doc_id", "fold"), "doc_id").select("doc_id", "fold", tokens), "train")
-    words = _topic_words(_model_terms(trained, models, tokens, "model", vocabulary), ["model", "topic"], top)
+    words = _model_words(trained, models, tokens, "model", vocabulary, top)
     coherence = coherence_cv(trained, _single(words), ["model", "topic"], tokens=tokens, fold="fold")
     if out:
         lenses = [lens[f] if lens else None for f in range(n_splits)]

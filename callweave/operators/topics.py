@@ -17,23 +17,26 @@ from callweave.session import checked_broadcast, materialise
 RANK_DIGITS = 9
 
 
-def class_tfidf(terms: DataFrame, by: list[str] = ("topic",), whole_average: bool = True) -> DataFrame:
+def class_tfidf(terms: DataFrame, by: list[str] = ("topic",), whole_average: bool = True, sizes: DataFrame | None = None) -> DataFrame:
     """Weight of each term in each topic from one row per (topic, term) occurrence or counted rows.
 
     ``tf / n_c * ln(1 + A / f_t)`` with n_c the terms of the topic, f_t the occurrences of the term
     and A the mean number of terms per topic, rounded down unless ``whole_average`` is false
     (Grootendorst, arXiv:2203.05794). ``by`` ends with the topic; columns before it name a model,
     so several models are weighted in one go. The text is counted once; all else reads the counts.
+    With ``sizes`` (``*by, n_c``) the rows are counted ones of some terms only, and carry the ``f_t`` of all topics of their model.
     """
     by = list(by)
     model = by[:-1]
-    tf = F.sum("tf") if "tf" in terms.columns else F.count(F.lit(1))
-    counts = materialise(terms.groupBy(*by, "term").agg(tf.alias("tf")), "class-terms")
-    sizes = counts.groupBy(*by).agg(F.sum("tf").alias("n_c"))
+    counts = terms
+    if sizes is None:
+        tf = F.sum("tf") if "tf" in terms.columns else F.count(F.lit(1))
+        counts = materialise(terms.groupBy(*by, "term").agg(tf.alias("tf")), "class-terms")
+        sizes = counts.groupBy(*by).agg(F.sum("tf").alias("n_c"))
+        counts = counts.withColumn("f_t", F.sum("tf").over(Window.partitionBy(*model, "term")))
     mean = F.avg("n_c").over(Window.partitionBy(*model) if model else Window.partitionBy(F.lit(1)))
     sizes = sizes.withColumn("_a", F.floor(mean) if whole_average else mean)
-    total = F.sum("tf").over(Window.partitionBy(*model, "term"))
-    weighted = counts.withColumn("f_t", total).join(checked_broadcast(sizes), by)
+    weighted = counts.join(checked_broadcast(sizes), by)
     score = F.col("tf") / F.col("n_c") * F.log(1 + F.col("_a") / F.col("f_t"))
     return weighted.select(*by, "term", "tf", score.alias("score"))
 

@@ -398,6 +398,43 @@ def test_topic_runs_are_replaced_one_by_one(spark, tmp_path):
     assert {(r.run, r.topic, r.n) for r in spark.read.parquet(path).collect()} == {("a", 0, 5), ("b", 1, 9)}
 
 
+def test_words_of_many_models_are_those_of_their_terms(spark, monkeypatch):
+    """Terms that go on from batch to batch, lists cut in pieces, equal weights, a model that names a document twice, rare terms."""
+    monkeypatch.setattr(se, "TERM_CELLS", 20)
+    monkeypatch.setattr(se, "ROW_TOPICS", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rng = np.random.default_rng(3)
+        rows = [(i % 35, [f"t{int(t)}" for t in rng.zipf(1.4, 12) % 40]) for i in range(40)]
+        docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+        labels = [(i, k, int(rng.integers(k)) - (k == 4)) for i in range(33) for k in (1, 4, 9)] + [(2, 4, 0), (2, 4, 0)]
+        labels = spark.createDataFrame(labels, "doc_id long, k int, topic int")
+        for words in (se.Vocabulary(), se.Vocabulary(stop=("t1",), max_n=2, min_tf=3, seeds=("t17",))):
+            plain = se._topic_words(se._model_terms(docs, labels, "tokens", "k", words), ["k", "topic"], 4)
+            found = se._model_words(docs, labels, "tokens", "k", words, 4)
+            want = {(r.k, r.topic, r.rank): (r.word, round(r.score, 9)) for r in plain.collect()}
+            assert len(want) > 30 and {(r.k, r.topic, r.rank): (r.word, round(r.score, 9)) for r in found.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_many_models_write_a_list_a_term(spark, monkeypatch):
+    """No table grows by terms times topics: what is written holds a row a term (lists are not cut here), or a few a topic and task."""
+    docs = spark.createDataFrame([(i, [f"t{j}" for j in range(20)]) for i in range(60)], "doc_id long, tokens array<string>")
+    labels = spark.createDataFrame([(i, k, i % k) for i in range(60) for k in range(2, 12)], "doc_id long, k int, topic int")
+    written, kept = {}, se.materialise
+
+    def watched(df, label="step"):
+        out = kept(df, label)
+        written[label] = out.count()
+        return out
+
+    monkeypatch.setattr(se, "materialise", watched)
+    monkeypatch.setattr(tp, "materialise", watched)
+    se._model_words(docs, labels, "tokens", "k", se.Vocabulary(), 3)
+    assert written["term-topics"] == 20 and "class-terms" not in written and written["words"] == 3 * sum(range(2, 12))
+
+
 def test_sums_to_many_clusters(spark, monkeypatch):
     """Sums by product and by rows, for copies of rows as well."""
     x = np.random.default_rng(5).normal(size=(70, 3))
