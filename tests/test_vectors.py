@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -355,3 +356,55 @@ def test_rank_limit_of_copies_acts_before_the_shuffle(spark):
     limited = spark.range(100).select("id", (F.col("id") % 3).alias("v")).select("id", "v", F.row_number().over(few).alias("copy")).where("copy <= 3")
     plan = limited._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_streamed_links_join_what_partitions_join(spark, metric, monkeypatch):
+    x = np.random.default_rng(9).normal(size=(160, 3))
+    x[130:] = x[:30]
+    points = nb.metric_points(frame(spark, x), metric, "doc_id", "embedding")
+    clean = np.array([r.v for r in points.orderBy("id").collect()])
+    d = np.sqrt(((clean[:, None] - clean[None]) ** 2).sum(-1))
+    d = d * d / 2 if metric == "cosine" else d
+    for share in (0.4, 1.5):
+        radius = round(float(np.quantile(d, share / 100)), 9)
+        want = nb.components(np.round(d, 9) <= radius)
+        for stream, rows in ((-1.0, 2), (9.0, 16)):
+            monkeypatch.setattr(nb, "STREAM_SHARE", stream)
+            found = de.connected_components(nb.radius_forest(points, radius, metric, block_rows=rows)).collect()
+            root = np.arange(len(x))
+            for r in found:
+                root[r.id] = r.root
+            assert (root == want).all() and len(set(want.tolist())) > (share < 1)
+
+
+def test_far_links_store_no_copies_of_points(spark, monkeypatch):
+    """Points that would visit most partitions: what is written stays in proportion to their number."""
+    written, kept = {}, nb.materialise
+
+    def watched(df, label="step"):
+        out = kept(df, label)
+        written[label] = out.count()
+        return out
+
+    monkeypatch.setattr(nb, "materialise", watched)
+    points = frame(spark, np.random.default_rng(2).normal(size=(600, 16))).selectExpr("doc_id AS id", "embedding AS v")
+    nb.radius_forest(points, 3.0, block_rows=20).count()
+    assert max(written.values()) == 600
+
+
+def test_sifting_in_single_precision_loses_nothing(spark):
+    """Lengths of all orders, near copies, and vectors that single precision cannot hold."""
+    rng = np.random.default_rng(4)
+    for scale in (1.0, 1e-20, 1e18, 1e60):
+        x = rng.normal(size=(90, 5)) * scale
+        x[1::9] = x[::9] + rng.normal(size=(10, 5)) * scale * 1e-6
+        x[:3] *= 1000
+        ids = np.arange(90)
+        table = pa.table({"id": ids, "v": pa.array(list(x)), "asks": np.ones(90, bool)})
+        near = nb._Nearest(table, 4, "euclidean")
+        for begin in range(0, 90, 25):
+            near.add(table.slice(begin, 25))
+        diff = x[:, None] - x[None]
+        cols, d = nb.smallest(np.sqrt((diff * diff).sum(-1)), ids, 4)
+        assert (near.found == cols).all() and np.allclose(near.d, d, rtol=1e-12)
